@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reconlake.llm.shared import blocks_for
+from reconlake.llm.shared import blocks_for, stored
 
 SAMPLES = 32
-#: Samples worked out side by side; as many rows go through as it takes to make up SAMPLES.
-WIDTH = 8
+#: Samples worked out side by side; as many rows go through as it takes to make up SAMPLES. With more, the
+#: generated code outgrows what the JVM compiles.
+WIDTH = 2
 DOCS_PER_CELL = 512
 OUTER, INNER = 128, 128
 LOWEST = -(1 << 63)
@@ -133,24 +134,25 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, docs_per_cell:
     rows = rows.join(F.broadcast(heads), (F.col("k") == F.col("head")), "left")
     own, sent = F.struct(F.col("cell").alias("to"), F.lit(0).alias("late")), F.struct(F.col("before").alias("to"), F.lit(1).alias("late"))
     rows = rows.select(id_col, "k", "text", "cell", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, sent))).alias("x"))
-    rows = rows.select(id_col, "k", "text", F.col("cell").alias("home"), F.col("x.to").alias("to"), F.col("x.late").alias("late"))
+    rows = rows.select(id_col, "k", "text", F.col("cell").alias("home"), F.col("x.to").alias("to"), F.col("x.late").alias("late"), F.xxhash64("text").alias("tie"))
 
-    beside = Window.partitionBy("to").orderBy("late", "k", F.xxhash64("text"))
+    beside = Window.partitionBy("to").orderBy("late", "k", "tie")
     cut = F.length("text") - F.floor(F.length("text") / 4)
     following = F.lead(F.struct("text", "home", "late")).over(beside)
     rows = rows.withColumn("at", F.row_number().over(beside)).withColumn("following", following).where("late = 0")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), cut), F.substring(F.col("following.text"), F.lit(1), F.length("text") - cut))
     rows = rows.select("to", "at", id_col, "text", edited.alias("edited"), F.col("following.home").alias("next_to"), F.when(F.col("following.late") == 1, 1).otherwise(F.col("at") + 1).alias("next_at"))
 
-    words = F.concat(_words(F.col("text")), _words(F.col("edited")))
-    terms = rows.select("to", "at", F.size(_words(F.col("text"))).alias("n"), F.posexplode(words).alias("pos", "word")).where("word <> ''")
-    counted = terms.groupBy("to", "at", F.xxhash64("word").alias("term")).agg(F.sum(F.when(F.col("pos") < F.col("n"), 1).otherwise(0)).alias("own"), F.sum(F.when(F.col("pos") >= F.col("n"), 1).otherwise(0)).alias("new"))
+    counts = [F.sum(F.when(F.col("late") == late, 1).otherwise(0)).alias(name) for late, name in ((0, "own"), (1, "new"))]
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("late"), F.col("text").alias("body")), F.struct(F.lit(1).alias("late"), F.col("edited").alias("body"))))
+    terms = rows.select("to", "at", sides.alias("x")).select("to", "at", "x.late", F.explode(_words(F.col("x.body"))).alias("word"))
+    counted = terms.where("word <> ''").groupBy("to", "at", F.xxhash64("word").alias("term")).agg(*counts)
     prints = sample_terms(counted, ["to", "at"], "term", ["own", "new"], samples)
     prints = prints.select("to", "at", "own", "new")
     facts = rows.select("to", "at", id_col, F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "next_to", "next_at")
-    whole = facts.join(prints, ["to", "at"], "left")
     empty = F.lit("")
-    whole = whole.select("to", "at", id_col, "n_chars", "edited_sha256", "next_to", "next_at", F.coalesce("own", empty).alias("own"), F.coalesce("new", empty).alias("new"))
+    whole = facts.join(prints, ["to", "at"], "left").select("to", "at", id_col, "n_chars", "edited_sha256", "next_to", "next_at", F.coalesce("own", empty).alias("own"), F.coalesce("new", empty).alias("new"))
+    whole = stored(whole, "fingerprints")
     nexts = whole.select(F.col("to").alias("next_to"), F.col("at").alias("next_at"), F.col("own").alias("next_own"))
     met = whole.join(nexts, ["next_to", "next_at"])
     return met.select(id_col, "n_chars", "edited_sha256", F.col("own").alias("fingerprint"), F.col("new").alias("edited_fingerprint"), likeness(F.col("own"), F.col("new"), samples).alias("near_edited"), likeness(F.col("own"), F.col("next_own"), samples).alias("near_next"))
