@@ -32,8 +32,8 @@ def sample_terms(terms: DataFrame, keys: list[str], term: str, weights: list[str
     hashes of (k, d). With t = floor(ln w / r + b), the value is ln c - r (t - b + 1); the term with the least value
     gives the sample (k, t). Two weightings give the same sample with the probability of their generalised
     Jaccard similarity, sum of least weights over sum of greatest. A term with equal weights in several columns
-    is worked out once. A value (31 bits) and a hash of its (k, t) are one 64-bit number, so that a plain minimum
-    finds the sample; its lower half is kept.
+    is worked out once. A value (31 bits) and 32 bits of (k, t), a hash of k and d with t added bitwise, are one
+    64-bit number, so that a plain minimum finds the sample; its lower half is kept.
 
     Returns: `keys`, and for each weight column an array of `samples` hexadecimal strings (null: no term).
     """
@@ -51,20 +51,21 @@ def sample_terms(terms: DataFrame, keys: list[str], term: str, weights: list[str
         draws.append((-F.log(_uniform(p, 0) * _uniform(p, 21))).alias(f"r{d}"))
         draws.append(F.log(-F.log(_uniform(p, 42) * _uniform(q, 0))).alias(f"c{d}"))
         draws.append(_uniform(q, 21).alias(f"b{d}"))
+        draws.append(p.bitwiseAND(F.lit((1 << 32) - 1)).alias(f"k{d}"))
     rows = rows.select(*held, *draws)
 
     def code(d: int, w: str) -> Column:
         r, c, b = F.col(f"r{d}"), F.col(f"c{d}"), F.col(f"b{d}")
         t = F.floor(F.col(f"ln_{w}") / r + b)
         value = ((c - r * (t - b + 1) + 128.0) * float(1 << 23)).cast("long")
-        return F.when(F.col(w) > 0, F.shiftleft(value, 32).bitwiseOR(F.xxhash64(term, t, F.col("turn") * WIDTH + d).bitwiseAND(F.lit((1 << 32) - 1))))
+        return F.when(F.col(w) > 0, F.shiftleft(value, 32).bitwiseOR(F.col(f"k{d}").bitwiseXOR(t.bitwiseAND(F.lit((1 << 32) - 1)))))
 
     first, *others = weights
-    rows = rows.select(*held, *[code(d, first).alias(f"{first}_{d}") for d in range(WIDTH)], *[F.col(f"{x}{d}") for d in range(WIDTH) for x in "rcb"])
+    rows = rows.select(*held, *[code(d, first).alias(f"{first}_{d}") for d in range(WIDTH)], *[F.col(f"{x}{d}") for d in range(WIDTH) for x in "rcbk"])
     shown = [f"{first}_{d}" for d in range(WIDTH)]
     for w in others:
         same = F.col(w) == F.col(first)
-        rows = rows.select(*held, *shown, *[F.when(same, F.col(f"{first}_{d}")).otherwise(code(d, w)).alias(f"{w}_{d}") for d in range(WIDTH)], *[F.col(f"{x}{d}") for d in range(WIDTH) for x in "rcb"])
+        rows = rows.select(*held, *shown, *[F.when(same, F.col(f"{first}_{d}")).otherwise(code(d, w)).alias(f"{w}_{d}") for d in range(WIDTH)], *[F.col(f"{x}{d}") for d in range(WIDTH) for x in "rcbk"])
         shown += [f"{w}_{d}" for d in range(WIDTH)]
     least = rows.groupBy(*keys, "turn").agg(*[F.min(c).alias(c) for c in shown])
     hexed = lambda c: F.lower(F.lpad(F.hex(F.col(c).bitwiseAND(F.lit((1 << 32) - 1))), 8, "0"))

@@ -74,7 +74,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
     Phase 3: their totals are resolved exactly, and what reaches the cutoff (the best `k` of a block are enough)
     is ranked. Queries meet candidates block by block, each pair of blocks in bounded memory.
 
-    Rows with a null id, or a null, empty or non-finite vector take no part. Vectors meet those of their own
+    Scores must be under 2**60 in size. Rows with a null id, or a null, empty or non-finite vector take no part. Vectors meet those of their own
     length only. Rows that repeat a query's id are one query (that with the least vector) and no candidates of
     it; repeated candidates are ranked each. Extra columns are ignored; an empty table gives an empty result.
 
