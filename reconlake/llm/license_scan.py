@@ -107,12 +107,13 @@ class TemplateIndex:
         matches = []
         for name, shifts in sorted(seeds.items()):
             template, last = self.templates[name], None
+            band = min(BAND, max(1, len(template) // 8))
             own = []
             for shift in sorted(shifts):
-                if last is not None and shift - last <= BAND:
+                if last is not None and shift - last <= band:
                     continue
                 last = shift
-                hits, first, past = aligned(template, words, shift, BAND)
+                hits, first, past = aligned(template, words, shift, band)
                 if hits >= LEAST_COVERAGE * len(template):
                     own.append((hits / len(template), first, past))
             taken: list[tuple[int, int]] = []

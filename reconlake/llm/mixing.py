@@ -129,14 +129,14 @@ def mix_sources(
     decided = plan.join(cuts, plan["mix_source"].eqNullSafe(F.col("cut_source")), "left").select("mix_source", "weight", "whole", "blocks", "quota", "at", "cut")
     decided = stored(decided, "mix-decisions")
 
-    named = docs.drop(*new) if set(new) & set(docs.columns) else docs
-    wide = named.withColumn("draw", drawn).join(fit(decided), named[source_col].eqNullSafe(decided["mix_source"]))
-    wide = wide.withColumn("own_block", block)
+    # the documents' own columns stay apart from those of the plan, whatever their names
+    wide = docs.select(F.struct(*[F.col(c) for c in docs.columns if c not in new]).alias("mix_row"), F.col(source_col).alias("own_source"), drawn.alias("draw"))
+    wide = wide.join(fit(decided), F.col("own_source").eqNullSafe(F.col("mix_source"))).withColumn("own_block", block)
     partial = (F.col("quota") > 0) & ((F.col("own_block") < F.col("at")) | ((F.col("own_block") == F.col("at")) & (F.col("draw") <= F.col("cut"))))
     copies = F.col("whole") + F.when(partial, 1).otherwise(0)
     wide = wide.withColumn("copies", copies).where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     order = F.xxhash64(F.lit(seed), F.col("pass"), F.col("mix_source"), F.col("own_block"))
     return wide.select(
-        *[F.col(c) if c not in ("draw",) else named[c] for c in named.columns],
-        word_count(F.col(text_col)).alias("n_words"), "weight", F.col("pass").cast(T.IntegerType()).alias("epoch"), F.col("own_block").alias("block"), order.alias("block_order"), F.col("draw").alias("doc_order"),
+        "mix_row.*", word_count(F.col(f"mix_row.{text_col}")).alias("n_words"), "weight", F.col("pass").cast(T.IntegerType()).alias("epoch"),
+        F.col("own_block").alias("block"), order.alias("block_order"), F.col("draw").alias("doc_order"),
     )

@@ -144,6 +144,8 @@ def train(
 
     rows = texts.mapInArrow(indexed, "label int, own array<int>, swapped array<int>").collect()
     rows.sort(key=lambda r: (r["label"], r["own"], r["swapped"] or []))
+    if not rows:
+        return ToxicityModel({}, float(np.log(share / (1 - share))))
     pairs = [(r["own"], r["swapped"]) for r in rows if r["swapped"] is not None]
     weight, bias = _fit([r["own"] for r in rows], pairs, np.array([r["label"] for r in rows], float), len(vocabulary), fairness, ridge, steps)
     return ToxicityModel({f: float(w) for f, w in zip(vocabulary, weight, strict=True) if abs(w) > 1e-6}, bias)
