@@ -84,10 +84,10 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     most_rows: int = 20_000,
-    most_features: int = 4_000,
+    most_features: int = 1_000,
     least_docs: int = 4,
     fairness: float = 1.0,
-    ridge: float = 1e-5,
+    ridge: float = 1e-4,
     steps: int = 250,
     seed: int = 3,
     id_col: str = "doc_id",
@@ -100,6 +100,8 @@ def train(
     documents are counted in Spark; the `most_features` with the surest difference are kept, and the
     sample's documents come to the driver as index lists. For a document with identity terms, a second
     list has each of them swapped for another of its group; the loss penalises the change of its logit.
+    `most_features` and `ridge` had the least log loss of eight settings in cross-validation over the four folds
+    that aren't held out.
 
     Rows with a null id, label or text teach nothing. With labels of one kind only, or none, the model is a
     constant: the share of toxic labels (0 if there are none), bounded away from 0 and 1.
