@@ -135,7 +135,7 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, docs_per_cell:
     rows = rows.join(F.broadcast(heads), (F.col("k") == F.col("head")), "left")
     own, sent = F.struct(F.col("cell").alias("to"), F.lit(0).alias("late")), F.struct(F.col("before").alias("to"), F.lit(1).alias("late"))
     rows = rows.select(id_col, "k", "text", "cell", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, sent))).alias("x"))
-    rows = rows.select(id_col, "k", "text", F.col("cell").alias("home"), F.col("x.to").alias("to"), F.col("x.late").alias("late"), F.xxhash64("text").alias("tie"))
+    rows = rows.select(id_col, "k", "text", F.col("cell").alias("home"), F.col("x.to").alias("to"), F.col("x.late").alias("late"), F.xxhash64("text").alias("tie")).where("to is not null")
 
     beside = Window.partitionBy("to").orderBy("late", "k", "tie")
     cut = F.length("text") - F.floor(F.length("text") / 4)
@@ -146,7 +146,8 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, docs_per_cell:
 
     counts = [F.sum(F.when(F.col("late") == late, 1).otherwise(0)).alias(name) for late, name in ((0, "own"), (1, "new"))]
     sides = F.explode(F.array(F.struct(F.lit(0).alias("late"), F.col("text").alias("body")), F.struct(F.lit(1).alias("late"), F.col("edited").alias("body"))))
-    terms = rows.select("to", "at", sides.alias("x")).select("to", "at", "x.late", F.explode(_words(F.col("x.body"))).alias("word"))
+    # always true; since both branches read the same columns, the texts' one shuffle serves both
+    terms = rows.where(F.col(id_col).isNotNull() | F.col("next_to").isNotNull()).select("to", "at", sides.alias("x")).select("to", "at", "x.late", F.explode(_words(F.col("x.body"))).alias("word"))
     counted = terms.where("word <> ''").groupBy("to", "at", F.xxhash64("word").alias("term")).agg(*counts)
     prints = sample_terms(counted, ["to", "at"], "term", ["own", "new"], samples)
     prints = prints.select("to", "at", "own", "new")
