@@ -109,3 +109,8 @@ def names_agree(name_a: Column, id_a: Column, name_b: Column, id_b: Column, leas
     overlap = F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
     by_id = (compact_tax_id(id_a) != "") & (compact_tax_id(id_b) != "")
     return F.when(by_id, compact_tax_id(id_a) == compact_tax_id(id_b)).otherwise((a == "") | (b == "") | a.contains(b) | b.contains(a) | (overlap >= least_overlap))
+
+
+def line_detail(*parts: Column, most: int = 50) -> Column:
+    """The parts that aren't blank, joined by ` - ` and cut to `most` characters."""
+    return F.substring(F.concat_ws(" - ", *[F.nullif(F.trim(p), F.lit("")) for p in parts]), 1, most)
