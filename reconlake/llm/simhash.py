@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reconlake.llm.components import components
+from reconlake.llm.jaccard import similar_texts
 from reconlake.llm.shared import stored
 
 ROWS_PER_GROUP = 512
@@ -41,12 +42,12 @@ def simhash(text: bytes, words_per_shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(starts), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """`id_col` and `bits`, the SimHash as a signed 64-bit integer, of every text (null: empty)."""
 
     def hashed(batches):
         for batch in batches:
-            bits = [simhash(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(1)]
+            bits = [simhash(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(bits, np.uint64).view(np.int64))], names=[id_col, "bits"])
 
     return docs.select(id_col, text_col).mapInArrow(hashed, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, bits long")
@@ -123,7 +124,7 @@ def near_links(prints: DataFrame, radius: int = 4, rows_per_group: int = ROWS_PE
     return dealt.groupBy("t", "key", "u", "v").applyInArrow(compared, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """Every document with its fingerprint and the least document id of its near-duplicate component.
 
     Fingerprints are worked out once and stored in the shared folder; equal ones are one node; links of different
@@ -136,7 +137,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
 
     Returns: `id_col`, bits long, fingerprint (16 lower-case hexadecimal digits), component_id.
     """
-    prints = stored(fingerprints(docs, id_col, text_col), "simhash-bits")
+    prints = stored(fingerprints(docs, id_col, text_col, words), "simhash-bits")
     nodes = stored(prints.groupBy("bits").agg(F.min(id_col).alias("least_id")), "simhash-nodes")
     roots = components(near_links(nodes.select("bits"), radius))
     rooted = nodes.join(roots, nodes["bits"] == roots["node"], "left").select("bits", "least_id", F.coalesce("root", "bits").alias("root"))
@@ -145,13 +146,16 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     return prints.join(classes, "bits").select(id_col, "bits", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_each(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_each(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", words: int = 4, similarity: float | None = None) -> DataFrame:
     """The documents without near duplicates: of each component the one with the least id stays.
 
+    With a `similarity`, texts are linked by the exact Jaccard similarity of their shingles of `words` words (see
+    `similar_texts`), and the radius is not used: at 0.8 most such pairs differ in more bits than masks can cover.
+
     Rows that repeat an id are one document, of which the least text stays. Rows with a null id can't be told
     apart by id: they all stay.
     """
-    found = near_duplicates(docs, radius, id_col, text_col)
+    found = near_duplicates(docs, radius, id_col, text_col, words) if similarity is None else similar_texts(docs, words, similarity, id_col, text_col)
     kept = stored(found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("kept_id")).agg(F.count("*").alias("rows")), "simhash-kept")
     named = docs.join(kept, docs[id_col] == F.col("kept_id"))
     single = named.where("rows = 1").select(docs.columns)
