@@ -35,8 +35,19 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "GPL-3.0-notice": "Licensed under the GNU General Public License, version 3.",
+    "GPL-2.0-notice": "Licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-notice": "Licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1-notice": "Licensed under the GNU Lesser General Public License, version 2.1.",
+    "AGPL-3.0-notice": "Licensed under the GNU Affero General Public License, version 3.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, version 2.0.",
+    "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
+    "All-rights-reserved-notice": "All rights reserved.",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced.",
 }
+#: Notices that differ from each other in a word: they must stand there whole, without a word between.
+WHOLE = {"GPL-3.0-notice", "GPL-2.0-notice", "LGPL-3.0-notice", "LGPL-2.1-notice", "AGPL-3.0-notice", "MPL-2.0-notice", "BSD-2-Clause-notice", "BSD-3-Clause-notice", "All-rights-reserved-notice"}
 WORD = re.compile(r"[A-Za-z]+|[0-9]+(?:\.[0-9]+)*")
 GRAM, WINDOW, BAND, LEAST_COVERAGE = 3, 2, 6, 0.8
 
@@ -61,6 +72,8 @@ def aligned(template: list[int], words: list[int], shift: int, band: int) -> tup
     """Matched words, and the first and past-last word of the match, of the best banded alignment near the diagonal `shift`."""
     best: dict[int, tuple[int, int, int]] = {}
     for i, wanted in enumerate(template):
+        if i + shift - band >= len(words):
+            break  # the text ends inside the template: what was matched by then counts
         row: dict[int, tuple[int, int, int]] = {}
         for j in range(max(0, i + shift - band), min(len(words), i + shift + band + 1)):
             options = [x for x in (best.get(j), row.get(j - 1)) if x]
@@ -114,6 +127,8 @@ class TemplateIndex:
                     continue
                 last = shift
                 hits, first, past = aligned(template, words, shift, band)
+                if name in WHOLE and not hits == len(template) == past - first:
+                    continue
                 if hits >= LEAST_COVERAGE * len(template):
                     own.append((hits / len(template), first, past))
             taken: list[tuple[int, int]] = []
@@ -130,7 +145,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     Templates are a given list of bounded size; their winnowed three-word fingerprints form an inverted index that
     travels with the tasks. A document's runs of template words are winnowed the same way, hits give a template and
     a diagonal, and a banded alignment around it counts the template's words found in order. `coverage` is their
-    share of the template; matches of 0.8 or more are reported with their span of characters. The scan is a map
+    share of the template; matches of 0.8 or more are reported with their span of characters; notices in `WHOLE` only
+    as they are, since a word tells them apart. The scan is a map
     over whole texts, without a shuffle.
 
     Null and empty texts match nothing; null ids are kept; repeated rows are reported each; extra columns are

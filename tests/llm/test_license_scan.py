@@ -47,3 +47,28 @@ def test_rows(spark, awkward, empty):
     assert sorted(str(r.doc_id) for r in rows) == ["1", "1", "1", "1", "None", "None"]
     assert all(text[r.first_char : r.past_char] == TEMPLATES["MIT-notice"][:-1] and r.coverage == 1.0 for r in rows)
     assert scan_licenses(awkward).count() == 0 and scan_licenses(empty).count() == 0
+
+
+def test_short_notices_are_found_and_told_apart():
+    index = TemplateIndex(TEMPLATES)
+    for notice, name in [
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-notice"), ("licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0-notice"),
+        ("licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0-notice"), ("Licensed under the Mozilla Public License, version 2.0.", "MPL-2.0-notice"),
+        ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause-notice"), ("Copyright qx 2001. All rights reserved.", "All-rights-reserved-notice"),
+    ]:
+        assert [(m[0], m[1]) for m in index.scan(f"qx qy\n{notice}\nqz")] == [(name, 1.0)]
+
+
+def test_a_text_that_ends_inside_a_template():
+    assert aligned(list(range(1, 21)), list(range(1, 17)), 0, 2) == (16, 0, 16)
+    words = TEMPLATES["GPL-3.0-or-later"].split()
+    assert [m[0] for m in TemplateIndex(TEMPLATES).scan(" ".join(words[: len(words) * 17 // 20]))] == ["GPL-3.0-or-later"]
+
+
+def test_license_lines_of_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").cache()
+    got = {(r.doc_id, r.license) for r in scan_licenses(docs).collect()}
+    lines = {"GPL-3.0-notice": "licensed under the GNU General Public License, version 3.", "All-rights-reserved-notice": "All rights reserved."}
+    for name, line in lines.items():
+        want = {r.doc_id for r in docs.collect() if line in (r.text or "")}
+        assert want and want <= {d for d, n in got if n == name}
