@@ -49,6 +49,12 @@ def plain_text(v):
     return v.table("documents").where("lang = 'fr'").select("doc_id", plain_upper(F.substring("text", 1, 40)).alias("plain"))
 
 
+@query("K11_whole_texts")
+def whole_texts(v):
+    """K11 over every row and its whole text; no SQL, as DuckDB's upper leaves some letters that Spark's changes."""
+    return v.table("documents").select("doc_id", plain_upper(F.col("text")).alias("plain"))
+
+
 @query("K14_normal_text", "SELECT bank_id, lower(memo) AS memo, CAST(ltrim(CAST(order_id AS string), '0') AS string) AS digits FROM bank")
 def normal(v):
     return v.bank.select("bank_id", normal_text(F.concat(F.lit("  "), F.regexp_replace("memo", " ", "   "), F.lit(" "))).alias("memo"), account_digits(F.concat(F.lit("00-"), F.col("order_id").cast("string"))).alias("digits"))
