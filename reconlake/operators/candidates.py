@@ -17,6 +17,22 @@ def window_join(left: DataFrame, right: DataFrame, keys: list[str], left_day: st
     return met.withColumn("delta", F.datediff(right_day, left_day))
 
 
+def tolerance_join(left: DataFrame, right: DataFrame, keys: list[str], left_day: str, right_day: str, days: int, left_amount: str, right_amount: str, part: int) -> DataFrame:
+    """`window_join` of positive amounts that differ by a `part`th of the left one at most.
+
+    A right row lies in one block of days and one band of amounts; a left row goes to the one or two of each that its
+    window touches. They meet by equal keys, so the rows of a key don't all meet.
+    """
+    block = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01")) / (2 * days + 1)).cast("long")
+    band = lambda x: F.floor(F.log(x.cast("double")) / F.lit(3 / part)).cast("long")
+    amount = F.col(left_amount)
+    near = left.where(amount > 0).withColumn("_block", F.explode(F.sequence(block(F.date_sub(left_day, days)), block(F.date_add(left_day, days)))))
+    near = near.withColumn("_band", F.explode(F.sequence(band(amount * (1 - 1 / part - 1e-9)), band(amount * (1 + 1 / part + 1e-9)))))
+    dealt = right.where(F.col(right_amount) > 0).withColumn("_block", block(F.col(right_day))).withColumn("_band", band(F.col(right_amount)))
+    met = window_join(near, dealt, [*keys, "_block", "_band"], left_day, right_day, days)
+    return met.where(F.abs(F.col(right_amount) - amount) * part <= amount).drop("_block", "_band")
+
+
 def mutual_unique(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """The pairs whose both ends occur once."""
     for end in (a, b):

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from reconlake.functions.names import operation_number, tokens
 from reconlake.operators.assign import greedy_assign
-from reconlake.operators.candidates import allocate, mutual_unique, pair_splits, window_join, within_days
+from reconlake.operators.candidates import allocate, mutual_unique, pair_splits, tolerance_join, window_join, within_days
 from reconlake.operators.dedup import dedup_keys, embedded_reference, latest_by, new_rows
 from reconlake.operators.journal import apportion, explode_lines, line, split_side
 from reconlake.operators.reports import dominant, mode_by
@@ -112,10 +112,10 @@ def unique_pairs(v):
 
 @query("D18_nearest_within_tolerance")
 def nearest(v):
-    t = v.treasury.where("branch_id < 5").select("treasury_id", "account_id", "direction", "amount_key", "doc_date")
+    t = v.treasury.select("treasury_id", "account_id", "direction", "amount_key", "doc_date")
     b = v.bank.select("bank_id", "account_id", "direction", F.col("amount_key").alias("bank_key"), "post_date")
-    met = window_join(t, b, ["account_id", "direction"], "doc_date", "post_date", 5).withColumn("off", F.abs(F.col("bank_key") - F.col("amount_key")))
-    met = met.where("off * 100 <= amount_key").select("treasury_id", "bank_id", "doc_date", F.abs("delta").alias("days"), "off")
+    met = tolerance_join(t, b, ["account_id", "direction"], "doc_date", "post_date", 5, "amount_key", "bank_key", 100).withColumn("off", F.abs(F.col("bank_key") - F.col("amount_key")))
+    met = met.select("treasury_id", "bank_id", "doc_date", F.abs("delta").alias("days"), "off")
     won = greedy_assign(met, "treasury_id", "bank_id", [F.col("doc_date"), F.col("treasury_id"), F.when(F.col("off") == 0, 0).otherwise(1), F.col("days"), F.col("off"), F.col("bank_id")])
     return won.select("treasury_id", "bank_id", F.greatest(F.lit(40), 100 - 5 * F.col("days") - F.when(F.col("off") > 0, 10).otherwise(0)).alias("score"))
 

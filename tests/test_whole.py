@@ -11,3 +11,22 @@ def test_whole_texts(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = catalog.queries()["K11_whole_texts"](spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted((r.doc_id, r.text.upper().translate(PLAIN)) for r in rows)
+
+
+def test_nearest_like_one_row_after_the_other(spark):
+    v = Views(spark, SF)
+    bank = {}
+    for r in v.bank.select("account_id", "direction", "bank_id", "amount_key", "post_date").collect():
+        bank.setdefault((r.account_id, r.direction), []).append(r)
+    used, want = set(), []
+    for t in sorted(v.treasury.collect(), key=lambda r: (r.doc_date, r.treasury_id)):
+        fits = []
+        for b in bank.get((t.account_id, t.direction), []):
+            days, off = abs((b.post_date - t.doc_date).days), abs(b.amount_key - t.amount_key)
+            if b.bank_id not in used and days <= 5 and off * 100 <= t.amount_key:
+                fits.append((off > 0, days, off, b.bank_id))
+        if fits:
+            inexact, days, _, bank_id = min(fits)
+            used.add(bank_id)
+            want.append((t.treasury_id, bank_id, max(40, 100 - 5 * days - 10 * inexact)))
+    assert sorted(map(tuple, catalog.queries()["D18_nearest_within_tolerance"](spark, SF).collect())) == sorted(want)
