@@ -285,6 +285,18 @@ def apportionment(v):
     return apportion(entries, ["treasury_id"], "amount", "w", "branch_id").select("treasury_id", "branch_id", "part")
 
 
+@query("H09_apportionment_all", """
+    WITH w AS (SELECT branch_id, CAST(headcount AS bigint) AS w FROM branch), x AS (SELECT t.treasury_id, t.amount, w.branch_id, w.w, abs(t.amount) * w.w AS p FROM treasury t JOIN w ON TRUE),
+    s AS (SELECT *, sum(w) OVER (PARTITION BY treasury_id) AS tot FROM x), r AS (SELECT *, p // tot AS base, p % tot AS rem FROM s),
+    k AS (SELECT *, abs(amount) - sum(base) OVER (PARTITION BY treasury_id) AS leftover, row_number() OVER (PARTITION BY treasury_id ORDER BY rem DESC, w DESC, branch_id) AS n FROM r)
+    SELECT treasury_id, branch_id, CAST(sign(amount) * (base + CASE WHEN n <= leftover THEN 1 ELSE 0 END) AS bigint) AS part FROM k""")
+def apportionment_all(v):
+    """H09 over every treasury row."""
+    weights = F.broadcast(v.branch.select("branch_id", F.col("headcount").cast("long").alias("w"), F.lit(1).alias("one")))
+    entries = v.treasury.select("treasury_id", "amount", F.lit(1).alias("one")).join(weights, "one")
+    return apportion(entries, ["treasury_id"], "amount", "w", "branch_id").select("treasury_id", "branch_id", "part")
+
+
 JOURNAL_SQL = """
     SELECT l.treasury_id, l.bank_id, l.bank_amount, t.amount, t.account_id, t.branch_id, row_number() OVER (PARTITION BY l.treasury_id ORDER BY l.post_date, l.bank_id) AS n,
       sum(abs(l.bank_amount)) OVER (PARTITION BY l.treasury_id) AS paid FROM links l JOIN treasury t ON t.treasury_id = l.treasury_id JOIN matches m ON m.treasury_id = l.treasury_id WHERE m.status IN ('AUTO', 'MANUAL')"""

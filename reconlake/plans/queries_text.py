@@ -44,6 +44,14 @@ def tax_ids(v):
     return v.bank.where("part_id % 11 <> 0").select("bank_id", dashed_tax_id(loose).alias("dashed"), compact_tax_id(loose).alias("compact"), tax_id_in(F.col("memo")).alias("in_memo"))
 
 
+@query("K06_tax_ids_all", """
+    SELECT bank_id, counterparty_tax_id AS dashed, coalesce(replace(counterparty_tax_id, '-', ''), '') AS compact, regexp_extract(memo, '^(ABN CRD TRANSBANK )?([0-9]{8,11})', 2) AS in_memo FROM bank""")
+def tax_ids_all(v):
+    """K06 over every memo, with the card prefix too."""
+    loose = F.lower(F.concat(F.substring("counterparty_tax_id", 1, 2), F.lit("."), F.substring("counterparty_tax_id", 3, 3), F.lit("."), F.substring("counterparty_tax_id", 6, 10)))
+    return v.bank.select("bank_id", dashed_tax_id(loose).alias("dashed"), compact_tax_id(loose).alias("compact"), tax_id_in(F.col("memo")).alias("in_memo"))
+
+
 @query("K11_plain_text", "SELECT doc_id, translate(upper(left(text, 40)), 'ÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ', 'AAAAAEEEEIIIIOOOOOUUUUNC') AS plain FROM documents WHERE lang = 'fr'")
 def plain_text(v):
     return v.table("documents").where("lang = 'fr'").select("doc_id", plain_upper(F.substring("text", 1, 40)).alias("plain"))
@@ -65,6 +73,12 @@ def memos(v):
     return v.bank.where("part_id % 11 <> 0").select("bank_id", memo_parts(F.col("memo")).alias("p")).select("bank_id", "p.*")
 
 
+@query("K17_memo_parts_all")
+def memos_all(v):
+    """K17 over every memo, with the card prefix too."""
+    return v.bank.select("bank_id", memo_parts(F.col("memo")).alias("p")).select("bank_id", "p.*")
+
+
 @query("K22_receipts", "SELECT bank_id, CAST(1000 + part_id AS bigint) AS first_receipt, CAST(1 + line_no % 5 AS bigint) AS n FROM bank WHERE line_no % 5 <> 0")
 def receipts(v):
     a = 1000 + F.col("part_id")
@@ -72,6 +86,14 @@ def receipts(v):
     return v.bank.where("line_no % 5 <> 0").select("bank_id", F.element_at(found, 1).cast("long").alias("first_receipt"), F.size(found).cast("long").alias("n"))
 
 
+@query("K22_receipts_all")
+def receipts_all(v):
+    """K22 over every row; two equal receipts are no list and give nulls."""
+    a = 1000 + F.col("part_id")
+    found = receipt_list(F.concat(F.lit("N OPE "), a.cast("string"), F.lit("/"), (a + F.col("line_no") % 5).cast("string")))
+    return v.bank.select("bank_id", F.element_at(found, 1).cast("long").alias("first_receipt"), F.when(found.isNotNull(), F.size(found)).cast("long").alias("n"))
+
+
 @query("K31_gross_up", "SELECT treasury_id, CAST((CAST(abs(amount) AS hugeint) * 10000 + 4237) // 8475 AS bigint) AS gross, CAST((CAST(abs(amount) AS hugeint) * 10000 + 4237) // 8475 - abs(amount) AS bigint) AS retention FROM treasury")
 def grossed(v):
     gross, kept = gross_up(F.abs("amount"), 1525)

@@ -1,5 +1,7 @@
 """Queries over whole tables against plain Python."""
 
+import re
+
 from reconlake.plans import catalog
 from reconlake.plans.views import Views
 
@@ -30,3 +32,13 @@ def test_nearest_like_one_row_after_the_other(spark):
             used.add(bank_id)
             want.append((t.treasury_id, bank_id, max(40, 100 - 5 * days - 10 * inexact)))
     assert sorted(map(tuple, catalog.queries()["D18_nearest_within_tolerance"](spark, SF).collect())) == sorted(want)
+
+
+def test_memo_parts_and_receipts_of_every_row(spark):
+    rows = Views(spark, SF).bank.select("bank_id", "memo", "part_id", "line_no").collect()
+    found = {r.bank_id: re.match(r"DEP \((\d{1,3})\) ", r.memo) for r in rows}
+    want = {i: (m is not None, int(m[1]) if m else None) for i, m in found.items()}
+    got = {r.bank_id: (r.is_multipart, r.part_number) for r in catalog.queries()["K17_memo_parts_all"](spark, SF).collect()}
+    assert got == want and any(r.memo.startswith("ABN CRD") for r in rows)
+    listed = {r.bank_id: (1000 + r.part_id, 1 + r.line_no % 5) if r.line_no % 5 else (None, None) for r in rows}
+    assert {r.bank_id: (r.first_receipt, r.n) for r in catalog.queries()["K22_receipts_all"](spark, SF).collect()} == listed
