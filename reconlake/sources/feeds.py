@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TREASURY_SCHEMA = "id bigint, monto bigint, fecha string, glosa string, naturaleza string, clase string, items array<struct<nombre:string,cantidad:double,precioUnitario:double,monto:double>>"
-MOST_PAGES = 200
 
 
 def read_feed(spark: SparkSession, path: str, schema: str = TREASURY_SCHEMA) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +50,7 @@ class _PageReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         pages, cursor, seen = [], self.first, set()
-        while cursor is not None and cursor not in seen and len(pages) < MOST_PAGES:
+        while cursor is not None and cursor not in seen:
             seen.add(cursor)
             path = self.template.format(cursor=cursor)
             pages.append(_Page(path))

@@ -1,9 +1,11 @@
 """Queries over whole tables against plain Python."""
 
+import json
 import re
 
 from reconlake.plans import catalog
 from reconlake.plans.views import Views
+from reconlake.sources.feeds import PagedFeed
 
 SF = "/root/testdata/sf0.001"
 PLAIN = str.maketrans("ÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "AAAAAEEEEIIIIOOOOOUUUUNC")
@@ -42,3 +44,12 @@ def test_memo_parts_and_receipts_of_every_row(spark):
     assert got == want and any(r.memo.startswith("ABN CRD") for r in rows)
     listed = {r.bank_id: (1000 + r.part_id, 1 + r.line_no % 5) if r.line_no % 5 else (None, None) for r in rows}
     assert {r.bank_id: (r.first_receipt, r.n) for r in catalog.queries()["K22_receipts_all"](spark, SF).collect()} == listed
+
+
+def test_a_feed_of_many_pages_ends_with_its_cursor(spark, tmp_path):
+    for i in range(205):
+        told = {"has_more": i < 204, "next_after_id": i + 1}
+        (tmp_path / f"{i}.json").write_text(json.dumps({"data": [{"id": i}], "pagination": told}))
+    spark.dataSource.register(PagedFeed)
+    rows = spark.read.format("paged_feed").schema("id long").option("template", f"{tmp_path}/{{cursor}}.json").option("first", "0").load()
+    assert sorted(r.id for r in rows.collect()) == list(range(205))
