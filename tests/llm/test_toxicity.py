@@ -3,7 +3,8 @@ import zlib
 
 import numpy as np
 
-from reconlake.llm.toxicity import _fit, features_of, keep_clean, score, swaps, train, words_of
+from reconlake.llm.toxicity import _fit, counterfactuals, features_of, keep_clean, mention_gap, score, swaps, train, words_of
+from reconlake.llm.toxicity_selection import cross_validated
 
 
 def labelled(spark, n=400, biased=False):
@@ -44,10 +45,40 @@ def test_naming_a_group_moves_no_score(spark):
     shift = lambda m: abs(m.logit(words_of("a muslim calm1")) - m.logit(words_of("a christian calm1")))
     assert shift(fair) < 0.3 * shift(plain)
     rows = [sorted({0, 1}), [1]]
-    weight, _ = _fit(rows, [([0, 1], [1])], np.array([1.0, 0.0]), 2, 50.0, 0.0, 300)
+    weight, _ = _fit(rows, [([0], [], 1)], np.array([1.0, 0.0]), 2, 50.0, 0.0, 300)
     assert abs(weight[0]) < 0.5
 
 
+def test_the_penalty_lowers_the_gap_and_false_positives_on_mentions(spark):
+    docs, labels = labelled(spark, biased=True)
+    neutral = spark.createDataFrame([(i, f"calm{i} calm{i + 1} a muslim calm{i + 2}") for i in range(30)], "doc_id long, text string")
+    off, on = train(docs, labels, fairness=0.0), train(docs, labels)
+    gaps = {name: mention_gap(docs, m).first() for name, m in (("off", off), ("on", on))}
+    assert gaps["on"].pairs == gaps["off"].pairs > 400 and gaps["on"].gap < 0.5 * gaps["off"].gap
+    mentions = lambda m: score(neutral, m).agg({"score": "avg"}).first()[0]
+    assert mentions(on) < mentions(off)
+
+
+def test_every_text_with_words_has_pairs(spark):
+    other = swaps()
+    assert counterfactuals("", other) == [] and counterfactuals("12 !", other) == []
+    named = counterfactuals("A woman sang. The sea was calm.", other)
+    assert (words_of("A woman sang."), words_of("A man sang.")) in named and len(named) == 3
+    assert all(a != b for a, b in named)
+    for text in ("nur worte", "une femme parle", "un hombre y una mujer"):
+        assert counterfactuals(text, other)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(labels, "doc_id").select("text")
+    assert mention_gap(known, train(docs, labels)).first().pairs >= 2 * 0.9 * known.count()
+
+
+def test_selection_never_reads_the_held_out_fold(spark):
+    docs, labels = labelled(spark, 120)
+    turned = spark.createDataFrame([(r.doc_id, 1 - r.toxic if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 else r.toxic) for r in labels.collect()], labels.schema)
+    found = cross_validated(docs, labels, {"most_features": 100}, folds=(1, 2))
+    assert found == cross_validated(docs, turned, {"most_features": 100}, folds=(1, 2)) and found["documents"] > 10
+
+
 def test_features():
     assert features_of(words_of("Große Hunde, 12 x")) == {"große", "hunde", "x", "groß*", "hund*"}
     assert all(swaps()[t] != t for t in swaps())
