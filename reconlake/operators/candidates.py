@@ -11,26 +11,37 @@ def within_days(a: Column, b: Column, days: int) -> Column:
     return F.abs(F.datediff(a, b)) <= days
 
 
+def day_block(day: Column, days: int) -> Column:
+    """The number of the day's block of `2 * days + 1` days: a window of `days` to both sides touches two at most."""
+    return F.floor(F.datediff(day, F.lit("1970-01-01")) / (2 * days + 1)).cast("long")
+
+
+def near_blocks(rows: DataFrame, day: str, days: int) -> DataFrame:
+    """Each row once for every block of days, `_block`, that its window touches."""
+    return rows.withColumn("_block", F.explode(F.sequence(day_block(F.date_sub(day, days), days), day_block(F.date_add(day, days), days))))
+
+
 def window_join(left: DataFrame, right: DataFrame, keys: list[str], left_day: str, right_day: str, days: int) -> DataFrame:
-    """Inner join on `keys` within a window of days; `delta` is right day minus left day."""
-    met = left.join(right, keys).where(within_days(F.col(left_day), F.col(right_day), days))
-    return met.withColumn("delta", F.datediff(right_day, left_day))
+    """Inner join on `keys` within a window of days; `delta` is right day minus left day.
+
+    A right row lies in one block of days, a left row goes to the one or two that its window touches, and they meet
+    by equal keys and block, so that the rows of a key don't all meet however long the history is.
+    """
+    met = near_blocks(left, left_day, days).join(right.withColumn("_block", day_block(F.col(right_day), days)), [*keys, "_block"])
+    return met.where(within_days(F.col(left_day), F.col(right_day), days)).drop("_block").withColumn("delta", F.datediff(right_day, left_day))
 
 
 def tolerance_join(left: DataFrame, right: DataFrame, keys: list[str], left_day: str, right_day: str, days: int, left_amount: str, right_amount: str, part: int) -> DataFrame:
     """`window_join` of positive amounts that differ by a `part`th of the left one at most.
 
-    A right row lies in one block of days and one band of amounts; a left row goes to the one or two of each that its
-    window touches. They meet by equal keys, so the rows of a key don't all meet.
+    A right row lies in one band of amounts as well; a left row goes to the one or two that its tolerance touches.
     """
-    block = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01")) / (2 * days + 1)).cast("long")
     band = lambda x: F.floor(F.log(x.cast("double")) / F.lit(3 / part)).cast("long")
     amount = F.col(left_amount)
-    near = left.where(amount > 0).withColumn("_block", F.explode(F.sequence(block(F.date_sub(left_day, days)), block(F.date_add(left_day, days)))))
-    near = near.withColumn("_band", F.explode(F.sequence(band(amount * (1 - 1 / part - 1e-9)), band(amount * (1 + 1 / part + 1e-9)))))
-    dealt = right.where(F.col(right_amount) > 0).withColumn("_block", block(F.col(right_day))).withColumn("_band", band(F.col(right_amount)))
-    met = window_join(near, dealt, [*keys, "_block", "_band"], left_day, right_day, days)
-    return met.where(F.abs(F.col(right_amount) - amount) * part <= amount).drop("_block", "_band")
+    near = left.where(amount > 0).withColumn("_band", F.explode(F.sequence(band(amount * (1 - 1 / part - 1e-9)), band(amount * (1 + 1 / part + 1e-9)))))
+    dealt = right.where(F.col(right_amount) > 0).withColumn("_band", band(F.col(right_amount)))
+    met = window_join(near, dealt, [*keys, "_band"], left_day, right_day, days)
+    return met.where(F.abs(F.col(right_amount) - amount) * part <= amount).drop("_band")
 
 
 def mutual_unique(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -43,13 +54,27 @@ def mutual_unique(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def pair_splits(targets: DataFrame, parts: DataFrame, keys: list[str], target: str, target_amount: str, target_day: str, part: str, part_amount: str, part_day: str, days: int) -> DataFrame:
     """Two parts of the same keys that add up to a target, each smaller than it, within `days` of it.
 
-    The second part is found by an equi-join on what is missing, so a group's pairs are never listed.
+    A target meets the first parts of its window (see `window_join`); the second part is found by an equi-join on
+    what is missing, in the same window, so a group's pairs are never listed.
     """
     first = parts.select(*keys, F.col(part).alias("part_1"), F.col(part_amount).alias("amount_1"), F.col(part_day).alias("day_1"))
     second = parts.select(*keys, F.col(part).alias("part_2"), F.col(part_amount).alias("amount_2"), F.col(part_day).alias("day_2"))
-    near = targets.join(first, keys).where(within_days(F.col(target_day), F.col("day_1"), days) & (F.abs("amount_1") < F.abs(target_amount)))
-    near = near.withColumn("amount_2", F.col(target_amount) - F.col("amount_1"))
-    return near.join(second, [*keys, "amount_2"]).where(within_days(F.col(target_day), F.col("day_2"), days) & (F.abs("amount_2") < F.abs(target_amount)) & (F.col("part_1") < F.col("part_2")))
+    near = window_join(targets, first, keys, target_day, "day_1", days).drop("delta").where(F.abs("amount_1") < F.abs(target_amount))
+    met = window_join(near.withColumn("amount_2", F.col(target_amount) - F.col("amount_1")), second, [*keys, "amount_2"], target_day, "day_2", days).drop("delta")
+    return met.where((F.abs("amount_2") < F.abs(target_amount)) & (F.col("part_1") < F.col("part_2")))
+
+
+def triple_splits(targets: DataFrame, parts: DataFrame, keys: list[str], target: str, target_amount: str, target_day: str, part: str, part_amount: str, part_day: str, days: int, most_parts: int = 20) -> DataFrame:
+    """Three parts that add up to a target, each smaller than it and the last of its sign; a target with more than
+    `most_parts` smaller parts in its window has none: the operator's own rule, which bounds the triples of a target."""
+    own = targets.select(*keys, F.col(target).alias("_target"), F.col(target_amount).alias("_total"), F.col(target_day).alias("_day"))
+    near = parts.select(*keys, F.col(part).alias("_part"), F.col(part_amount).alias("_amount"), F.col(part_day).alias("_part_day"))
+    pool = window_join(own, near, keys, "_day", "_part_day", days).where(F.abs("_amount") < F.abs("_total"))
+    pool = pool.withColumn("n", F.count("*").over(Window.partitionBy("_target"))).where(F.col("n") <= most_parts)
+    one, two, three = (pool.select("_target", "_total", F.col("_part").alias(f"part_{i}"), F.col("_amount").alias(f"amount_{i}"), F.col("_part_day").alias(f"day_{i}")) for i in (1, 2, 3))
+    met = one.join(two.drop("_total"), "_target").where("part_1 < part_2").withColumn("amount_3", F.col("_total") - F.col("amount_1") - F.col("amount_2"))
+    met = met.where(F.signum("amount_3") == F.signum("_total")).join(three.drop("_total"), ["_target", "amount_3"]).where("part_2 < part_3")
+    return met.withColumnRenamed("_target", target).withColumnRenamed("_total", target_amount)
 
 
 def as_of(points: DataFrame, events: DataFrame, keys: list[str], at: str, event_at: str, order: list[str], value: str, before: bool = True) -> DataFrame:
@@ -68,13 +93,28 @@ def as_of(points: DataFrame, events: DataFrame, keys: list[str], at: str, event_
 def allocate(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_amount: str, left_order: list[str], right_id: str, right_amount: str, right_order: list[str]) -> DataFrame:
     """Greedy allocation of left amounts to right amounts, both in order: overlaps of cumulative intervals.
 
-    Magnitudes are allocated, so signs don't matter. Intervals of one group are joined where they overlap.
+    Magnitudes are allocated, so signs don't matter. Of two overlapping intervals one begins inside the other, so
+    each row only needs the interval of the other side that is open where its own begins: all rows of a group are
+    ordered by their beginnings once and that interval is carried along. No group's rows are paired.
     """
 
-    def intervals(df: DataFrame, name: str, amount: str, order: list[str], side: str) -> DataFrame:
+    def intervals(df: DataFrame, name: str, amount: str, order: list[str], side: int) -> DataFrame:
         running = F.sum(F.abs(amount)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.select(*keys, F.col(name).alias(name), (running - F.abs(amount)).alias(f"{side}_from"), running.alias(f"{side}_to"))
-
-    met = intervals(left, left_id, left_amount, left_order, "l").join(intervals(right, right_id, right_amount, right_order, "r"), keys)
-    met = met.where((F.col("l_from") < F.col("r_to")) & (F.col("r_from") < F.col("l_to")))
-    return met.select(*keys, left_id, right_id, (F.least("l_to", "r_to") - F.greatest("l_from", "r_from")).alias("allocated"))
+        span = F.struct((running - F.abs(amount)).alias("since"), running.alias("till"))
+        ids = [F.col(name) if side == i else F.lit(None).cast(df_.schema[n].dataType) for i, (df_, n) in enumerate(((left, left_id), (right, right_id)))]
+        return df.select(*keys, F.lit(side).alias("side"), ids[0].alias("l_id"), ids[1].alias("r_id"), span.alias("span")).withColumn("since", F.col("span.since"))
+
+    both = intervals(left, left_id, left_amount, left_order, 0).unionByName(intervals(right, right_id, right_amount, right_order, 1))
+    so_far = Window.partitionBy(*keys).orderBy("since", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def open_one(side: int) -> Column:
+        return F.last(F.when((F.col("side") == side) & (F.col("span.till") > F.col("span.since")), F.struct("l_id", "r_id", "span")), ignorenulls=True).over(so_far)
+
+    other = F.when(F.col("side") == 0, F.col("open_1")).otherwise(F.col("open_0"))
+    met = both.withColumn("open_0", open_one(0)).withColumn("open_1", open_one(1)).withColumn("other", other)
+    met = met.where((F.col("other.span.since") < F.col("span.till")) & (F.col("span.since") < F.col("other.span.till")))
+    own_left = F.col("side") == 0
+    return met.select(
+        *keys, F.when(own_left, F.col("l_id")).otherwise(F.col("other.l_id")).alias(left_id), F.when(own_left, F.col("other.r_id")).otherwise(F.col("r_id")).alias(right_id),
+        (F.least("span.till", "other.span.till") - F.greatest("span.since", "other.span.since")).alias("allocated"),
+    )

@@ -7,8 +7,9 @@ from pyspark.sql.window import Window
 
 from reconlake.functions.names import operation_number, tokens
 from reconlake.operators.assign import greedy_assign
-from reconlake.operators.candidates import allocate, mutual_unique, pair_splits, tolerance_join, window_join, within_days
+from reconlake.operators.candidates import allocate, mutual_unique, pair_splits, tolerance_join, triple_splits, window_join, within_days
 from reconlake.operators.dedup import dedup_keys, embedded_reference, latest_by, new_rows
+from reconlake.operators.matching import assign_candidates, match_candidates, matching_run
 from reconlake.operators.journal import apportion, explode_lines, line, split_side
 from reconlake.operators.reports import dominant, mode_by
 from reconlake.operators.scoring import expense_score, pair_score, status_of
@@ -47,18 +48,13 @@ def splits(v):
 
 @query("D11_triple_splits", """
     WITH pool AS (SELECT t.treasury_id, t.amount_key AS target, b.bank_id, b.amount_key AS part, count(*) OVER (PARTITION BY t.treasury_id) AS n FROM treasury t
-      JOIN bank b ON b.account_id = t.account_id AND b.direction = t.direction AND abs(date_diff('day', t.doc_date, b.post_date)) <= 3 AND b.amount_key < t.amount_key)
+      JOIN (SELECT bank.*, post_date + CAST(i AS integer) AS near_day FROM bank, (SELECT unnest(range(-3, 4)) AS i) AS d) AS b ON b.account_id = t.account_id AND b.direction = t.direction AND b.near_day = t.doc_date AND b.amount_key < t.amount_key)
     SELECT a.treasury_id, a.bank_id AS part_1, b.bank_id AS part_2, c.bank_id AS part_3 FROM pool a JOIN pool b ON a.treasury_id = b.treasury_id AND a.bank_id < b.bank_id
     JOIN pool c ON a.treasury_id = c.treasury_id AND b.bank_id < c.bank_id AND c.part = a.target - a.part - b.part WHERE a.n <= 20""")
-def triple_splits(v):
-    t = v.treasury.select("treasury_id", "account_id", "direction", "doc_date", F.col("amount_key").alias("target"))
-    b = v.bank.select("bank_id", "account_id", "direction", "post_date", F.col("amount_key").alias("part"))
-    pool = window_join(t, b, ["account_id", "direction"], "doc_date", "post_date", 3).where("part < target").select("treasury_id", "target", "bank_id", "part")
-    # triples of a pool over 20 are not looked for: the operator's own rule
-    pool = pool.withColumn("n", F.count("*").over(Window.partitionBy("treasury_id"))).where("n <= 20")
-    one, two, three = (pool.select("treasury_id", "target", F.col("bank_id").alias(f"part_{i}"), F.col("part").alias(f"a{i}")) for i in (1, 2, 3))
-    met = one.join(two.drop("target"), "treasury_id").where("part_1 < part_2").withColumn("a3", F.col("target") - F.col("a1") - F.col("a2"))
-    return met.join(three.drop("target"), ["treasury_id", "a3"]).where("part_2 < part_3").select("treasury_id", "part_1", "part_2", "part_3")
+def triples(v):
+    t, b = v.treasury.withColumnRenamed("amount_key", "target"), v.bank.withColumnRenamed("amount_key", "part")
+    found = triple_splits(t, b, ["account_id", "direction"], "treasury_id", "target", "doc_date", "bank_id", "part", "post_date", 3)
+    return found.select("treasury_id", "part_1", "part_2", "part_3")
 
 
 @query("D12_other_accounts", """
@@ -178,22 +174,20 @@ def pair_scores(v):
     return scored(v).select("treasury_id", "bank_id", "score")
 
 
+def ledger_candidates(v):
+    return match_candidates(v.ledger.where("account_id IS NOT NULL"), v.ledger_bank, v.account)
+
+
 @query("E01_assignment")
 def assignment(v):
-    edges = scored(v).select("treasury_id", F.array("bank_id").alias("bank_ids"), F.col("score").cast("double").alias("score"), "days", F.lit(1).alias("kind"))
-    two = pair_splits(v.treasury, v.bank, ["account_id", "direction"], "treasury_id", "amount_key", "doc_date", "bank_id", "amount_key", "post_date", 3)
-    two = two.select("treasury_id", F.array("part_1", "part_2").alias("bank_ids"), F.lit(25.0).alias("score"), F.abs(F.datediff("day_1", "doc_date")).alias("days"), F.lit(2).alias("kind"))
-    won = greedy_assign(edges.unionByName(two), "treasury_id", "bank_ids", [-F.col("score"), F.col("days"), F.col("treasury_id"), F.col("kind"), F.col("bank_ids")])
-    return won.select("treasury_id", F.array_join("bank_ids", "|").alias("bank_ids"), "score", status_of(F.col("score")).alias("status"))
+    """Every kind of candidate (one row, two, three, other account) over true amounts, then one greedy pass."""
+    won = assign_candidates(ledger_candidates(v))
+    return won.select("treasury_id", F.array_join("bank_ids", "|").alias("bank_ids"), "score", "match_type", status_of(F.col("score")).alias("status"))
 
 
 @query("E07_outcomes")
 def outcomes(v):
-    won = assignment(v).select("treasury_id", "status")
-    t = v.treasury.where(~F.col("kind").eqNullSafe("TBK")).join(won, "treasury_id", "left")
-    capped = F.when(F.col("is_exception") & (F.col("status") == "AUTO"), "SUGGESTED").otherwise(F.col("status"))
-    outcome = F.when(F.col("state").eqNullSafe("ANU"), "ANNULLED").when(F.col("status").isNotNull(), capped).when(F.col("is_exception"), "REVIEW").otherwise("NO_MATCH")
-    return t.select("treasury_id", outcome.alias("outcome"))
+    return matching_run(v.ledger, v.ledger_bank, v.account).select("treasury_id", "outcome", "match_type", "score", F.array_join("bank_ids", "|").alias("bank_ids"))
 
 
 @query("E11_allocation", """

@@ -53,6 +53,28 @@ VIEWS: dict[str, str] = {
     "settlement": f"""
         SELECT event_id AS settlement_id, user_id % 7 AS branch_id, CAST(ts AS date) AS sale_date, {_VALUE} AS gross, {_VALUE} * 2 // 100 AS fee, regexp_extract(props, '[0-9]+', 0) AS receipt
         FROM {{events}} WHERE event_id % 2 = 1""",
+    # a ledger whose rows are paid by one to three bank rows: true amounts, some on another account, some voided
+    "ledger_bank": f"""
+        SELECT CAST(l_orderkey AS string) || '-' || CAST(l_linenumber AS string) || '-' || CAST(l_partkey AS string) || '-' || CAST({_PRICE} AS string) AS bank_id,
+          CASE WHEN l_orderkey % 23 = 0 THEN (l_orderkey + 1) % 10 ELSE l_orderkey % 10 END AS account_id,
+          CASE WHEN l_orderkey % 4 = 0 THEN 'OUT' ELSE 'IN' END AS direction,
+          CASE WHEN l_orderkey % 4 = 0 THEN -{_PRICE} ELSE {_PRICE} END AS amount,
+          date_add(DATE '1995-01-01', CAST(l_orderkey * 7 % 2000 + l_orderkey % 5 * ((l_linenumber + 1) % 3) AS int)) AS post_date,
+          CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE 'Transf de Perez' || CAST(l_orderkey % 50 AS string) || ' Ana' END AS counterparty,
+          CASE WHEN l_orderkey % 7 = 0 THEN CAST(10000000 + l_orderkey % 50 AS string) || '-K' ELSE NULL END AS counterparty_tax_id,
+          'GIRO ' || CAST(l_partkey AS string) AS memo
+        FROM {{lineitem}}""",
+    "ledger": f"""
+        SELECT o_orderkey AS treasury_id,
+          CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE o_orderkey % 10 END AS account_id,
+          CASE WHEN o_orderkey % 4 = 0 THEN 'OUT' ELSE 'IN' END AS direction,
+          CAST(sum(CASE WHEN o_orderkey % 4 = 0 THEN -{_PRICE} ELSE {_PRICE} END) AS bigint) AS amount,
+          date_add(DATE '1995-01-01', CAST(o_orderkey * 7 % 2000 AS int)) AS doc_date,
+          CASE WHEN o_orderkey % 31 = 0 THEN 'ANU' ELSE NULL END AS state, o_orderkey % 17 = 0 AS is_exception,
+          CASE WHEN o_orderkey % 11 = 0 THEN 'CLIENTE GENERICO' ELSE 'Perez' || CAST(o_orderkey % 50 AS string) || ', Ana' END AS client,
+          CASE WHEN o_orderkey % 14 = 0 THEN CAST(10000000 + o_orderkey % 50 AS string) || '-K' ELSE NULL END AS tax_id,
+          CASE WHEN o_orderkey % 41 = 0 THEN 'DEP (2) PEREZ' ELSE 'DEP PEREZ' || CAST(o_orderkey % 50 AS string) END AS memo
+        FROM {{orders}} JOIN {{lineitem}} ON l_orderkey = o_orderkey WHERE l_linenumber <= 1 + o_orderkey % 3 GROUP BY o_orderkey""",
 }
 VIEWS["links"] = f"SELECT order_id AS treasury_id, bank_id, amount AS bank_amount, post_date FROM ({VIEWS['bank']}) AS b WHERE line_no <= 3"
 VIEWS["settlement"] = VIEWS["settlement"].replace(f"{_VALUE} * 2 // 100", f"CAST(floor({_VALUE} * 2 / 100.0) AS bigint)")

@@ -20,8 +20,9 @@ def test_rounds_equal_one_greedy_pass(spark):
                 used |= ends
                 want.append((t, bs, s))
         df = spark.createDataFrame([(t, list(bs), s) for t, bs, s in edges], "t int, bs array<int>, s int").repartition(4)
-        got = greedy_assign(df, "t", "bs", [-F.col("s"), F.col("t"), F.col("bs")]).collect()
-        assert sorted((r.t, tuple(r.bs), r.s) for r in got) == sorted(want)
+        for few in (0, 20, 20_000):
+            got = greedy_assign(df, "t", "bs", [-F.col("s"), F.col("t"), F.col("bs")], in_one_task=few).collect()
+            assert sorted((r.t, tuple(r.bs), r.s) for r in got) == sorted(want)
     assert greedy_assign(df.limit(0), "t", "bs", [F.col("s")]).count() == 0
 
 

@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -14,7 +15,7 @@ SQL = catalog.oracle_sql()
 
 
 def plain(x):
-    if x is None or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
         return "-"
     return str(int(x)) if isinstance(x, (int, float)) and float(x).is_integer() else str(x)
 
