@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,20 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's `spark.checkpoint.dir`.
+    """The folder that driver and executors share: the session's `spark.checkpoint.dir`, as a full address.
 
-    Where the session names none (tests on one machine), a temporary folder becomes the
-    checkpoint folder of the session.
+    Spark itself completes the setting (a path without a scheme is one of the default file system) and makes the
+    session's own folder in it. Where the session names none (tests on one machine), a temporary folder
+    becomes the checkpoint folder of the session.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="reconlake-")
-        context.setCheckpointDir(named)
-        named = context.getCheckpointDir()
-    if named.startswith("/"):
-        named = f"file://{named}"
-    return named
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reconlake-"))
+    named = context.getCheckpointDir()
+    return named.replace("file:/", "file:///", 1) if named.startswith("file:/") and not named.startswith("file://") else named
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
@@ -71,3 +71,12 @@ def text_slices(offsets: np.ndarray, most_bytes: int):
         past = min(max(past, first + 1), n)
         yield first, past
         first = past
+
+
+def give_back() -> None:
+    """Return freed memory of this worker process to the system: reused workers wait beside the executor's JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
