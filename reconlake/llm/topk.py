@@ -12,7 +12,10 @@ from reconlake.llm.shared import blocks_for, stored
 
 ROWS_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 512
-SEGMENTS = 2
+#: Components are worked through in so many segments; candidates that can no longer reach the cutoff drop out between them.
+SEGMENTS = 4
+#: Scores must be smaller.
+MOST_SCORE = 1 << 60
 
 
 def integer_vectors(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -43,38 +46,61 @@ def _blocks(rows: DataFrame, blocks: int, distinct: bool) -> DataFrame:
 def _kind(dim: int, a: int, b: int):
     """The fastest type in which sums of `dim` products of such size are exact."""
     bound = dim * a * b
+    if bound >= MOST_SCORE:
+        raise ValueError(f"scores may reach {bound}; they must be under 2**60")
     return np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
 
 
-def _partials(q_data: bytes, c_data: bytes, dim: int, a: int, b: int) -> list[np.ndarray]:
-    kind = _kind(dim, a, b)
-    q, c = (np.frombuffer(x, "<i8").reshape(-1, dim).astype(kind) for x in (q_data, c_data))
-    cuts = np.linspace(0, dim, min(SEGMENTS, dim) + 1).astype(int)
-    return [q[:, s:e] @ c[:, s:e].T for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+def _matrices(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    kind = _kind(row["dim"], row["q_peak"], row["peak"])
+    return tuple(np.frombuffer(x, "<i8").reshape(-1, row["dim"]).astype(kind) for x in (row["q_data"], row["data"]))
 
 
-def _least(kind) -> float | int:
-    return np.iinfo(np.int64).min // 4 if kind == np.int64 else -np.inf
+def _lengths(matrix: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The length of each row's segments, rounded up."""
+    squares = np.add.reduceat(matrix.astype(np.float64) ** 2, cuts[:-1], axis=1)
+    return np.sqrt(squares) * (1 + 1e-9)
 
 
-def _pairs(queries: DataFrame, candidates: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Every query block beside every candidate block of its dimension: query blocks are dealt by block number."""
-    numbers = candidates.groupBy("dim").agg(F.collect_list("block").alias("numbers"))
-    dealt = queries.join(numbers, "dim").select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("peak").alias("q_peak"), *extra, F.explode("numbers").alias("block"))
+def reaching(q: np.ndarray, c: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of the pairs whose inner product is `least` of the query or more.
+
+    A product of segments is at most the product of their lengths. Candidates that can't reach any query's cutoff by
+    that bound are never multiplied, and those that can't with the segments summed so far drop out before the next.
+    """
+    cuts = np.linspace(0, q.shape[1], min(SEGMENTS, q.shape[1]) + 1).astype(int)
+    q_long, c_long = _lengths(q, cuts), _lengths(c, cuts)
+    columns = np.flatnonzero((q_long @ c_long.T + 1e-3 >= least).any(axis=0))
+    total = np.zeros((len(q), len(columns)), q.dtype)
+    for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
+        total += q[:, s:e] @ c[columns, s:e].T
+        if i < len(cuts) - 1:
+            open_ = (total + q_long[:, i:] @ c_long[columns, i:].T + 1e-3 >= least).any(axis=0)
+            if open_.mean() < 0.8:
+                columns, total = columns[open_], total[:, open_]
+    asked, place = np.nonzero(total >= least)
+    return asked, columns[place], total[asked, place].astype(np.int64)
+
+
+def _pairs(queries: DataFrame, candidates: DataFrame, extra: tuple[str, ...] = (), one_each: bool = False) -> DataFrame:
+    """Every query block beside every candidate block of its dimension (or beside one): query blocks are dealt by block number."""
+    numbers = candidates.groupBy("dim").agg(F.sort_array(F.collect_list("block")).alias("numbers"))
+    met = F.array(F.element_at("numbers", F.col("q_block") % F.size("numbers") + 1)) if one_each else F.col("numbers")
+    dealt = queries.withColumnRenamed("block", "q_block").join(numbers, "dim").select("dim", "q_block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("peak").alias("q_peak"), *extra, F.explode(met).alias("block"))
     return dealt.join(candidates, ["dim", "block"])
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """For each query row the `k` other rows with the highest integer inner product, ties to the smaller id.
 
-    Components are split into segments, each of which gives partial scores. Phase 1: every block gives, for each
-    query, its `k` best by each segment's partial scores, with their exact totals; the k-th best of all these is
-    a cutoff that no result can fall below. Phase 2: the cutoffs travel with the query blocks; a score that
-    reaches the cutoff has a partial of at least cutoff / segments, so entries with such a partial suffice.
-    Phase 3: their totals are resolved exactly, and what reaches the cutoff (the best `k` of a block are enough)
-    is ranked. Queries meet candidates block by block, each pair of blocks in bounded memory.
+    Phase 1: every query meets the candidates of one block; the k-th best of its scores there is a cutoff that no
+    result can fall below. Phase 2: the cutoffs travel with the query blocks to all candidate blocks, where lengths
+    of segments tell which candidates can reach them (see `reaching`); the others are not multiplied, or not to the
+    end. Phase 3: what is left is summed exactly, and what reaches the cutoff (the best `k` of a block are enough) is
+    ranked. Queries meet candidates block by block, each pair of blocks in bounded memory.
 
-    Scores must be under 2**60 in size. Rows with a null id, or a null, empty or non-finite vector take no part. Vectors meet those of their own
+    Scores must be under 2**60 in size; where they might not be, the job fails. Rows with a null id, or a null, empty
+    or non-finite vector take no part. Vectors meet those of their own
     length only. Rows that repeat a query's id are one query (that with the least vector) and no candidates of
     it; repeated candidates are ranked each. Extra columns are ignored; an empty table gives an empty result.
 
@@ -85,52 +111,40 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
     candidates = stored(_blocks(rows, blocks_for(rows.count(), rows_per_block), False), "topk-candidates")
     queries = stored(_blocks(asking, blocks_for(asking.count(), queries_per_block), True), "topk-query-blocks")
 
+    def best(row: dict, asked: np.ndarray, place: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        """Each query's `k` best of the given pairs of a block, without itself."""
+        q_ids, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
+        other = q_ids[asked] != ids[place]
+        asked, place, total = asked[other], place[other], total[other]
+        order = np.lexsort((ids[place], -total, asked))
+        asked, place, total = asked[order], place[order], total[order]
+        first = np.arange(len(asked)) - np.searchsorted(asked, asked, side="left") < k
+        columns = [np.full(first.sum(), row["dim"], np.int32), np.full(first.sum(), row["q_block"], np.int32), q_ids[asked[first]], ids[place[first]], total[first]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["dim", "block", "query_id", id_col, "score"])
+
     def first_lists(batches):
         for batch in batches:
-            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                parts = _partials(r["q_data"], r["data"], r["dim"], r["q_peak"], r["peak"])
-                q_ids, ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                own, n = q_ids[:, None] == ids[None, :], min(k, len(ids))
-                low = _least(parts[0].dtype)
-                places = []
-                for p in parts:
-                    ranked = np.where(own, low, p)
-                    places.append(np.argpartition(ranked, len(ids) - n, axis=1)[:, len(ids) - n :])
-                place = np.sort(np.concatenate(places, axis=1), axis=1)
-                total = sum(np.take_along_axis(p, place, 1) for p in parts)
-                total[np.take_along_axis(own, place, 1)] = low
-                total[:, 1:][place[:, 1:] == place[:, :-1]] = low
-                best = -np.sort(-total, axis=1)[:, :n]
-                asked, rank = np.nonzero(best != low)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), r["dim"], np.int32)), pa.array(np.full(len(asked), r["q_block"], np.int32)), pa.array(q_ids[asked]), pa.array(best[asked, rank].astype(np.int64))], names=["dim", "block", "query_id", "score"])
-
-    lists = _pairs(queries, candidates).mapInArrow(first_lists, "dim int, block int, query_id long, score long")
-    by_score = Window.partitionBy("dim", "block", "query_id").orderBy(F.col("score").desc())
-    cutoff = lists.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k).where(F.col("n") == k)
-    cutoffs = cutoff.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "score")).alias("cutoffs"))
-    told = stored(queries.join(cutoffs, ["dim", "block"], "left"), "topk-cutoffs")
+            for row in batch.to_pylist():
+                q, c = _matrices(row)
+                scores = (q @ c.T).astype(np.int64)
+                scores[np.frombuffer(row["q_ids"], "<i8")[:, None] == np.frombuffer(row["ids"], "<i8")] = -MOST_SCORE
+                last = scores.shape[1] - min(k, scores.shape[1])
+                asked, place = np.nonzero(scores >= np.partition(scores, last, axis=1)[:, last : last + 1])
+                yield best(row, asked, place, scores[asked, place])
 
     def sufficient(batches):
         for batch in batches:
-            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                parts = _partials(r["q_data"], r["data"], r["dim"], r["q_peak"], r["peak"])
-                q_ids, ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                known = {c["query_id"]: c["score"] for c in r["cutoffs"] or []}
-                least = np.array([known.get(q, _least(np.int64)) for q in q_ids.tolist()], np.int64)[:, None]
-                reach = np.zeros((len(q_ids), len(ids)), bool)
-                for p in parts:
-                    reach |= p * len(parts) >= least
-                reach &= q_ids[:, None] != ids[None, :]
-                asked, place = np.nonzero(reach)
-                total = sum(p[asked, place] for p in parts).astype(np.int64)
-                kept = total >= least[asked, 0]
-                asked, place, total = asked[kept], place[kept], total[kept]
-                order = np.lexsort((ids[place], -total, asked))
-                asked, place, total = asked[order], place[order], total[order]
-                rank = np.arange(len(asked)) - np.searchsorted(asked, asked, side="left")
-                asked, place, total = (x[rank < k] for x in (asked, place, total))
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[asked]), pa.array(ids[place]), pa.array(total)], names=["query_id", id_col, "score"])
-
-    found = _pairs(told, candidates, ("cutoffs",)).mapInArrow(sufficient, f"query_id long, `{id_col}` long, score long")
+            for row in batch.to_pylist():
+                known = {c["query_id"]: c["score"] for c in row["cutoffs"] or []}
+                least = np.array([known.get(q, -MOST_SCORE) for q in np.frombuffer(row["q_ids"], "<i8").tolist()], np.int64)
+                yield best(row, *reaching(*_matrices(row), least[:, None]))
+
+    schema = f"dim int, block int, query_id long, `{id_col}` long, score long"
+    lists = _pairs(queries, candidates, one_each=True).mapInArrow(first_lists, schema)
+    by_score = Window.partitionBy("dim", "block", "query_id").orderBy(F.col("score").desc())
+    cutoff = lists.withColumn("n", F.row_number().over(by_score)).where(F.col("n") == k)
+    cutoffs = cutoff.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "score")).alias("cutoffs"))
+    told = stored(queries.join(cutoffs, ["dim", "block"], "left"), "topk-cutoffs")
+    found = _pairs(told, candidates, ("cutoffs",)).mapInArrow(sufficient, schema).select("query_id", id_col, "score")
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")

@@ -1,10 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reconlake.llm.topk import exact_top_k
+from reconlake.llm.topk import exact_top_k, reaching
 
 
 def slow(rows, k, is_query):
@@ -35,3 +36,22 @@ def test_fewer_rows_than_k_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, exact_top_k(df, F.col("vec_id") % 20 == 0).collect())) == [(0, 1, 1, 64 * 128)]
     assert exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_cutoffs_skip_products_and_lose_nothing():
+    rng = np.random.default_rng(3)
+    for kind in (np.float32, np.float64, np.int64):
+        q, c = (rng.integers(-40, 40, (n, 16)) for n in (30, 400))
+        c[::2] //= 20  # short vectors: no cutoff is within their reach
+        scores = q @ c.T
+        least = np.sort(scores, axis=1)[:, -10:-9]
+        asked, place, total = reaching(q.astype(kind), c.astype(kind), least)
+        want = np.nonzero(scores >= least)
+        assert sorted(zip(asked.tolist(), place.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in want), strict=True))
+        assert (total == scores[asked, place]).all()
+
+
+def test_scores_that_might_overflow_are_refused(spark):
+    df = spark.createDataFrame([(0, [2.0**30, 1.0]), (1, [2.0**30, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="under 2"):
+        exact_top_k(df, F.col("vec_id") % 20 == 0).collect()
