@@ -94,22 +94,34 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, id_col: str =
     return rows.select("row", id_col).join(prints, "row", "left").select(id_col, F.coalesce("weight", F.lit("")).alias("fingerprint"))
 
 
-def _cells(docs: DataFrame, key: Column, docs_per_cell: int) -> Column:
-    """The cell of a row: ranges of the key with about equal numbers of rows, OUTER x INNER at most.
+def _cells(docs: DataFrame, key: Column, tie: Column, docs_per_cell: int) -> Column:
+    """The cell of a row: ranges of (key, tie) with about equal numbers of rows, OUTER x INNER at most, in order.
 
-    The driver gets the ranges' bounds only: percentiles of the key column.
+    Bounds are percentiles of the key column; the driver gets them only. A key that several of them fall on has as
+    many cells of its own, ranges of `tie`, a hash; its rows lie there, in that order.
     """
     cells = min(OUTER * INNER, blocks_for(docs.count(), docs_per_cell))
     if cells == 1:
         return F.lit(0)
     shares = [i / cells for i in range(1, cells)]
-    bounds = sorted(set(docs.agg(F.percentile_approx(key, shares, 100_000).alias("b")).first()["b"] or []))
+    found = docs.agg(F.percentile_approx(key, shares, 100_000).alias("b")).first()["b"] or []
+    bounds = sorted(set(found))
     inner = [bounds[i : i + INNER] for i in range(0, len(bounds), INNER)]
     tops = F.array(*[F.lit(x[-1]).cast("long") for x in inner])
     table = F.array(*[F.array(*[F.lit(b).cast("long") for b in x]) for x in inner])
     outer = F.size(F.filter(tops, lambda b: b < key))
     within = F.size(F.filter(F.coalesce(F.get(table, outer), F.array().cast("array<bigint>")), lambda b: b < key))
-    return (outer * INNER + within).cast("int")
+    cell = outer * INNER + within
+    hot = {b: found.count(b) for b in bounds if found.count(b) > 1}
+    if not hot:
+        return cell.cast("int")
+    # cells are numbered with room for the most own cells of a key: its other neighbours come before them
+    room = 1 + max(hot.values())
+    share = (tie.cast("double") + 2.0**63) / 2.0**64
+    own = F.lit(0)
+    for b, n in hot.items():
+        own = F.when(key == b, 1 + F.least(F.floor(share * n), F.lit(n - 1))).otherwise(own)
+    return (cell * room + own).cast("int")
 
 
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, docs_per_cell: int = DOCS_PER_CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,13 +141,14 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, docs_per_cell:
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
     rows = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("text"), order.alias("k"))
     ids = docs.select(order.alias("k"))
-    rows = rows.withColumn("cell", _cells(ids, F.col("k"), docs_per_cell))
-    firsts = [tuple(r) for r in rows.groupBy("cell").agg(F.min("k")).orderBy("cell").collect()]
-    heads = spark.createDataFrame([(k, firsts[i - 1][0], cell) for i, (cell, k) in enumerate(firsts)], "head long, before int, head_cell int")
-    rows = rows.join(F.broadcast(heads), (F.col("k") == F.col("head")), "left")
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("cell", _cells(ids, F.col("k"), F.col("tie"), docs_per_cell))
+    first = F.min(F.struct("k", "tie"))
+    firsts = [tuple(r) for r in rows.groupBy("cell").agg(first.alias("f")).select("cell", "f.k", "f.tie").orderBy("cell").collect()]
+    heads = spark.createDataFrame([(k, tie, firsts[i - 1][0], cell) for i, (cell, k, tie) in enumerate(firsts)], "head long, head_tie long, before int, head_cell int")
+    rows = rows.join(F.broadcast(heads), (F.col("k") == F.col("head")) & (F.col("tie") == F.col("head_tie")), "left")
     own, sent = F.struct(F.col("cell").alias("to"), F.lit(0).alias("late")), F.struct(F.col("before").alias("to"), F.lit(1).alias("late"))
-    rows = rows.select(id_col, "k", "text", "cell", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, sent))).alias("x"))
-    rows = rows.select(id_col, "k", "text", F.col("cell").alias("home"), F.col("x.to").alias("to"), F.col("x.late").alias("late"), F.xxhash64("text").alias("tie")).where("to is not null")
+    rows = rows.select(id_col, "k", "text", "cell", "tie", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, sent))).alias("x"))
+    rows = rows.select(id_col, "k", "text", F.col("cell").alias("home"), F.col("x.to").alias("to"), F.col("x.late").alias("late"), "tie").where("to is not null")
 
     beside = Window.partitionBy("to").orderBy("late", "k", "tie")
     cut = F.length("text") - F.floor(F.length("text") / 4)

@@ -59,11 +59,14 @@ def alike(a, b, samples):
     return sum(a[8 * i : 8 * i + 8] == b[8 * i : 8 * i + 8] for i in range(samples)) / samples
 
 
-@pytest.mark.parametrize("per_cell", [512, 4])
-def test_edited_fingerprints_by_brute_force(awkward, per_cell):
+@pytest.mark.parametrize(("per_cell", "hot"), [(512, False), (4, False), (4, True), (2, True)])
+def test_edited_fingerprints_by_brute_force(awkward, per_cell, hot):
     samples = 8
-    rows = [(r.doc_id, r.text or "") for r in awkward.where("doc_id IS NULL OR doc_id <> 34").collect()]
-    got = edited_fingerprints(awkward.where("doc_id IS NULL OR doc_id <> 34"), samples, per_cell).collect()
+    docs = awkward.where("doc_id IS NULL OR doc_id <> 34").select("doc_id", "text", "word")
+    if hot:  # half of the rows without an id, and some with one and the same
+        docs = docs.withColumn("doc_id", F.when(F.xxhash64("text") % 2 == 0, None).when(F.col("doc_id") % 3 == 0, 9).otherwise(F.col("doc_id"))).dropDuplicates(["doc_id", "text"]).cache()
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    got = edited_fingerprints(docs, samples, per_cell).collect()
 
     def place(row):
         h = xxhash.xxh64_intdigest(row[1].encode(), 42)
