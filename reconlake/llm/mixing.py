@@ -78,8 +78,9 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    placed: bool = True,
 ) -> DataFrame:
-    """The documents, each as often as the mixture reads it, with the columns of `docs` and those below.
+    """The documents, each as often as the mixture reads it, with the columns of `docs` and (if `placed`) those below.
 
     Source token counts (words) give shares; `temperature` bisects the exponent; a source's quota is its weight
     times `budget_tokens` (None: such that the source with the greatest share is read once and no document is
@@ -90,7 +91,8 @@ def mix_sources(
 
     A null source is a source of its own. Texts without words (null too) weigh nothing; a source that has only
     such texts is read once. Rows that agree in id and text go together. Extra columns are kept; new columns
-    replace any of the same names. An empty table gives an empty result.
+    replace any of the same names (none are added, and so none replaced, without `placed`). An empty table gives an
+    empty result.
 
     New columns: n_words long, weight double (of the source), epoch int (from 1), block int, block_order long
     (sorting by it, then by doc_order, gives the permuted blocks), doc_order long.
@@ -100,7 +102,7 @@ def mix_sources(
     totals = stored(rows.groupBy("mix_source").agg(F.sum("words").alias("tokens"), F.count("*").alias("docs")), "mix-sources")
     total, sources, most = totals.agg(F.sum("tokens"), F.count("*"), F.max("tokens")).first()
     shares = totals.where("tokens > 0").select((F.col("tokens") / F.lit(float(total or 1))).alias("share"))
-    new = ["n_words", "weight", "epoch", "block", "block_order", "doc_order"]
+    new = ["n_words", "weight", "epoch", "block", "block_order", "doc_order"] if placed else []
     if not total:
         x, scale, power_sum = 1.0, 0.0, 1.0
     else:
@@ -117,12 +119,12 @@ def mix_sources(
     fit = F.broadcast if few else (lambda df: df)
     block = F.pmod(F.col("draw"), F.col("blocks")).cast("int")
 
-    placed = rows.join(fit(plan.where("quota > 0")), rows["mix_source"].eqNullSafe(plan["mix_source"])).select(plan["mix_source"], "quota", block.alias("at"), "draw", "words")
+    dealt = rows.join(fit(plan.where("quota > 0")), rows["mix_source"].eqNullSafe(plan["mix_source"])).select(plan["mix_source"], "quota", block.alias("at"), "draw", "words")
     ahead = Window.partitionBy("mix_source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("mix_source", "quota", "at").agg(F.sum("words").alias("words"))
+    sums = dealt.groupBy("mix_source", "quota", "at").agg(F.sum("words").alias("words"))
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
     last = stored(sums.where("before <= quota and before + words > quota").select("mix_source", "at", "before"), "mix-last-blocks")
-    tail = placed.join(fit(last.withColumnRenamed("mix_source", "last_source")), placed["mix_source"].eqNullSafe(F.col("last_source")) & (placed["at"] == last["at"])).select("mix_source", placed["at"], "draw", "words", "quota", "before")
+    tail = dealt.join(fit(last.withColumnRenamed("mix_source", "last_source")), dealt["mix_source"].eqNullSafe(F.col("last_source")) & (dealt["at"] == last["at"])).select("mix_source", dealt["at"], "draw", "words", "quota", "before")
     so_far = Window.partitionBy("mix_source", "at").orderBy("draw").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     tail = tail.withColumn("reached", F.col("before") + F.sum("words").over(so_far))
     cuts = tail.groupBy("mix_source", "at").agg(F.max(F.when(F.col("reached") <= F.col("quota"), F.col("draw"))).alias("cut")).select(F.col("mix_source").alias("cut_source"), "at", "cut")
@@ -135,6 +137,8 @@ def mix_sources(
     partial = (F.col("quota") > 0) & ((F.col("own_block") < F.col("at")) | ((F.col("own_block") == F.col("at")) & (F.col("draw") <= F.col("cut"))))
     copies = F.col("whole") + F.when(partial, 1).otherwise(0)
     wide = wide.withColumn("copies", copies).where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    if not placed:
+        return wide.select("mix_row.*")
     order = F.xxhash64(F.lit(seed), F.col("pass"), F.col("mix_source"), F.col("own_block"))
     return wide.select(
         "mix_row.*", word_count(F.col(f"mix_row.{text_col}")).alias("n_words"), "weight", F.col("pass").cast(T.IntegerType()).alias("epoch"),
