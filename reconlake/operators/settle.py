@@ -5,61 +5,122 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reconlake.functions.names import receipt_list
 from reconlake.operators.assign import greedy_assign
+from reconlake.operators.candidates import window_join
 
 #: Tolerances in hundredths of a percent, and windows in days.
-BY_RECEIPT_BP, RECEIPT_DAYS, EXACT_DAYS, MIRROR_DAYS = 500, 3, 1, 2
+BY_RECEIPT_BP, SEVERAL_BP, RECEIPT_DAYS, EXACT_DAYS, MIRROR_DAYS = 500, 250, 3, 1, 2
 
 
-def match_settlements(pos: DataFrame, settlements: DataFrame) -> DataFrame:
-    """Rows (pos_id, settlement_id, matched_by, difference) of three passes, each over what the one before left.
+def match_settlements(pos: DataFrame, settlements: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Rows (pos_id, settlement_id, matched_by, difference) of five passes, each over what the ones before left.
 
-    By receipt: same receipt and branch, at most three days apart and 5 % off, nearest amount first. Exact: same
-    branch and amount, a day apart at most. Tolerant: same branch, a day apart, 5 % off, and each the only
-    candidate of the other. A settlement without a branch fits any. Candidates come from equi-joins on the branch
-    and receipt, amount or day; passes resolve ties by `greedy_assign` in a total order.
+    Manual: the (pos_id, settlement_id) of `links`, whatever the amounts; a settlement goes to the least pos_id.
+    By receipt: same receipt and branch, at most three days apart and 5 % off, nearest amount first. Several: the
+    memo of a row (a column `memo`, if there is one) names two receipts or more, each has one settlement left, of the
+    branch and within three days, and they add up to the amount but for 2.5 %; the earliest row goes first. Exact:
+    same branch and amount, a day apart at most. Tolerant: same branch, a day apart, 5 % off, and each the
+    only candidate of the other. A settlement without a branch fits any, and is joined apart from the others, so that
+    these meet by branch. `difference` is what all settlements of the row exceed its amount by.
     """
-    s = settlements.select("settlement_id", F.col("branch_id").alias("s_branch"), F.col("sale_date").alias("s_day"), "gross", F.regexp_replace("receipt", "^0+", "").alias("receipt"))
-    p = pos.select("pos_id", "branch_id", F.col("sale_date").alias("p_day"), "amount", F.regexp_replace("receipt", "^0+", "").alias("receipt"))
+    bare = lambda c: F.coalesce(F.nullif(F.regexp_replace(c, "^0+", ""), F.lit("")), F.lit("0"))
+    s = settlements.select("settlement_id", F.col("branch_id").alias("s_branch"), F.col("sale_date").alias("s_day"), "gross", bare(F.col("receipt")).alias("receipt")).where("settlement_id IS NOT NULL")
+    memo = F.col("memo") if "memo" in pos.columns else F.lit(None).cast("string")
+    p = pos.select("pos_id", "branch_id", F.col("sale_date").alias("p_day"), "amount", bare(F.col("receipt")).alias("receipt"), memo.alias("memo"))
     days, off = F.abs(F.datediff("s_day", "p_day")), F.abs(F.col("gross") - F.col("amount"))
-    fits = F.col("s_branch").isNull() | (F.col("s_branch") == F.col("branch_id"))
     near = (F.col("amount") == 0) | (off * 10_000 <= F.abs("amount") * BY_RECEIPT_BP)
     found = []
 
-    def take(edges: DataFrame, name: str, unique: bool = False) -> None:
+    def met(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
+        rows, sides = (df if "receipt" in keys else df.drop("receipt") for df in (rows, s))
+        named = window_join(rows, sides.where("s_branch IS NOT NULL").withColumn("branch_id", F.col("s_branch")), [*keys, "branch_id"], "p_day", "s_day", window)
+        other = window_join(rows, sides.where("s_branch IS NULL"), keys, "p_day", "s_day", window)
+        return named.unionByName(other, allowMissingColumns=True)
+
+    def settle(won: DataFrame, name: str) -> None:
+        """`won`: pos_id, settlement_id, gross, amount."""
         nonlocal p, s
-        if unique:
-            counts = [edges.groupBy(c).agg(F.count("*").alias(f"n_{c}")) for c in ("pos_id", "settlement_id")]
-            won = edges.join(counts[0], "pos_id").join(counts[1], "settlement_id").where("n_pos_id = 1 AND n_settlement_id = 1")
-        else:
-            won = greedy_assign(edges, "pos_id", "settlement_id", [F.col("off"), F.col("days"), F.col("pos_id"), F.col("settlement_id")])
-        won = won.select("pos_id", "settlement_id", F.lit(name).alias("matched_by"), (F.col("gross") - F.col("amount")).alias("difference")).checkpoint()
+        sums = won.groupBy("pos_id").agg((F.sum("gross") - F.max("amount")).alias("difference"))
+        won = won.join(sums, "pos_id").select("pos_id", "settlement_id", F.lit(name).alias("matched_by"), "difference").checkpoint()
         found.append(won)
         p, s = p.join(won, "pos_id", "left_anti"), s.join(won, "settlement_id", "left_anti")
 
-    kept = ["pos_id", "settlement_id", "gross", "amount", off.alias("off"), days.alias("days")]
-    take(p.join(s, "receipt").where(fits & near & (days <= RECEIPT_DAYS)).select(*kept), "receipt")
-    take(p.join(s, F.col("gross") == F.col("amount")).where(fits & (days <= EXACT_DAYS)).select(*kept), "exact")
-    spread = p.withColumn("day", F.explode(F.expr(f"sequence(date_sub(p_day, {EXACT_DAYS}), date_add(p_day, {EXACT_DAYS}))")))
-    take(spread.join(s, F.col("day") == F.col("s_day")).where(fits & near).select(*kept), "tolerant", unique=True)
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    def nearest(edges: DataFrame, name: str) -> None:
+        edges = edges.select("pos_id", "settlement_id", "gross", "amount", off.alias("off"), days.alias("days"))
+        settle(greedy_assign(edges, "pos_id", "settlement_id", [F.col("off"), F.col("days"), F.col("pos_id"), F.col("settlement_id")]), name)
 
+    if links is not None:
+        forced = links.groupBy("settlement_id").agg(F.min("pos_id").alias("pos_id"))
+        settle(forced.join(p.select("pos_id", "amount"), "pos_id").join(s.select("settlement_id", "gross"), "settlement_id"), "manual")
+    nearest(met(p, ["receipt"], RECEIPT_DAYS).where(near), "receipt")
 
-def match_mirrors(movements: DataFrame, entity_of: str, owner_of: str) -> DataFrame:
-    """Pairs of an outgoing and an incoming movement between own accounts, with how they were found.
+    several = p.where("amount > 0").withColumn("receipts", receipt_list(F.col("memo"))).where("receipts IS NOT NULL")
+    asked = several.withColumn("receipt", F.explode("receipts")).withColumn("receipt", F.col("receipt").cast("string"))
+    one_each = met(asked, ["receipt"], RECEIPT_DAYS).groupBy("pos_id", "amount", "p_day", "receipts", "receipt").agg(F.count("*").alias("n"), F.min(F.struct("settlement_id", "gross")).alias("one")).where("n = 1")
+    groups = one_each.groupBy("pos_id", "amount", "p_day", "receipts").agg(F.collect_set("one.settlement_id").alias("ids"), F.count("*").alias("n"), F.sum("one.gross").alias("total"))
+    groups = groups.where((F.col("n") == F.size("receipts")) & (F.size("ids") == F.col("n")) & (F.abs(F.col("total") - F.col("amount")) * 10_000 <= F.col("amount") * SEVERAL_BP))
+    won = greedy_assign(groups.select("pos_id", F.sort_array("ids").alias("ids"), "amount", "p_day"), "pos_id", "ids", [F.col("p_day"), F.col("pos_id")])
+    settle(won.select("pos_id", "amount", F.explode("ids").alias("settlement_id")).join(s.select("settlement_id", "gross"), "settlement_id"), "several")
 
-    `entity_of` names the entity that a movement's text points to, `owner_of` the entity that holds its account.
-    Candidates of an OUT are INs on accounts of the entity it points to, of the same size, within two days, whose
-    own text doesn't name an outsider. A pair with one candidate on both ends is `clean`; one whose IN points
-    back at the OUT's owner is taken next (`circle`); the rest goes first to the earliest (`block`).
-    """
+    nearest(met(p.withColumn("gross", F.col("amount")), ["gross"], EXACT_DAYS), "exact")
+    edges = met(p, [], EXACT_DAYS).where(near & (F.col("amount") != 0)).select("pos_id", "settlement_id", "gross", "amount")
+    counts = [edges.groupBy(c).agg(F.count("*").alias(f"n_{c}")) for c in ("pos_id", "settlement_id")]
+    settle(edges.join(counts[0], "pos_id").join(counts[1], "settlement_id").where("n_pos_id = 1 AND n_settlement_id = 1"), "tolerant")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _mirror_sides(movements: DataFrame, entity_of: str, owner_of: str) -> tuple[DataFrame, DataFrame]:
     size = F.abs(F.col("amount"))
-    out = movements.where("direction = 'OUT'").select(F.col("bank_id").alias("out_id"), size.alias("size"), F.col("post_date").alias("out_day"), F.col(entity_of).alias("owner"), F.col(owner_of).alias("out_owner"))
+    out = movements.where("direction = 'OUT'").where(F.col(entity_of).isNotNull())
+    out = out.select(F.col("bank_id").alias("out_id"), size.alias("size"), F.col("post_date").alias("out_day"), F.col(entity_of).alias("owner"), F.col(owner_of).alias("out_owner"))
     into = movements.where("direction = 'IN'").where(F.col(entity_of).isNotNull() | F.col("counterparty").isNull())
     into = into.select(F.col("bank_id").alias("in_id"), size.alias("size"), F.col("post_date").alias("in_day"), F.col(owner_of).alias("owner"), F.col(entity_of).alias("in_names"))
-    edges = out.join(into, ["size", "owner"]).where(F.abs(F.datediff("in_day", "out_day")) <= MIRROR_DAYS)
-    edges = edges.withColumn("back", F.when(F.col("in_names") == F.col("out_owner"), 0).otherwise(1))
-    counts = [edges.groupBy(c).agg(F.count("*").alias(f"n_{c}")) for c in ("out_id", "in_id")]
-    edges = edges.join(counts[0], "out_id").join(counts[1], "in_id").withColumn("clean", F.when((F.col("n_out_id") == 1) & (F.col("n_in_id") == 1), 0).otherwise(1))
-    won = greedy_assign(edges, "out_id", "in_id", [F.col("clean"), F.col("back"), F.col("out_day"), F.col("out_id"), F.col("in_day"), F.col("in_id")])
-    return won.select("out_id", "in_id", F.when(F.col("clean") == 0, "clean").when(F.col("back") == 0, "circle").otherwise("block").alias("found_by"))
+    return out, into
+
+
+def match_mirrors(movements: DataFrame, entity_of: str, owner_of: str) -> DataFrame:
+    """(out_id, in_id, found_by, intra) of the outgoing and incoming movements that mirror each other.
+
+    `entity_of` names the own entity that a movement's text points to, `owner_of` the entity that holds its account.
+    Candidates of an OUT are INs on accounts of the entity it points to, of the same size, within two days, whose own text
+    doesn't name an outsider. Passes, each over what the ones before left, the earliest OUT first: those with one candidate
+    (`clean`); those with one candidate that points back at the OUT's owner (`circle`); the rest, which prefer a
+    candidate that points back, then the earliest (`block`). `intra`: both accounts have the same owner.
+    """
+    out, into = _mirror_sides(movements, entity_of, owner_of)
+    edges = window_join(out, into, ["size", "owner"], "out_day", "in_day", MIRROR_DAYS)
+    edges = edges.withColumn("back", F.when(F.col("in_names") == F.col("out_owner"), 0).otherwise(1)).withColumn("intra", F.col("owner").eqNullSafe(F.col("out_owner")))
+    edges = edges.select("out_id", "in_id", "out_day", "in_day", "back", "intra").checkpoint()
+    counts = edges.groupBy("out_id").agg(F.count("*").alias("n"))
+    found, rank = [], [F.col("out_day"), F.col("out_id"), F.col("back"), F.col("in_day"), F.col("in_id")]
+
+    def take(some: DataFrame, name: str) -> None:
+        nonlocal edges
+        won = greedy_assign(some.select("out_id", "in_id", "out_day", "in_day", "back", "intra"), "out_id", "in_id", rank).select("out_id", "in_id", F.lit(name).alias("found_by"), "intra").checkpoint()
+        found.append(won)
+        edges = edges.join(won, "out_id", "left_anti").join(won, "in_id", "left_anti")
+
+    take(edges.join(counts.where("n = 1"), "out_id", "left_semi"), "clean")
+    closing = edges.where("back = 0")
+    take(closing.join(closing.groupBy("out_id").agg(F.count("*").alias("m")).where("m = 1"), "out_id", "left_semi"), "circle")
+    take(edges, "block")
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def mirror_orphans(movements: DataFrame, entity_of: str, owner_of: str, pairs: DataFrame) -> DataFrame:
+    """(bank_id, direction, reason) of the movements between own accounts that `pairs` leaves over.
+
+    An OUT has `no-dest-account` if the entity it points to holds no account, `no-candidate` if nothing fits it, else
+    `ambiguous`: others took its candidates. An IN that points to an own entity has `no-out`.
+    """
+    out, into = _mirror_sides(movements, entity_of, owner_of)
+    owners = movements.select(F.col(owner_of).alias("owner")).where("owner IS NOT NULL").distinct().withColumn("held", F.lit(True))
+    fits = window_join(out, into, ["size", "owner"], "out_day", "in_day", MIRROR_DAYS).select("out_id").distinct().withColumn("fits", F.lit(True))
+    left = out.join(pairs, "out_id", "left_anti").join(owners, "owner", "left").join(fits, "out_id", "left")
+    reason = F.when(F.col("held").isNull(), "no-dest-account").when(F.col("fits").isNull(), "no-candidate").otherwise("ambiguous")
+    unused = into.where("in_names IS NOT NULL").join(pairs, "in_id", "left_anti")
+    return left.select(F.col("out_id").alias("bank_id"), F.lit("OUT").alias("direction"), reason.alias("reason")).unionByName(unused.select(F.col("in_id").alias("bank_id"), F.lit("IN").alias("direction"), F.lit("no-out").alias("reason")))

@@ -9,11 +9,12 @@ from reconlake.functions.names import operation_number, tokens
 from reconlake.operators.assign import greedy_assign
 from reconlake.operators.candidates import allocate, mutual_unique, pair_splits, tolerance_join, triple_splits, window_join, within_days
 from reconlake.operators.dedup import dedup_keys, embedded_reference, latest_by, new_rows
+from reconlake.operators.settings import for_each, settings
 from reconlake.operators.matching import assign_candidates, match_candidates, matching_run
 from reconlake.operators.journal import apportion, explode_lines, line, split_side
 from reconlake.operators.reports import dominant, mode_by
 from reconlake.operators.scoring import expense_score, pair_score, status_of
-from reconlake.operators.settle import match_mirrors, match_settlements
+from reconlake.operators.settle import match_mirrors, match_settlements, mirror_orphans
 from reconlake.plans.catalog import query
 
 PAIRS_SQL = """SELECT t.treasury_id, b.bank_id, t.direction, CAST(date_diff('day', t.doc_date, b.post_date) AS bigint) AS delta FROM treasury t JOIN bank b
@@ -29,7 +30,7 @@ def pairs(v):
 @query("D08_alias_lookup", "SELECT t.treasury_id, a.account_id AS alias_account FROM treasury t JOIN (SELECT 'Customer ' || CAST(account_id * 5 AS string) AS alias, account_id FROM account) AS a ON a.alias = t.client")
 def alias_lookup(v):
     alias = v.account.select(F.concat(F.lit("Customer "), (F.col("account_id") * 5).cast("string")).alias("client"), F.col("account_id").alias("alias_account"))
-    return v.treasury.join(F.broadcast(alias), "client").select("treasury_id", "alias_account")
+    return v.treasury.join(alias, "client").select("treasury_id", "alias_account")
 
 
 @query("D09_window_candidates", f"SELECT treasury_id, bank_id, delta FROM ({PAIRS_SQL})")
@@ -66,10 +67,19 @@ def other_accounts(v):
     return met.where("own_account <> account_id AND (client = counterparty OR tax_id = counterparty_tax_id)").select("treasury_id", "bank_id")
 
 
+def own_transfers(v):
+    return v.bank.select("bank_id", "direction", F.col("amount_key").alias("amount"), "post_date", "counterparty", F.when(F.col("part_id") % 3 == 0, F.col("part_id") % 7).alias("names"), (F.col("account_id") % 5).alias("owner"))
+
+
 @query("D14_mirror_transfers")
 def mirrors(v):
-    movements = v.bank.select("bank_id", "direction", F.col("amount_key").alias("amount"), "post_date", "counterparty", F.when(F.col("part_id") % 3 == 0, F.col("part_id") % 5).alias("names"), (F.col("account_id") % 5).alias("owner"))
-    return match_mirrors(movements, "names", "owner")
+    return match_mirrors(own_transfers(v), "names", "owner")
+
+
+@query("D14_mirror_orphans")
+def orphans(v):
+    movements = own_transfers(v)
+    return mirror_orphans(movements, "names", "owner", match_mirrors(movements, "names", "owner"))
 
 
 @query("D15_pos_settlement")
@@ -117,13 +127,15 @@ def nearest(v):
 
 
 @query("D19_fuzzy_names", """
-    WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part), q AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 50 = 0)
-    SELECT p_partkey AS part_id, CAST(max(hits) AS bigint) AS hits FROM (SELECT w.p_partkey, q.p_name, count(DISTINCT q.w) AS hits FROM w JOIN q ON q.w = w.w GROUP BY 1, 2) WHERE hits >= 2 GROUP BY 1""")
+    WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part), q AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_brand = 'Brand#7'),
+    h AS (SELECT w.p_partkey, q.p_name, count(DISTINCT q.w) AS hits FROM w JOIN q ON q.w = w.w GROUP BY 1, 2)
+    SELECT part_id, name, CAST(hits AS bigint) AS hits FROM (SELECT p_partkey AS part_id, p_name AS name, hits, row_number() OVER (PARTITION BY p_partkey ORDER BY hits DESC, p_name) AS n FROM h WHERE hits >= 2) WHERE n = 1""")
 def fuzzy_names(v):
     words = v.table("part").select(F.col("p_partkey").alias("part_id"), F.explode(F.split("p_name", " ")).alias("w"))
-    known = v.table("part").where("p_partkey % 50 = 0").select("p_name", F.explode(F.split("p_name", " ")).alias("w")).distinct()
-    hits = words.join(F.broadcast(known), "w").groupBy("part_id", "p_name").agg(F.countDistinct("w").alias("hits")).where("hits >= 2")
-    return hits.groupBy("part_id").agg(F.max("hits").alias("hits"))
+    # the known names are those of one brand; a name with two words in common or more fits, the best first
+    known = v.table("part").where("p_brand = 'Brand#7'").select("p_name", F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    hits = words.join(known, "w").groupBy("part_id", "p_name").agg(F.countDistinct("w").alias("hits")).where("hits >= 2")
+    return latest_by(hits, ["part_id"], [F.desc("hits"), F.col("p_name")]).select("part_id", F.col("p_name").alias("name"), "hits")
 
 
 ALIAS_SQL = "SELECT t.client, b.account_id, CAST(count(*) AS bigint) AS n FROM treasury t JOIN bank b ON t.direction = b.direction AND t.amount_key = b.amount_key WHERE t.direction = 'IN' AND abs(date_diff('day', t.doc_date, b.post_date)) <= 7 GROUP BY 1, 2"
@@ -199,16 +211,16 @@ def allocation(v):
     return allocate(v.treasury, b, ["client_id"], "treasury_id", "amount", ["doc_date", "treasury_id"], "bank_id", "bank_amount", ["post_date", "bank_id"])
 
 
-ENTITY_SQL = "SELECT branch_id AS entity_id, '1000000' || CAST(branch_id AS string) || '-K' AS tax_id, 'Customer ' || CAST(branch_id AS string) AS name FROM branch WHERE branch_id < 10"
+ENTITY_SQL = "SELECT branch_id AS entity_id, '1000000' || CAST(branch_id AS string) || '-K' AS tax_id, 'Customer ' || CAST(branch_id AS string) AS name FROM branch"
 
 
 @query("E15_internal_entity", f"""
     SELECT b.bank_id, CAST(coalesce(x.entity_id, n.entity_id) AS bigint) AS entity_id, CASE WHEN x.entity_id IS NOT NULL THEN 'tax_id' ELSE 'name' END AS via
     FROM bank b LEFT JOIN ({ENTITY_SQL}) AS x ON x.tax_id = b.counterparty_tax_id LEFT JOIN ({ENTITY_SQL}) AS n ON n.name = b.counterparty WHERE x.entity_id IS NOT NULL OR n.entity_id IS NOT NULL""")
 def internal_entity(v):
-    e = v.branch.where("branch_id < 10").select(F.col("branch_id").alias("entity_id"), F.concat(F.lit("1000000"), F.col("branch_id").cast("string"), F.lit("-K")).alias("tax_id"), F.concat(F.lit("Customer "), F.col("branch_id").cast("string")).alias("name"))
-    by_id = F.broadcast(e.select(F.col("entity_id").alias("id_entity"), F.col("tax_id").alias("counterparty_tax_id")))
-    by_name = F.broadcast(e.select(F.col("entity_id").alias("name_entity"), F.col("name").alias("counterparty")))
+    e = v.branch.select(F.col("branch_id").alias("entity_id"), F.concat(F.lit("1000000"), F.col("branch_id").cast("string"), F.lit("-K")).alias("tax_id"), F.concat(F.lit("Customer "), F.col("branch_id").cast("string")).alias("name"))
+    by_id = e.select(F.col("entity_id").alias("id_entity"), F.col("tax_id").alias("counterparty_tax_id"))
+    by_name = e.select(F.col("entity_id").alias("name_entity"), F.col("name").alias("counterparty"))
     met = v.bank.join(by_id, "counterparty_tax_id", "left").join(by_name, "counterparty", "left").where("id_entity IS NOT NULL OR name_entity IS NOT NULL")
     return met.select("bank_id", F.coalesce("id_entity", "name_entity").alias("entity_id"), F.when(F.col("id_entity").isNotNull(), "tax_id").otherwise("name").alias("via"))
 
@@ -217,8 +229,8 @@ def internal_entity(v):
     WITH c AS (SELECT DISTINCT client FROM treasury), h AS (SELECT c.client, count(e.entity_id) AS n, min(e.entity_id) AS entity_id FROM c LEFT JOIN ({ENTITY_SQL}) AS e ON contains(c.client, e.name) GROUP BY c.client)
     SELECT client, CASE WHEN n = 1 THEN 'match' WHEN n = 0 THEN 'no_match' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN entity_id END AS entity_id FROM h""")
 def name_suggestion(v):
-    e = v.branch.where("branch_id < 10").select(F.col("branch_id").alias("entity_id"), F.concat(F.lit("Customer "), F.col("branch_id").cast("string")).alias("name"))
-    hits = v.treasury.select("client").distinct().join(F.broadcast(e), F.contains("client", "name"), "left").groupBy("client").agg(F.count("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
+    e = v.branch.select(F.col("branch_id").alias("entity_id"), F.concat(F.lit("Customer "), F.col("branch_id").cast("string")).alias("name"))
+    hits = v.treasury.select("client").distinct().join(settings(e), F.contains("client", "name"), "left").groupBy("client").agg(F.count("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
     return hits.select("client", F.when(F.col("n") == 1, "match").when(F.col("n") == 0, "no_match").otherwise("ambiguous").alias("outcome"), F.when(F.col("n") == 1, F.col("entity_id")).alias("entity_id"))
 
 
@@ -258,9 +270,9 @@ def winners(v):
     return latest_by(flagged, ["account_id", "amount_key"], [F.coalesce("hit", F.lit(1)), F.col("post_date"), F.col("bank_id")]).select("account_id", "amount_key", "bank_id")
 
 
-@query("F08_new_settlements", "SELECT settlement_id FROM settlement WHERE receipt NOT IN (SELECT receipt FROM settlement WHERE branch_id = 1)")
+@query("F08_new_settlements", "SELECT settlement_id FROM settlement WHERE (receipt, gross) NOT IN (SELECT (receipt, gross) FROM settlement WHERE branch_id = 1)")
 def new_settlements(v):
-    return new_rows(v.settlement, v.settlement.where("branch_id = 1"), ["receipt"]).select("settlement_id")
+    return new_rows(v.settlement, v.settlement.where("branch_id = 1"), ["receipt", "gross"]).select("settlement_id")
 
 
 @query("H06_multiplicity", f"WITH p AS ({PAIRS_SQL}) SELECT treasury_id, CAST(count(*) AS bigint) AS n FROM p GROUP BY 1 HAVING count(*) > 1")
@@ -268,26 +280,17 @@ def multiplicity(v):
     return pairs(v).groupBy("treasury_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("H09_apportionment", """
-    WITH w AS (SELECT branch_id, CAST(headcount AS bigint) AS w FROM branch), x AS (SELECT t.treasury_id, t.amount, w.branch_id, w.w, abs(t.amount) * w.w AS p FROM treasury t JOIN w ON TRUE WHERE t.treasury_id % 20 = 0),
+APPORTION_SQL = """
+    WITH w AS (SELECT branch_id, CAST(headcount AS bigint) AS w FROM branch), x AS (SELECT t.treasury_id, t.amount, w.branch_id, w.w, abs(t.amount) * w.w AS p FROM treasury t JOIN w ON TRUE),
     s AS (SELECT *, sum(w) OVER (PARTITION BY treasury_id) AS tot FROM x), r AS (SELECT *, p // tot AS base, p % tot AS rem FROM s),
     k AS (SELECT *, abs(amount) - sum(base) OVER (PARTITION BY treasury_id) AS leftover, row_number() OVER (PARTITION BY treasury_id ORDER BY rem DESC, w DESC, branch_id) AS n FROM r)
-    SELECT treasury_id, branch_id, CAST(sign(amount) * (base + CASE WHEN n <= leftover THEN 1 ELSE 0 END) AS bigint) AS part FROM k""")
-def apportionment(v):
-    weights = F.broadcast(v.branch.select("branch_id", F.col("headcount").cast("long").alias("w"), F.lit(1).alias("one")))
-    entries = v.treasury.where("treasury_id % 20 = 0").select("treasury_id", "amount", F.lit(1).alias("one")).join(weights, "one")
-    return apportion(entries, ["treasury_id"], "amount", "w", "branch_id").select("treasury_id", "branch_id", "part")
+    SELECT treasury_id, branch_id, CAST(sign(amount) * (base + CASE WHEN n <= leftover THEN 1 ELSE 0 END) AS bigint) AS part FROM k"""
 
 
-@query("H09_apportionment_all", """
-    WITH w AS (SELECT branch_id, CAST(headcount AS bigint) AS w FROM branch), x AS (SELECT t.treasury_id, t.amount, w.branch_id, w.w, abs(t.amount) * w.w AS p FROM treasury t JOIN w ON TRUE),
-    s AS (SELECT *, sum(w) OVER (PARTITION BY treasury_id) AS tot FROM x), r AS (SELECT *, p // tot AS base, p % tot AS rem FROM s),
-    k AS (SELECT *, abs(amount) - sum(base) OVER (PARTITION BY treasury_id) AS leftover, row_number() OVER (PARTITION BY treasury_id ORDER BY rem DESC, w DESC, branch_id) AS n FROM r)
-    SELECT treasury_id, branch_id, CAST(sign(amount) * (base + CASE WHEN n <= leftover THEN 1 ELSE 0 END) AS bigint) AS part FROM k""")
-def apportionment_all(v):
-    """H09 over every treasury row."""
-    weights = F.broadcast(v.branch.select("branch_id", F.col("headcount").cast("long").alias("w"), F.lit(1).alias("one")))
-    entries = v.treasury.select("treasury_id", "amount", F.lit(1).alias("one")).join(weights, "one")
+@query("H09_apportionment_all", APPORTION_SQL)
+@query("H09_apportionment", APPORTION_SQL)
+def apportionment(v):
+    entries = for_each(v.treasury.select("treasury_id", "amount"), v.branch.select("branch_id", F.col("headcount").cast("long").alias("w")))
     return apportion(entries, ["treasury_id"], "amount", "w", "branch_id").select("treasury_id", "branch_id", "part")
 
 
@@ -296,12 +299,14 @@ JOURNAL_SQL = """
       sum(abs(l.bank_amount)) OVER (PARTITION BY l.treasury_id) AS paid FROM links l JOIN treasury t ON t.treasury_id = l.treasury_id JOIN matches m ON m.treasury_id = l.treasury_id WHERE m.status IN ('AUTO', 'MANUAL')"""
 
 
-@query("L01_income_journal", f"""
-    WITH j AS ({JOURNAL_SQL})
+INCOME_SQL = f"""
     SELECT treasury_id, kind, CAST(code AS bigint) AS code, CAST(sum(debit) AS bigint) AS debit, CAST(sum(credit) AS bigint) AS credit FROM (
       SELECT treasury_id, 'bank' AS kind, account_id AS code, abs(bank_amount) AS debit, 0 AS credit FROM j
       UNION ALL SELECT treasury_id, 'branch', 100 + branch_id, 0, abs(amount) FROM j WHERE n = 1
-      UNION ALL SELECT treasury_id, 'adjustment', 1403, greatest(abs(amount) - paid, 0), greatest(paid - abs(amount), 0) FROM j WHERE n = 1 AND paid <> abs(amount)) GROUP BY 1, 2, 3""")
+      UNION ALL SELECT treasury_id, 'adjustment', 1403, greatest(abs(amount) - paid, 0), greatest(paid - abs(amount), 0) FROM j WHERE n = 1 AND paid <> abs(amount)) GROUP BY 1, 2, 3"""
+
+
+@query("L01_income_journal", f"WITH j AS ({JOURNAL_SQL}) {INCOME_SQL}")
 def income_journal(v):
     c = F.col
     group = Window.partitionBy("treasury_id")
@@ -334,7 +339,8 @@ def settlement_close(v):
 
 
 @query("L11_balanced_entries", f"""
-    WITH j AS ({JOURNAL_SQL}) SELECT CAST(count(DISTINCT treasury_id) AS bigint) AS entries, CAST(0 AS bigint) AS unbalanced FROM j""")
+    WITH j AS ({JOURNAL_SQL}), e AS (SELECT treasury_id, sum(debit) - sum(credit) AS off FROM ({INCOME_SQL}) AS i GROUP BY treasury_id)
+    SELECT CAST(count(*) AS bigint) AS entries, CAST(sum(CASE WHEN off <> 0 THEN 1 ELSE 0 END) AS bigint) AS unbalanced FROM e""")
 def balanced_entries(v):
     sums = income_journal(v).groupBy("treasury_id").agg((F.sum("debit") - F.sum("credit")).alias("off"))
     return sums.agg(F.count("*").alias("entries"), F.sum(F.when(F.col("off") != 0, 1).otherwise(0)).alias("unbalanced"))
@@ -345,14 +351,15 @@ def balanced_entries(v):
     SELECT client, branch_id FROM h WHERE n = 1""")
 def unique_containment(v):
     needles = v.branch.select("branch_id", F.concat(F.lit("mer "), F.col("branch_id").cast("string")).alias("needle"))
-    hits = v.treasury.select("client").distinct().join(F.broadcast(needles), F.contains("client", "needle")).groupBy("client").agg(F.count("*").alias("n"), F.min("branch_id").alias("branch_id"))
+    hits = v.treasury.select("client").distinct().join(settings(needles), F.contains("client", "needle")).groupBy("client").agg(F.count("*").alias("n"), F.min("branch_id").alias("branch_id"))
     return hits.where("n = 1").select("client", "branch_id")
 
 
 @query("K21_operation_numbers", """
-    SELECT bank_id, nullif(ltrim(regexp_extract(memo, '([0-9]{2,7})[^0-9]*$', 1), '0'), '') AS operation FROM bank WHERE memo LIKE 'PAGO%'""")
+    WITH n AS (SELECT bank_id, list_extract(regexp_extract_all(upper(memo), '([0-9]{2,7})', 1), -1) AS number FROM bank)
+    SELECT bank_id, coalesce(nullif(ltrim(number, '0'), ''), number) AS operation FROM n""")
 def operation_numbers(v):
-    return v.bank.where("memo LIKE 'PAGO%'").select("bank_id", operation_number(F.col("memo")).alias("operation"))
+    return v.bank.select("bank_id", operation_number(F.col("memo")).alias("operation"))
 
 
 @query("K12_tokens", "SELECT p_partkey AS part_id, upper(p_name) AS joined FROM part")

@@ -11,6 +11,7 @@ from reconlake.functions.names import counterparty_quality, is_bank_fee, is_card
 from reconlake.operators.candidates import as_of
 from reconlake.operators.dedup import latest_by
 from reconlake.operators.reports import daily_flows, dominant, in_out, latest_value, mode_by, pivot_with_margins
+from reconlake.operators.settings import settings
 from reconlake.plans.catalog import query
 
 TODAY = "2001-01-01"
@@ -31,7 +32,8 @@ AGING_SQL = "CASE WHEN d <= 7 THEN '0-7' WHEN d <= 30 THEN '8-30' WHEN d <= 60 T
 def running_balance(v):
     opening = v.bank.where("post_date < DATE '1998-01-01'").agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("o"))
     flows = daily_flows(v.bank, "post_date", "amount", "1998-01-01", "1998-12-31", F.lit(0))
-    return flows.withColumn("one", F.lit(1)).join(F.broadcast(opening.withColumn("one", F.lit(1))), "one").select("day", "total_in", "total_out", (F.col("balance") + F.col("o")).alias("balance"))
+    # the opening balance is one row
+    return flows.select("day", "total_in", "total_out", (F.col("balance") + F.lit(opening.first()["o"])).alias("balance"))
 
 
 @query("A01_scan_page", "SELECT bank_id, account_id, amount, post_date FROM bank WHERE account_id = 3 AND post_date >= DATE '1998-01-01' ORDER BY post_date DESC, bank_id LIMIT 50 OFFSET 100", dates=("post_date",))
@@ -54,10 +56,10 @@ def amount_prefix(v):
     return v.bank.where(prefix_ranges(F.col("amount"), 123)).select("bank_id", "amount")
 
 
-@query("C05_loose_search", "SELECT bank_id FROM bank WHERE regexp_replace(lower(concat_ws(' ', memo, counterparty, counterparty_tax_id)), '[^a-z0-9]', '', 'g') LIKE '%customer2310000023k%'")
+@query("C05_loose_search", "SELECT bank_id FROM bank WHERE regexp_replace(lower(concat_ws(' ', memo, counterparty, counterparty_tax_id)), '[^a-z0-9]', '', 'g') LIKE '%customer2410000024k%'")
 def loose_search(v):
     bare = F.regexp_replace(F.lower(F.concat_ws(" ", "memo", "counterparty", "counterparty_tax_id")), "[^a-z0-9]", "")
-    return v.bank.where(bare.contains("customer2310000023k")).select("bank_id")
+    return v.bank.where(bare.contains("customer2410000024k")).select("bank_id")
 
 
 @query("C06_card_deposits", f"SELECT account_id, CAST(count(*) AS bigint) AS n, CAST(sum(amount) AS bigint) AS total FROM bank WHERE {CARD_SQL} GROUP BY account_id")
@@ -93,7 +95,7 @@ RULES_SQL = "(VALUES (1, NULL, 'mantencion'), (2, 3, 'GIRO'), (3, NULL, 'PAGO 12
 def discard_rules(v):
     rules = v.spark.sql(f"SELECT CAST(rule_no AS int) AS rule_no, CAST(rule_account AS bigint) AS rule_account, pattern FROM {RULES_SQL}")
     hit = F.contains("memo", "pattern") & (F.col("rule_account").isNull() | (F.col("rule_account") == F.col("account_id")))
-    return v.bank.join(F.broadcast(rules), hit).groupBy("bank_id").agg(F.min("rule_no").alias("rule_no"))
+    return v.bank.join(settings(rules), hit).groupBy("bank_id").agg(F.min("rule_no").alias("rule_no"))
 
 
 @query("C16_counterparty_quality", """
@@ -109,7 +111,7 @@ def status_filter(v):
 
 @query("D01_account_join", "SELECT a.holder, b.direction, CAST(count(*) AS bigint) AS n, CAST(sum(b.amount) AS bigint) AS total FROM bank b JOIN account a ON a.account_id = b.account_id GROUP BY a.holder, b.direction")
 def account_join(v):
-    return v.bank.join(F.broadcast(v.account), "account_id").groupBy("holder", "direction").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+    return v.bank.join(v.account, "account_id").groupBy("holder", "direction").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
 
 
 @query("D02_left_status", "SELECT coalesce(m.status, 'none') AS status, CAST(count(*) AS bigint) AS n, CAST(sum(t.amount) AS bigint) AS total FROM treasury t LEFT JOIN matches m ON m.treasury_id = t.treasury_id WHERE t.kind IS DISTINCT FROM 'TBK' GROUP BY 1")
@@ -182,7 +184,7 @@ STATES = ("AUTO", "MANUAL", "SUGGESTED", "REVIEW", "NO_MATCH", "OUT_OF_SCOPE", "
 def status_counts(v):
     counts = v.treasury.join(v.matches, "treasury_id", "left").groupBy(F.coalesce("status", F.lit("UNPROCESSED")).alias("status")).agg(F.count("*").alias("n"))
     names = v.spark.createDataFrame([(s,) for s in STATES], "status string")
-    return names.join(F.broadcast(counts), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
+    return names.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("G03_total_balance", "SELECT CAST(sum(b) AS bigint) AS balance FROM (SELECT account_id, arg_max(balance_after, post_date || bank_id) AS b FROM bank WHERE balance_after IS NOT NULL AND post_date < DATE '2000-01-01' GROUP BY account_id)")
@@ -219,7 +221,7 @@ def backlog(v):
     WHERE t.direction = 'IN' GROUP BY b.branch ORDER BY total DESC, b.branch LIMIT 10""")
 def top_branches(v):
     sums = v.treasury.where("direction = 'IN'").groupBy("branch_id").agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
-    return sums.join(F.broadcast(v.branch), "branch_id").select("branch", "total", "n").orderBy(F.desc("total"), "branch").limit(10)
+    return sums.join(v.branch, "branch_id").select("branch", "total", "n").orderBy(F.desc("total"), "branch").limit(10)
 
 
 @query("G08_cashier_scores", """
@@ -426,14 +428,15 @@ def union_of_kinds(v):
     return v.pos.select(F.lit("pos").alias("kind"), F.col("pos_id").alias("id"), "amount").unionByName(v.settlement.select(F.lit("settlement").alias("kind"), F.col("settlement_id").alias("id"), F.col("gross").alias("amount")))
 
 
-@query("J02_difference", "SELECT DISTINCT receipt FROM pos EXCEPT SELECT DISTINCT receipt FROM settlement WHERE gross > 1000")
+@query("J02_difference", "SELECT receipt, branch_id, sale_date FROM pos EXCEPT SELECT receipt, branch_id, sale_date FROM settlement WHERE gross > 1000", dates=("sale_date",))
 def difference(v):
-    return v.pos.select("receipt").subtract(v.settlement.where("gross > 1000").select("receipt"))
+    key = ["receipt", "branch_id", "sale_date"]
+    return v.pos.select(key).subtract(v.settlement.where("gross > 1000").select(key))
 
 
-@query("J05_missing_aliases", "SELECT DISTINCT client FROM treasury WHERE client NOT IN (SELECT DISTINCT counterparty FROM bank WHERE counterparty IS NOT NULL AND amount > 9000000)")
+@query("J05_missing_aliases", "SELECT DISTINCT client FROM treasury WHERE client NOT IN (SELECT 'Customer ' || CAST(account_id * 5 AS string) FROM account)")
 def missing_aliases(v):
-    known = v.bank.where("counterparty IS NOT NULL AND amount > 9000000").select(F.col("counterparty").alias("client"))
+    known = v.account.select(F.concat(F.lit("Customer "), (F.col("account_id") * 5).cast("string")).alias("client"))
     return v.treasury.select("client").subtract(known)
 
 

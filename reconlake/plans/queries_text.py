@@ -37,29 +37,21 @@ def dates(v):
     return _lines(v, "l_orderkey, l_linenumber, cents, day, form").select("l_orderkey", "l_linenumber", "cents", parse_date(written).cast("string").alias("parsed"))
 
 
-@query("K06_tax_ids", """
-    SELECT bank_id, counterparty_tax_id AS dashed, coalesce(replace(counterparty_tax_id, '-', ''), '') AS compact, regexp_extract(memo, '^([0-9]{8,11})', 1) AS in_memo FROM bank WHERE part_id % 11 <> 0""")
-def tax_ids(v):
-    loose = F.lower(F.concat(F.substring("counterparty_tax_id", 1, 2), F.lit("."), F.substring("counterparty_tax_id", 3, 3), F.lit("."), F.substring("counterparty_tax_id", 6, 10)))
-    return v.bank.where("part_id % 11 <> 0").select("bank_id", dashed_tax_id(loose).alias("dashed"), compact_tax_id(loose).alias("compact"), tax_id_in(F.col("memo")).alias("in_memo"))
+TAX_IDS_SQL = """
+    SELECT bank_id, counterparty_tax_id AS dashed, coalesce(replace(counterparty_tax_id, '-', ''), '') AS compact, regexp_extract(memo, '^(ABN CRD TRANSBANK )?([0-9]{8,11})', 2) AS in_memo FROM bank"""
 
 
-@query("K06_tax_ids_all", """
-    SELECT bank_id, counterparty_tax_id AS dashed, coalesce(replace(counterparty_tax_id, '-', ''), '') AS compact, regexp_extract(memo, '^(ABN CRD TRANSBANK )?([0-9]{8,11})', 2) AS in_memo FROM bank""")
-def tax_ids_all(v):
-    """K06 over every memo, with the card prefix too."""
+@query("K06_tax_ids_all", TAX_IDS_SQL)
+@query("K06_tax_ids", TAX_IDS_SQL)
+def tax_ids(v):
     loose = F.lower(F.concat(F.substring("counterparty_tax_id", 1, 2), F.lit("."), F.substring("counterparty_tax_id", 3, 3), F.lit("."), F.substring("counterparty_tax_id", 6, 10)))
     return v.bank.select("bank_id", dashed_tax_id(loose).alias("dashed"), compact_tax_id(loose).alias("compact"), tax_id_in(F.col("memo")).alias("in_memo"))
 
 
-@query("K11_plain_text", "SELECT doc_id, translate(upper(left(text, 40)), 'ÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ', 'AAAAAEEEEIIIIOOOOOUUUUNC') AS plain FROM documents WHERE lang = 'fr'")
-def plain_text(v):
-    return v.table("documents").where("lang = 'fr'").select("doc_id", plain_upper(F.substring("text", 1, 40)).alias("plain"))
-
-
 @query("K11_whole_texts")
-def whole_texts(v):
-    """K11 over every row and its whole text; no SQL, as DuckDB's upper leaves some letters that Spark's changes."""
+@query("K11_plain_text")
+def plain_texts(v):
+    """Every row's whole text; no SQL, as DuckDB's upper leaves some letters that Spark's changes."""
     return v.table("documents").select("doc_id", plain_upper(F.col("text")).alias("plain"))
 
 
@@ -68,28 +60,24 @@ def normal(v):
     return v.bank.select("bank_id", normal_text(F.concat(F.lit("  "), F.regexp_replace("memo", " ", "   "), F.lit(" "))).alias("memo"), account_digits(F.concat(F.lit("00-"), F.col("order_id").cast("string"))).alias("digits"))
 
 
-@query("K17_memo_parts", "SELECT bank_id, memo LIKE 'DEP (%' AS is_multipart, CASE WHEN memo LIKE 'DEP (%' THEN CAST(line_no AS integer) END AS part_number FROM bank WHERE part_id % 11 <> 0")
-def memos(v):
-    return v.bank.where("part_id % 11 <> 0").select("bank_id", memo_parts(F.col("memo")).alias("p")).select("bank_id", "p.*")
+MEMO_PARTS_SQL = "SELECT bank_id, memo LIKE 'DEP (%' AS is_multipart, CASE WHEN memo LIKE 'DEP (%' THEN CAST(line_no AS integer) END AS part_number FROM bank"
 
 
-@query("K17_memo_parts_all")
-def memos_all(v):
-    """K17 over every memo, with the card prefix too."""
+@query("K17_memo_parts_all", MEMO_PARTS_SQL)
+@query("K17_memo_parts", MEMO_PARTS_SQL)
+def memos(v):
     return v.bank.select("bank_id", memo_parts(F.col("memo")).alias("p")).select("bank_id", "p.*")
 
 
-@query("K22_receipts", "SELECT bank_id, CAST(1000 + part_id AS bigint) AS first_receipt, CAST(1 + line_no % 5 AS bigint) AS n FROM bank WHERE line_no % 5 <> 0")
-def receipts(v):
-    a = 1000 + F.col("part_id")
-    found = receipt_list(F.concat(F.lit("N OPE "), a.cast("string"), F.lit("/"), (a + F.col("line_no") % 5).cast("string")))
-    return v.bank.where("line_no % 5 <> 0").select("bank_id", F.element_at(found, 1).cast("long").alias("first_receipt"), F.size(found).cast("long").alias("n"))
+RECEIPTS_SQL = """
+    SELECT bank_id, CASE WHEN line_no % 5 <> 0 THEN CAST(1000 + part_id % 8000 AS bigint) END AS first_receipt, CASE WHEN line_no % 5 <> 0 THEN CAST(1 + line_no % 5 AS bigint) END AS n FROM bank"""
 
 
-@query("K22_receipts_all")
-def receipts_all(v):
-    """K22 over every row; two equal receipts are no list and give nulls."""
-    a = 1000 + F.col("part_id")
+@query("K22_receipts_all", RECEIPTS_SQL)
+@query("K22_receipts", RECEIPTS_SQL)
+def receipts(v):
+    """Two equal receipts are no list and give nulls; receipts have three or four digits."""
+    a = 1000 + F.col("part_id") % 8000
     found = receipt_list(F.concat(F.lit("N OPE "), a.cast("string"), F.lit("/"), (a + F.col("line_no") % 5).cast("string")))
     return v.bank.select("bank_id", F.element_at(found, 1).cast("long").alias("first_receipt"), F.when(found.isNotNull(), F.size(found)).cast("long").alias("n"))
 

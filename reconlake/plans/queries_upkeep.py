@@ -11,6 +11,7 @@ from reconlake.functions.names import account_digits, line_detail, same_tax_id,
 from reconlake.operators.dedup import latest_by
 from reconlake.operators.journal import apportion, explode_lines, line
 from reconlake.operators.scoring import status_of
+from reconlake.operators.settings import for_each
 from reconlake.plans.catalog import REGISTRY, query
 from reconlake.plans.queries_match import pair_scores
 from reconlake.plans.queries_report import TODAY
@@ -136,7 +137,7 @@ def transfer_journal(v):
 
 
 @query("L09_supplier_journal", """
-    WITH e AS (SELECT treasury_id, account_id, abs(amount) AS net, CAST((CAST(abs(amount) AS hugeint) * 10000 + 4237) // 8475 AS bigint) AS gross FROM treasury WHERE direction = 'OUT' AND treasury_id % 5 = 0),
+    WITH e AS (SELECT treasury_id, account_id, abs(amount) AS net, CAST((CAST(abs(amount) AS hugeint) * 10000 + 4237) // 8475 AS bigint) AS gross FROM treasury WHERE direction = 'OUT' AND kind = 'NORMAL'),
     w AS (SELECT branch_id, CAST(headcount AS bigint) AS w FROM branch), s AS (SELECT e.*, branch_id, w, sum(w) OVER (PARTITION BY treasury_id) AS tot FROM e JOIN w ON TRUE),
     r AS (SELECT *, gross * w // tot AS base, gross * w % tot AS rem FROM s),
     k AS (SELECT *, gross - sum(base) OVER (PARTITION BY treasury_id) AS leftover, row_number() OVER (PARTITION BY treasury_id ORDER BY rem DESC, w DESC, branch_id) AS n FROM r)
@@ -145,10 +146,9 @@ def transfer_journal(v):
       UNION ALL SELECT treasury_id, 2108, 0, gross - net FROM e UNION ALL SELECT treasury_id, 1000 + account_id, 0, net FROM e) WHERE debit <> 0 OR credit <> 0""")
 def supplier_journal(v):
     whole, kept = gross_up(F.abs("amount"), 1525)
-    entries = v.treasury.where("direction = 'OUT' AND treasury_id % 5 = 0").select("treasury_id", "account_id", F.abs("amount").alias("net"), whole.alias("gross"), kept.alias("retention"))
-    # a branch list is a setting of a few rows (under 100)
-    weights = F.broadcast(v.branch.select("branch_id", F.col("headcount").cast("long").alias("w"), F.lit(1).alias("one")))
-    parts = apportion(entries.withColumn("one", F.lit(1)).join(weights, "one"), ["treasury_id"], "gross", "w", "branch_id")
+    # supplier entries: outgoing rows of the normal kind
+    entries = v.treasury.where("direction = 'OUT' AND kind = 'NORMAL'").select("treasury_id", "account_id", F.abs("amount").alias("net"), whole.alias("gross"), kept.alias("retention"))
+    parts = apportion(for_each(entries, v.branch.select("branch_id", F.col("headcount").cast("long").alias("w"))), ["treasury_id"], "gross", "w", "branch_id")
     none, detail = F.lit(None), F.lit("supplier")
     costs = explode_lines(parts, ["treasury_id"], [line(100 + F.col("branch_id"), F.col("part"), none, detail)])
     paid = explode_lines(entries, ["treasury_id"], [line(2108, none, F.col("retention"), detail), line(1000 + F.col("account_id"), none, F.col("net"), detail)])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from reconlake.operators.assign import greedy_assign
 from reconlake.operators.candidates import allocate, as_of
 from reconlake.operators.journal import apportion
-from reconlake.operators.settle import match_mirrors, match_settlements
+from reconlake.operators.settle import match_mirrors, match_settlements, mirror_orphans
 
 
 def test_rounds_equal_one_greedy_pass(spark):
@@ -62,6 +62,56 @@ def test_settlement_passes(spark):
     assert got == [(1, 11, "receipt", 50), (2, 13, "exact", 0), (5, 15, "tolerant", 5)]
 
 
+def test_manual_links_and_several_receipts(spark):
+    d = date(2024, 5, 1)
+    pos = [(1, 7, d, 1000, "900", "N OPE 4047/4048"), (2, 7, d, 500, None, "OP.0515-517"), (3, 7, d, 800, None, "N OPE 4047/4048"), (4, 7, d, 90, "1", None)]
+    sets = [(11, 7, d, 600, "4047"), (12, None, d + timedelta(2), 410, "04048"), (13, 7, d, 200, "515"), (14, 7, d, 200, "516"), (15, 7, d, 100, "517"), (16, 8, d, 100, "517"), (17, 9, d, 1, "1")]
+    links = spark.createDataFrame([(4, 17)], "pos_id int, settlement_id int")
+    got = match_settlements(
+        spark.createDataFrame(pos, "pos_id int, branch_id int, sale_date date, amount long, receipt string, memo string"),
+        spark.createDataFrame(sets, "settlement_id int, branch_id int, sale_date date, gross long, receipt string"), links,
+    )
+    assert sorted((r.pos_id, r.settlement_id, r.matched_by, r.difference) for r in got.collect()) == [(1, 11, "several", 10), (1, 12, "several", 10), (2, 13, "several", 0), (2, 14, "several", 0), (2, 15, "several", 0), (4, 17, "manual", -89)]
+
+
+def slow_mirrors(rows):
+    """One OUT after the other, in three passes."""
+    owners = {r[6] for r in rows}
+    outs = sorted((r for r in rows if r[1] == "OUT" and r[5] is not None), key=lambda r: (r[3], r[0]))
+    ins = [r for r in rows if r[1] == "IN" and (r[5] is not None or r[4] is None)]
+    fits = {o[0]: [i for i in ins if i[6] == o[5] and abs(i[2]) == abs(o[2]) and abs((i[3] - o[3]).days) <= 2] for o in outs}
+    used, found, done = set(), [], set()
+    for name in ("clean", "circle", "block"):
+        free = {o[0]: [i for i in fits[o[0]] if i[0] not in used] for o in outs if o[0] not in done}
+        for o in outs:
+            if o[0] in done:
+                continue
+            pool = free[o[0]]
+            if name == "clean" and len(fits[o[0]]) != 1:
+                continue
+            if name == "circle":
+                pool = [i for i in pool if i[5] == o[6]]
+                if len(pool) != 1:
+                    continue
+            pool = sorted((i for i in pool if i[0] not in used), key=lambda i: (i[5] != o[6], i[3], i[0]))
+            if pool:
+                used.add(pool[0][0])
+                done.add(o[0])
+                found.append((o[0], pool[0][0], name, o[5] == o[6]))
+    left = [(o[0], "OUT", "no-dest-account" if o[5] not in owners else "no-candidate" if not fits[o[0]] else "ambiguous") for o in outs if o[0] not in done]
+    return sorted(found), sorted(left + [(i[0], "IN", "no-out") for i in ins if i[5] is not None and i[0] not in used])
+
+
+def test_mirrors_like_one_after_the_other(spark):
+    rng, d = random.Random(9), date(2024, 5, 1)
+    rows = [(f"m{i:03}", rng.choice(["IN", "OUT"]), rng.randint(1, 3) * rng.choice([-1, 1]), d + timedelta(rng.randint(0, 12)), rng.choice([None, "x"]), rng.choice([None, 1, 2, 3, 9]), rng.randint(1, 3)) for i in range(220)] + [("m999", "OUT", -99, d, None, 1, 2)]
+    df = spark.createDataFrame(rows, "bank_id string, direction string, amount long, post_date date, counterparty string, names int, owner int")
+    pairs = match_mirrors(df, "names", "owner")
+    want, left = slow_mirrors(rows)
+    assert sorted(map(tuple, pairs.collect())) == want and {w[2] for w in want} == {"clean", "circle", "block"}
+    assert sorted(map(tuple, mirror_orphans(df, "names", "owner", pairs).collect())) == left and len({w[2] for w in left}) == 4
+
+
 def test_mirrors(spark):
     d = date(2024, 5, 1)
     rows = [("o1", "OUT", -10, d, None, 2, 1), ("i1", "IN", 10, d + timedelta(2), None, None, 2), ("o2", "OUT", -20, d, None, 2, 1), ("i2", "IN", 20, d, None, 3, 2), ("i3", "IN", 20, d + timedelta(1), None, 1, 2), ("o3", "OUT", -30, d, None, 5, 1), ("i4", "IN", 10, d, "outsider", None, 2)]
