@@ -72,3 +72,8 @@ class PagedFeed(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _PageReader(self.options, schema)
+
+
+def cash_movements(rows: DataFrame, amount: str = "monto") -> DataFrame:
+    """Rows of the cash feed, whose amounts are sizes: the sign goes."""
+    return rows.withColumn(amount, F.abs(F.col(amount)))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from reconlake.functions.dates import sheet_serial
 from reconlake.operators.dedup import latest_by, new_rows
 
 
@@ -37,6 +39,48 @@ def write_sheets(df: DataFrame, folder: str, by: str, order: list[str]) -> None:
     spread.sortWithinPartitions(by, *order).write.mode("errorifexists").partitionBy(by).option("header", True).csv(folder)
 
 
+def unique_names(df: DataFrame, name: str, order: list[str], most: int = 31) -> DataFrame:
+    """`df` with `sheet`: the name cut to `most` characters, and ` (2)`, ` (3)` ... where rows before had the same."""
+    short = F.substring(F.col(name), 1, most)
+    place = F.row_number().over(Window.partitionBy(short).orderBy(*order))
+    mark = F.concat(F.lit(" ("), place.cast("string"), F.lit(")"))
+    return df.withColumn("sheet", F.when(place == 1, short).otherwise(F.concat(F.substring(short, F.lit(1), most - F.length(mark)), mark)))
+
+
+SHEET_COLUMNS = "ABCDEFGHIJ"
+#: The cells of a journal sheet's head, and the labels of its detail in row 10.
+SHEET_HEAD = {2: {"B": "FECHA:", "F": "Tipo de Asiento", "I": "Sucursal:"}, 4: {"B": "Descripcion del asiento", "I": "Estado"}, 10: {"A": "Linea", "B": "Rubro de gestion", "C": "cliente", "D": "Descripción", "F": "Cotización", "G": "Debe ME", "H": "Haber ME", "I": "Debe MN", "J": "Haber MN"}}
+
+
+def journal_sheets(lines: DataFrame, keys: list[str], order: list[str], day: Column, title: Column, branch: int = 1, kind: int = 0, state: str = "CON") -> DataFrame:
+    """The cells of a journal sheet for each entry: `keys`, row_no and columns A to J as text.
+
+    Row 1 numbers the columns, row 2 has the day as a serial number, row 4 the title, row 10 the labels; details (code,
+    debit, credit, detail) follow from row 11, numbered, each amount twice: in foreign and in own money at a rate of 1.
+    """
+    text = lambda c: c.cast("string")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    own = {"A": place, "B": F.col("code"), "C": F.lit(0), "D": F.col("detail"), "F": F.lit(1), "G": F.col("debit"), "H": F.col("credit"), "I": F.col("debit"), "J": F.col("credit")}
+    blank = F.lit(None).cast("string")
+    details = lines.select(*keys, (place + 10).alias("row_no"), *[text(own[c]).alias(c) if c in own else blank.alias(c) for c in SHEET_COLUMNS])
+    facts = {(2, "C"): text(sheet_serial(day)), (2, "G"): F.lit(str(kind)), (2, "J"): F.lit(str(branch)), (4, "E"): title, (4, "J"): F.lit(state)}
+    entries = lines.groupBy(*keys).agg(F.min(F.struct(facts[2, "C"].alias("day"), title.alias("title"))).alias("told"))
+    facts |= {(2, "C"): F.col("told.day"), (4, "E"): F.col("told.title")}
+
+    def head(row: int) -> Column:
+        cell = lambda i, c: F.lit(str(i)) if row == 1 else facts.get((row, c), F.lit(SHEET_HEAD[row].get(c)).cast("string"))
+        return F.struct(F.lit(row).alias("row_no"), *[cell(i, c).alias(c) for i, c in enumerate(SHEET_COLUMNS, 1)])
+
+    heads = entries.select(*keys, F.explode(F.array(*[head(r) for r in (1, 2, 4, 10)])).alias("r")).select(*keys, "r.*")
+    return heads.unionByName(details)
+
+
+def write_report(summary: DataFrame, detail: DataFrame, folder: str) -> None:
+    """A report as two folders of CSV with headers: `summary`, of few rows, as one file, and `detail` as it is spread."""
+    write_matrix(summary, f"{folder}/summary")
+    detail.write.mode("errorifexists").option("header", True).csv(f"{folder}/detail")
+
+
 def write_matrix(df: DataFrame, folder: str) -> None:
     """A report of few rows as one CSV file with a header. `df` is an aggregate; its writer gets its rows only."""
     df.coalesce(1).write.mode("errorifexists").option("header", True).csv(folder)

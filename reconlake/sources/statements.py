@@ -61,7 +61,7 @@ def _cells(line: Column, separator: str) -> Column:
 def read_statement(lines: DataFrame, layout: Layout) -> DataFrame:
     """Movements of all files whose header the layout knows: file, line_no, post_date, amount, memo, reference, balance_after.
 
-    Amounts are signed, in positive. Lines without a date or an amount are left out. A file whose header isn't
+    Amounts are signed, in positive. Lines without a date, or with no amount or one of nothing, are left out. A file whose header isn't
     found within `scan_lines` gives nothing.
     """
     rows = lines.withColumn("cells", _cells(F.col("line"), layout.separator))
@@ -105,13 +105,47 @@ def closing_balance(movements: DataFrame, closing: DataFrame) -> DataFrame:
     return ranked.withColumn("balance_after", F.when(F.col("_n") == 1, F.coalesce("closing", "balance_after")).otherwise(F.col("balance_after"))).drop("_n", "closing")
 
 
+#: Fixed value: a wallet's line: day, clock, word, what it was, number, CLP, amount, second amount.
+WALLET_LINE = r"(?i)^(\d{2}-\d{2}-\d{4})\s+(\d{2}:\d{2}:\d{2})\s+(Abono|Cargo)\s+(.+?)\s+(\d{6,})\s+CLP\s+(-?[\d.,]+)\s+(-?[\d.,]+)\s*$"
+
+
 def wallet_lines(lines: DataFrame) -> DataFrame:
-    """Movements of a wallet's text export, one line each: day, word, reference, memo, amount, balance; the word gives the sign."""
-    pattern = r"^(\d{2}-\d{2}-\d{4})\s+(Abono|Cargo)\s+(\d+)\s+(.*?)\s+\$?\s*(-?[\d.,]+)\s+\$?\s*(-?[\d.,]+)\s*$"
-    part = lambda i: F.regexp_extract("line", pattern, i)
-    size = F.abs(parse_amount(part(5)))
-    made = lines.where(F.col("line").rlike(pattern)).select("file", "line_no", parse_date(part(1)).alias("post_date"), F.when(part(2) == "Cargo", -size).otherwise(size).alias("amount"), part(4).alias("memo"), part(3).alias("reference"), parse_amount(part(6)).alias("balance_after"))
-    return made
+    """Movements of a wallet's text export, one line each; the word gives the sign. Lines without a day or amount are left out."""
+    part = lambda i: F.regexp_extract("line", WALLET_LINE, i)
+    size = F.abs(parse_amount(part(6)))
+    day = parse_date(part(1))
+    made = lines.where(F.col("line").rlike(WALLET_LINE)).select(
+        "file", "line_no", day.alias("post_date"), F.to_timestamp(F.concat_ws(" ", day.cast("string"), part(2))).alias("post_time"), F.when(F.lower(part(3)) == "cargo", -size).otherwise(size).alias("amount"),
+        part(4).alias("memo"), part(5).alias("reference"), F.abs(parse_amount(part(7))).alias("second_amount"),
+    )
+    return made.where("post_date IS NOT NULL AND amount IS NOT NULL AND amount <> 0")
+
+
+#: How files of a kind begin.
+MAGIC = {"pdf": b"%PDF", "sheet": b"PK\x03\x04", "old_sheet": b"\xd0\xcf\x11\xe0"}
+
+
+def file_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """(file, kind) by the first bytes: pdf, sheet, old_sheet, else text. Empty files are not listed."""
+    head = F.substring("content", 1, 4)
+    kind = F.lit("text")
+    for name, mark in MAGIC.items():
+        kind = F.when(head == F.lit(mark), name).otherwise(kind)
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), kind.alias("kind"))
+
+
+def statement_accounts(lines: DataFrame, scan_lines: int = 30) -> DataFrame:
+    """(file, account): the digits after `cta:` in the first lines, from the first line that has them."""
+    pattern = r"(?i)\bcta\s*[:.]\s*([0-9-]+)"
+    told = lines.where((F.col("line_no") < scan_lines) & F.col("line").rlike(pattern))
+    return told.groupBy("file").agg(F.min_by(F.regexp_replace(F.regexp_extract("line", pattern, 1), "[^0-9]", ""), "line_no").alias("account"))
+
+
+def read_dump(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables of a dump: `<name>.csv` with a header or `<name>.json` of one JSON array, under the given schemas."""
+    known = {r.file.rsplit("/", 1)[-1]: r.file for r in spark.read.format("binaryFile").load(folder).select(F.col("path").alias("file")).collect()}
+    read = lambda name, schema: spark.read.schema(schema).option("multiLine", True).json(known[f"{name}.json"]) if f"{name}.json" in known else spark.read.schema(schema).option("header", True).csv(known[f"{name}.csv"])
+    return {name: read(name, schema) for name, schema in schemas.items()}
 
 
 def read_settlements(lines: DataFrame, year: int, separator: str = ";") -> DataFrame:

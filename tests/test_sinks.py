@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from reconlake.operators.dedup import reassigned
 from reconlake.operators.routing import capped_status, memo_route
-from reconlake.sources.sinks import dump_tables, insert_new, restore_tables, upserted, write_matrix, write_sheets
+from reconlake.sources.sinks import dump_tables, insert_new, journal_sheets, restore_tables, unique_names, upserted, write_matrix, write_report, write_sheets
 
 
 def rows(df):
@@ -35,6 +35,18 @@ def test_sheets_matrix_and_dump_round_trip(spark, tmp_path):
     assert rows(again["a"]) == rows(df) and again["none"].count() == 0
 
 
+def test_journal_sheets_and_reports(spark, tmp_path):
+    lines = spark.createDataFrame([(1, 200, 50, 0, "bank", 1), (1, 100, 0, 50, "branch", 2), (2, 17, 0, 9, "x", 1)], "entry int, code long, debit long, credit long, detail string, n int")
+    cells = {(r.entry, r.row_no): r for r in journal_sheets(lines, ["entry"], ["n"], F.lit("2024-01-31").cast("date"), F.concat(F.lit("Entry "), F.col("entry"))).collect()}
+    assert {k for k in cells if k[0] == 1} == {(1, r) for r in (1, 2, 4, 10, 11, 12)} and {k for k in cells if k[0] == 2} == {(2, r) for r in (1, 2, 4, 10, 11)}
+    assert (cells[1, 2].C, cells[1, 4].E, cells[1, 10].G, cells[1, 1].J) == ("45322", "Entry 1", "Debe ME", "10")
+    assert tuple(cells[1, 12])[2:] == ("2", "100", "0", "branch", None, "1", "0", "50", "0", "50")
+    named = unique_names(spark.createDataFrame([(1, "a"), (2, "a"), (3, "a" * 40), (4, "a" * 35)], "id int, name string"), "name", ["id"])
+    assert [r.sheet for r in named.orderBy("id").collect()] == ["a", "a (2)", "a" * 31, "a" * 27 + " (2)"]
+    write_report(lines.groupBy("entry").agg(F.sum("debit").alias("debit")), lines, f"{tmp_path}/report")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/report/detail").count() == 3 and spark.read.option("header", True).csv(f"{tmp_path}/report/summary").count() == 2
+
+
 def test_reassign_and_rules(spark):
     df = spark.createDataFrame([(1, 9, "k"), (2, 9, "l"), (3, 8, "k")], "id int, account int, key string")
     assert rows(reassigned(df, "account", 9, 8, ["key"]).select("id", "account")) == [(2, 8)]

@@ -3,8 +3,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from reconlake.sources.feeds import PagedFeed, read_feed, signed_direction
-from reconlake.sources.statements import closing_balance, read_settlements, read_statements, statement_lines, wallet_lines
+from reconlake.sources.feeds import PagedFeed, cash_movements, read_feed, signed_direction
+from reconlake.sources.statements import closing_balance, file_kinds, read_dump, read_settlements, read_statements, statement_accounts, statement_lines, wallet_lines
 from reconlake.streaming.ingest import current, file_stream, ingest_stream, windowed_counts
 
 
@@ -22,14 +22,29 @@ def test_statements_by_their_headers(spark, tmp_path):
 
 def test_wallet_and_settlements(spark, tmp_path):
     (tmp_path / "w").mkdir()
-    (tmp_path / "w" / "w.txt").write_text("Resumen\n05-01-2024 Abono 123 Venta uno $ 1.500 $ 2.000\n06-01-2024 Cargo 124 Retiro $ -500 $ 1.500\n")
-    assert [(str(r.post_date), r.amount, r.memo) for r in wallet_lines(statement_lines(spark, str(tmp_path / "w"))).orderBy("line_no").collect()] == [("2024-01-05", 1500, "Venta uno"), ("2024-01-06", -500, "Retiro")]
+    (tmp_path / "w" / "w.txt").write_text("Resumen\n05-01-2024 10:20:30 Abono Transferencia recibida 123456789 CLP 1.500 0\n06-01-2024  23:00:01 Cargo Retiro  1234567 CLP 500 -3\n06-01-2024 Cargo x 1 CLP 1 1\n07-01-2024 10:00:00 Abono x 123456 CLP 0 0\n")
+    got = wallet_lines(statement_lines(spark, str(tmp_path / "w"))).orderBy("line_no").collect()
+    assert [(str(r.post_time), r.amount, r.memo, r.reference, r.second_amount) for r in got] == [("2024-01-05 10:20:30", 1500, "Transferencia recibida", "123456789", 0), ("2024-01-06 23:00:01", -500, "Retiro", "1234567", 3)]
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "s.csv").write_text("Fecha venta;Monto\nignored;1\nFecha venta;Boleta;Monto venta;Comision;Monto abono\n05 junio;00123;$350.000;1,50;9\n06 junio 2023;124;0;n/a;$80.000\n")
     rows = read_settlements(statement_lines(spark, str(tmp_path / "s")), 2024).orderBy("line_no").collect()
     assert [(str(r.sale_date), r.gross, r.fee, r.receipt) for r in rows] == [("2024-06-05", 350000, 2, "00123"), ("2023-06-06", 80000, 0, "124")]
 
 
+def test_kinds_accounts_and_dumps(spark, tmp_path):
+    for name, body in (("a.pdf", b"%PDF-1.7"), ("b.xlsx", b"PK\x03\x04xx"), ("c.xls", b"\xd0\xcf\x11\xe0x"), ("d.csv", b"x;y\nCta: 001-23 4\n"), ("e.txt", b"z")):
+        (tmp_path / name).write_bytes(body)
+    kinds = {r.file.rsplit("/", 1)[-1]: r.kind for r in file_kinds(spark, str(tmp_path)).collect()}
+    assert kinds == {"a.pdf": "pdf", "b.xlsx": "sheet", "c.xls": "old_sheet", "d.csv": "text", "e.txt": "text"}
+    assert [r.account for r in statement_accounts(statement_lines(spark, f"{tmp_path}/*.csv")).collect()] == ["00123"]
+    (tmp_path / "dump").mkdir()
+    (tmp_path / "dump" / "m.csv").write_text("id,v\n1,x\n")
+    (tmp_path / "dump" / "t.json").write_text('[{"id": 2, "v": "y"},\n {"id": 3}]')
+    tables = read_dump(spark, str(tmp_path / "dump"), {"m": "id int, v string", "t": "id int, v string"})
+    assert sorted(map(tuple, tables["m"].collect())) == [(1, "x")] and sorted(map(str, map(tuple, tables["t"].collect()))) == ["(2, 'y')", "(3, None)"]
+    assert cash_movements(spark.createDataFrame([(-5,), (7,)], "monto long")).agg({"monto": "sum"}).first()[0] == 12
+
+
 def test_feeds(spark, tmp_path):
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "1.json").write_text(json.dumps([{"id": 1, "monto": -5, "items": [{"nombre": "Venta x", "monto": 1.0}]}, {"monto": 3}]))
