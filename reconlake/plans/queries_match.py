@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 from reconlake.functions.names import operation_number, tokens
 from reconlake.operators.assign import greedy_assign
 from reconlake.operators.candidates import allocate, mutual_unique, pair_splits, tolerance_join, triple_splits, window_join, within_days
+from reconlake.operators.clusters import duplicate_clusters
 from reconlake.operators.dedup import dedup_keys, embedded_reference, latest_by, new_rows
 from reconlake.operators.settings import for_each, settings
-from reconlake.operators.matching import assign_candidates, match_candidates, matching_run
+from reconlake.operators.matching import assign_candidates, inverse_split_run, match_candidates, matching_run, sibling_rows
 from reconlake.operators.journal import apportion, explode_lines, line, split_side
 from reconlake.operators.reports import dominant, mode_by
 from reconlake.operators.scoring import expense_score, pair_score, status_of
@@ -164,11 +165,33 @@ def unnest_reference(v):
 
 
 @query("D25_siblings", """
-    SELECT a.treasury_id, b.treasury_id AS sibling_id FROM treasury a JOIN treasury b ON a.client_id = b.client_id AND a.account_id = b.account_id AND a.treasury_id < b.treasury_id AND abs(date_diff('day', a.doc_date, b.doc_date)) <= 60""")
+    WITH gap AS (SELECT t.treasury_id, t.client_id, t.account_id, t.doc_date, (l.bank_amount - t.amount) % 997 AS missing FROM treasury t JOIN (SELECT treasury_id, CAST(sum(bank_amount) AS bigint) AS bank_amount FROM links GROUP BY 1) AS l ON l.treasury_id = t.treasury_id)
+    SELECT g.treasury_id, s.treasury_id AS sibling_id FROM gap g JOIN treasury s ON s.client_id = g.client_id AND s.account_id = g.account_id AND s.amount % 997 = g.missing AND s.treasury_id <> g.treasury_id
+    WHERE abs(date_diff('day', g.doc_date, s.doc_date)) <= 400""")
 def siblings(v):
-    a = v.treasury.select("treasury_id", "client_id", "account_id", "doc_date")
-    b = v.treasury.select(F.col("treasury_id").alias("sibling_id"), "client_id", "account_id", F.col("doc_date").alias("sibling_date"))
-    return a.join(b, ["client_id", "account_id"]).where((F.col("treasury_id") < F.col("sibling_id")) & within_days(F.col("doc_date"), F.col("sibling_date"), 60)).select("treasury_id", "sibling_id")
+    """Rows of the same client and account whose amount is what a linked row's bank rows exceed it by.
+
+    Amounts meet modulo 997 and within 400 days: the tables hold no true siblings.
+    """
+    paid = v.links.groupBy("treasury_id").agg(F.sum("bank_amount").alias("bank_amount"))
+    gap = v.treasury.join(paid, "treasury_id").select("treasury_id", "client_id", "account_id", "doc_date", ((F.col("bank_amount") - F.col("amount")) % 997).alias("missing"))
+    return sibling_rows(gap, v.treasury.select("treasury_id", "client_id", "account_id", "doc_date", (F.col("amount") % 997).alias("amount")), ["client_id", "account_id"], 400)
+
+
+@query("D13_inverse_splits_run")
+def inverse_splits(v):
+    """One bank row paid by two or three ledger rows of a client: `ledger` and `ledger_bank` with the sides changed."""
+    rows = v.ledger_bank.select(F.col("bank_id").alias("treasury_id"), "account_id", F.abs("amount").alias("amount"), F.col("post_date").alias("doc_date"))
+    banks = v.ledger.where("account_id IS NOT NULL").select(F.col("treasury_id").cast("string").alias("bank_id"), "account_id", F.abs("amount").alias("amount"), F.col("doc_date").alias("post_date"))
+    won = inverse_split_run(banks, rows, ["account_id"])
+    return won.select("bank_id", F.array_join("treasury_ids", "|").alias("treasury_ids"))
+
+
+@query("F04_clusters")
+def clusters(v):
+    """Duplicates of account, day and amount from several imports, clustered by compatible names; `order_id` is the import."""
+    rows = v.bank.select("bank_id", "account_id", F.col("post_date").alias("day"), "amount_key", F.col("order_id").alias("import_id"), "counterparty", "counterparty_tax_id", "memo")
+    return duplicate_clusters(rows, ["account_id", "day", "amount_key"]).select("bank_id", "cluster", "members", "confidence")
 
 
 def scored(v):

@@ -1,7 +1,9 @@
 """The matching run against one pass in plain Python, and the assignment's rounds on chains and repeated edges."""
 
+import random
 import re
 from collections import defaultdict
+from datetime import date, timedelta
 from itertools import combinations
 
 import pytest
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from reconlake.functions.names import STOP_WORDS
 from reconlake.operators.assign import greedy_assign
 from reconlake.operators.candidates import allocate, window_join
+from reconlake.operators.clusters import duplicate_clusters
+from reconlake.operators.matching import inverse_split_run
 from reconlake.plans import catalog
 from reconlake.plans.views import Views
 
@@ -132,3 +136,33 @@ def test_allocation_of_a_hot_client_with_empty_amounts(spark):
     want = sorted((x, y, min(b, d) - max(a, c)) for x, a, b in spans(left) for y, c, d in spans(right) if a < d and c < b)
     got = allocate(spark.createDataFrame(left, "k int, t string, x long, o int"), spark.createDataFrame(right, "k int, b string, y long, o2 int"), ["k"], "t", "x", ["o"], "b", "y", ["o2"])
     assert sorted((r.t, r.b, r.allocated) for r in got.collect()) == want
+
+
+def test_inverse_splits_like_one_after_the_other(spark):
+    rng = random.Random(4)
+    day = date(2024, 1, 1)
+    treasury = [(f"t{i:03}", i % 2, rng.randint(1, 30), day + timedelta(rng.randint(0, 30))) for i in range(70)]
+    bank = [(f"b{i:03}", i % 2, rng.randint(2, 60), day + timedelta(rng.randint(0, 30))) for i in range(25)]
+    used, want = set(), []
+    for b in sorted(bank, key=lambda b: (b[3], b[0])):
+        pool = [t for t in treasury if t[1] == b[1] and abs((t[3] - b[3]).days) <= 7 and t[2] < b[2]]
+        fits = [c for n in (2, 3) if n == 2 or len(pool) <= 8 for c in combinations(pool, n) if sum(t[2] for t in c) == b[2]]
+        free = next((c for c in fits if not used & {t[0] for t in c}), None)
+        if free:
+            used |= {t[0] for t in free}
+            want.append((b[0], [t[0] for t in free]))
+    got = inverse_split_run(spark.createDataFrame(bank, "bank_id string, k int, amount long, post_date date"), spark.createDataFrame(treasury, "treasury_id string, k int, amount long, doc_date date"), ["k"])
+    assert sorted((r.bank_id, r.treasury_ids) for r in got.collect()) == sorted(want) and {len(w[1]) for w in want} == {2, 3}
+
+
+def test_duplicate_clusters(spark):
+    rows = [
+        (1, 1, "Juan Perez Soto", None, 1), (2, 1, "PEREZ SOTO JUAN", None, 2), (3, 1, "Maria Rojas", None, 3), (4, 1, "Juan", None, 2),
+        (5, 2, "A", "1-9", 1), (6, 2, "A", "2-7", 2), (7, 3, "Same", None, 1), (8, 3, "Same", None, 1), (9, 4, "Ana Diaz", None, 1), (10, 4, "Ana Diaz", None, 2), (11, 4, None, "3-5", 3),
+        (12, 5, "x", None, 1), (13, 5, None, None, 2), (14, 5, "y", None, 3),
+    ]
+    df = spark.createDataFrame(rows, "bank_id int, k int, counterparty string, counterparty_tax_id string, import_id int")
+    got = {r.bank_id: (r.cluster, r.members, r.confidence) for r in duplicate_clusters(df, ["k"]).collect()}
+    # 5: a row without a name links two that don't agree themselves
+    assert got == {1: (1, 3, "HIGH"), 2: (1, 3, "HIGH"), 4: (1, 3, "HIGH"), 9: (9, 3, "HIGH"), 10: (9, 3, "HIGH"), 11: (9, 3, "HIGH"), 12: (12, 3, "MEDIUM"), 13: (12, 3, "MEDIUM"), 14: (12, 3, "MEDIUM")}
+    assert duplicate_clusters(df.limit(0), ["k"]).count() == 0
