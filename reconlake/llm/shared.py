@@ -73,10 +73,27 @@ def text_slices(offsets: np.ndarray, most_bytes: int):
         first = past
 
 
-def give_back() -> None:
-    """Return freed memory of this worker process to the system: reused workers wait beside the executor's JVM."""
-    gc.collect()
+def release() -> None:
+    """Return what this process has freed to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim:
         trim(0)
+
+
+def give_back() -> None:
+    """The same with unreachable objects: reused workers wait beside the executor's JVM and should be small then."""
+    gc.collect()
+    release()
+
+
+def frugal(work):
+    """`work`, a function over batches for one task, whose process gives back memory at the task's end."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run

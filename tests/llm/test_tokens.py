@@ -128,3 +128,36 @@ def test_packing_keeps_every_id_once(awkward, per_block):
             got[p.doc_id].append(p)
     assert sorted((str(d), b"".join(p.ids for p in sorted(ps, key=lambda p: p.start))) for d, ps in got.items()) == want
     assert sum(p.length for p in pieces) == sum(len(library_ids(r.text)) + 1 for r in awkward.collect())
+
+
+@pytest.mark.parametrize("per_block", [4096, 3])
+def test_pieces_sum_up_to_the_librarys_ids(spark, awkward, per_block):
+    """Checksums of full windows come from the map over the texts, those of the rest from the packing."""
+    docs = awkward.unionByName(awkward.where("doc_id = 2 OR doc_id IS NULL")).unionByName(spark.createDataFrame([(None, None)] * 30, "doc_id long, text string"), allowMissingColumns=True)
+    pieces = defaultdict(list)
+    for p in pack_documents(docs, sequence_tokens=64, least_gap=8, docs_per_block=per_block).collect():
+        pieces[p.doc_id, p.doc_tokens].append((p.start, p.length, p.ids_crc32))
+    coded = [(r.doc_id, np.array([*library_ids(r.text), 1], "<u4")) for r in docs.collect()]
+    assert sum(n for ps in pieces.values() for _, n, _ in ps) == sum(len(c) for _, c in coded)
+    for doc, ids in coded:
+        assert all(any(zlib.crc32(c[s : s + n]) == crc for d, c in coded if d == doc and len(c) == len(ids)) for s, n, crc in pieces[doc, len(ids)])
+        assert sum(n for _, n, _ in pieces[doc, len(ids)]) == sum(len(c) for d, c in coded if d == doc and len(c) == len(ids))
+
+
+def test_rows_of_a_hot_id_are_dealt_to_several_parts(spark, tmp_path):
+    docs = spark.createDataFrame([(None if i % 2 else 7 if i % 4 else i, f"w{i} x") for i in range(60)], "doc_id long, text string")
+    parts = write_token_files(docs, f"file://{tmp_path}/hot", docs_per_file=5)
+    assert len(parts) >= 10 and max(n for _, n, _, _ in parts) < 30
+    got = token_files(docs, docs_per_file=5).orderBy("start").collect()
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0)) and sorted(map(str, ids)) == sorted(str(r.doc_id) for r in docs.collect())
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_pre_tokens_count_like_whole_texts(name):
+    import public_tokenizers
+
+    rng, encoder = random.Random(6), TextEncoder(public_tokenizers.path(name), max_pieces=40)
+    parts = ["a", " the", "  ", " ", "\n", "\t", "É", "你好", "<|endoftext|>", "<s>", "▁", "x▁y", "12", "'s", "😀", "\u00a0", "word ", "\x00", "<unk>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + ["", " ", "▁", None]
+    assert encoder.count(pa.array(texts, pa.string())).tolist() == [len(encoder._ids([t or ""])[0]) for t in texts]
