@@ -13,17 +13,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconlake.llm.shared import blocks_for, work_dir
-from reconlake.llm.tokens import default_tokenizer_path, encoder, with_end
+from reconlake.llm.tokens import default_tokenizer_path, encoder, task_encoder, with_end
 
 DOCS_PER_FILE = 4096
 MOST_FILES = 65_536
 #: Stands for a null document id in the index files; a null sorts before all ids.
 NO_ID = np.iinfo(np.int64).min
-BUFFER_IDS = 4 << 20
 
 
 def _filesystem(path: str):
@@ -66,31 +66,43 @@ def write_token_files(
 ) -> list[tuple[int, int, int, int]]:
     """Encode every document, add `end_id`, and write the ids in ascending order of `id_col`.
 
-    Parts are ranges of document ids (percentiles of the id column alone, so no text is read for them). Documents
+    Parts are ranges of document ids (percentiles of the id column alone, so no text is read for them); an id that
+    several percentiles fall on has as many parts of its own, to which its rows are dealt in turn. Documents
     are encoded where they are read and travel once, as ids of 2 or 4 bytes, to the task of their part, which
-    streams them to its file: no task holds a part in memory. Rows with equal ids stand side by side, ordered by
-    their ids' bytes; null ids come first; null texts are empty documents.
+    streams them to its file: no task holds a part in memory, and none has two. Rows with equal ids stand side by
+    side, ordered within a part by their ids' bytes; null ids come first; null texts are empty documents.
 
     Returns the parts in order: (part, documents, ids, base). The driver gets these counts only, one row a file.
     """
     path = tokenizer or default_tokenizer_path()
     parts = min(MOST_FILES, blocks_for(docs.count(), docs_per_file))
     shares = [i / parts for i in range(1, parts)]
-    bounds = np.array((docs.agg(F.percentile_approx(id_col, shares, max(10_000, 10 * parts)).alias("b")).first()["b"] if shares else None) or [], np.int64)
-    bounds = np.unique(bounds)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    bounds = np.array((docs.agg(F.percentile_approx(key, shares, max(10_000, 10 * parts)).alias("b")).first()["b"] if shares else None) or [], np.int64)
+    bounds, times = np.unique(bounds, return_counts=True)
+    own = np.where(times > 1, times, 0)
+    first_part = np.arange(len(bounds) + 1) + np.concatenate([[0], np.cumsum(own)])
 
     def tokenised(batches):
-        known = encoder(path)
-        for batch in batches:
-            first = 0
-            doc_ids = batch.column(0).cast(pa.int64()).fill_null(NO_ID)
-            part = np.searchsorted(bounds, doc_ids.to_numpy(), side="left").astype(np.int32)
-            for flat, ends in known.encode(batch.column(1)):
-                ids, ends = with_end(flat, ends, end_id)
-                n = len(ends) - 1
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends * ids.itemsize), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([pa.array(part[first : first + n]), doc_ids.slice(first, n), data.cast(pa.binary())], names=["part", "doc", "ids"])
-                first += n
+        turn = TaskContext.get().partitionId()
+        with task_encoder(path) as known:
+            for batch in batches:
+                first = 0
+                doc_ids = batch.column(0).cast(pa.int64()).fill_null(NO_ID)
+                at = np.searchsorted(bounds, values := doc_ids.to_numpy(), side="left")
+                part = first_part[at]
+                if own.any():
+                    inside = np.minimum(at, len(bounds) - 1)
+                    hot = (bounds[inside] == values) & (own[inside] > 0) & (at < len(bounds))
+                    part[hot] += 1 + (turn + np.arange(hot.sum())) % own[inside][hot]
+                    turn += int(hot.sum())
+                part = part.astype(np.int32)
+                for flat, ends in known.encode(batch.column(1)):
+                    ids, ends = with_end(flat, ends, end_id)
+                    n = len(ends) - 1
+                    data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends * ids.itemsize), pa.py_buffer(ids)])
+                    yield pa.RecordBatch.from_arrays([pa.array(part[first : first + n]), doc_ids.slice(first, n), data.cast(pa.binary())], names=["part", "doc", "ids"])
+                    first += n
 
     def written(batches):
         writer, done = None, []
@@ -109,7 +121,7 @@ def write_token_files(
     files, base = _filesystem(folder)
     files.create_dir(base, recursive=True)
     rows = docs.select(id_col, text_col).mapInArrow(tokenised, "part int, doc long, ids binary")
-    dealt = rows.repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "doc", "ids")
+    dealt = rows.repartitionById(int(first_part[-1]) + 1, F.col("part")).sortWithinPartitions("part", "doc", "ids")
     counts = sorted(tuple(r) for r in dealt.mapInArrow(written, "part long, docs long, n long").collect())
     bases = np.cumsum([0, *[n for _, _, n in counts]])
     return [(part, n_docs, n, int(b)) for (part, n_docs, n), b in zip(counts, bases, strict=False)]
@@ -118,9 +130,10 @@ def write_token_files(
 def read_token_files(spark: SparkSession, folder: str, parts: list[tuple[int, int, int, int]], dtype: str, id_col: str = "doc_id") -> DataFrame:
     """One row per document from the files: `id_col`, start, n_tokens, ids_crc32 (as unsigned 32-bit integers).
 
-    Local files are memory-mapped, so a task touches one document's pages at a time; files elsewhere are read
-    through Arrow's file systems.
+    Local files are memory-mapped; of files elsewhere the index and then one document's bytes at a time are read
+    through Arrow's file systems. Either way a task holds one document's ids.
     """
+    width = np.dtype(dtype).itemsize
 
     def rows(batches):
         files, base = _filesystem(folder)
@@ -130,10 +143,14 @@ def read_token_files(spark: SparkSession, folder: str, parts: list[tuple[int, in
                 if local:
                     index = np.memmap(f"{base}/part-{part}.idx", "<i8", "r")
                     ids = np.memmap(f"{base}/part-{part}.ids", dtype, "r") if total else np.zeros(0, dtype)
+                    body = lambda a, z, ids=ids: ids[a:z]
                 else:
-                    index, ids = (np.frombuffer(files.open_input_file(f"{base}/part-{part}.{k}").readall(), d) for k, d in (("idx", "<i8"), ("ids", dtype)))
+                    with files.open_input_file(f"{base}/part-{part}.idx") as f:
+                        index = np.frombuffer(f.readall(), "<i8")
+                    opened = files.open_input_file(f"{base}/part-{part}.ids")
+                    body = lambda a, z, f=opened: np.frombuffer(f.read_at((z - a) * width, a * width), dtype)
                 offsets, doc_ids = np.array(index[: n + 1]), np.array(index[n + 1 :])
-                sums = [zlib.crc32(ids[a:z].astype("<u4")) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                sums = [zlib.crc32(body(a, z).astype("<u4")) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 names = pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID)
                 yield pa.RecordBatch.from_arrays([names, pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(sums, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
