@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from reconlake.llm.shared import blocks_for, spread
-from reconlake.llm.tokens import default_tokenizer_path, encoder, with_end
+from reconlake.llm.tokens import default_tokenizer_path, task_encoder, with_end
 
 DOCS_PER_BLOCK = 4096
 SEQUENCES_PER_BLOCK = 1 << 24
@@ -118,12 +119,14 @@ def pack_documents(
 ) -> DataFrame:
     """Pack every document (its ids, then `end_id`) into sequences of at most `sequence_tokens`.
 
-    Tokenising is a map over the documents. What goes on is one row per document with its length (and ids if
-    `keep_ids`); documents are dealt to blocks of about `docs_per_block` by a hash of their id and each block is
-    packed alone: documents over the window are first cut into full windows, the rest goes best-fit-decreasing,
-    gaps of `least_gap` tokens or more are filled by cutting, and only smaller gaps are padded. A block's
-    memory is bounded by its number of rows, whatever the corpus; the loss from packing blocks apart is nil,
-    because each block's last window is cut at powers of two, which need no padding.
+    Tokenising is a map over the documents, which at once cuts overlong ones into full windows. What goes on is a
+    row per document with its length, the checksums of its full windows and the ids of what is left, fewer than a
+    window (all ids if `keep_ids`). Documents are dealt to blocks of about `docs_per_block` and each block is packed
+    alone: the rest goes best-fit-decreasing, gaps of `least_gap` tokens or more are filled by cutting, and only
+    smaller gaps are padded. A block holds less than `docs_per_block` windows of ids, however long the texts; the
+    loss from packing blocks apart is nil, because each block's last window is cut at powers of two, which need no
+    padding. The block is a hash of id, length and checksum; rows that agree in all these within a batch are told
+    apart by their place in the task, so that repeated rows spread as well.
 
     Null texts are empty documents (their end id alone); null ids and repeated rows are packed as documents of
     their own; extra columns are ignored; an empty table gives an empty result.
@@ -136,29 +139,39 @@ def pack_documents(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def tokenised(batches):
-        known = encoder(path)
-        for batch in batches:
-            first = 0
-            for flat, bounds in known.encode(batch.column(1)):
-                ids, bounds = with_end(flat, bounds, end_id)
-                n = len(bounds) - 1
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds * ids.itemsize), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(np.diff(bounds), pa.int64()), data.cast(pa.binary())], names=[id_col, "doc_tokens", "ids"])
-                first += n
-
-    rows = docs.select(id_col, text_col).mapInArrow(tokenised, f"`{id_col}` {kind}, doc_tokens long, ids binary")
-    rows = rows.withColumn("block", spread([id_col], blocks_for(docs.count(), docs_per_block)))
+        task, row = TaskContext.get().partitionId(), 0
+        with task_encoder(path) as known:
+            for batch in batches:
+                first = 0
+                for flat, bounds in known.encode(batch.column(1)):
+                    ids, bounds = with_end(flat, bounds, end_id)
+                    tokens = np.diff(bounds)
+                    names = batch.column(0).slice(first, len(tokens))
+                    ends = bounds[1:] - tokens % sequence_tokens
+                    sums = [[zlib.crc32(ids[at : at + sequence_tokens].astype("<u4")) for at in range(a, z, sequence_tokens)] for a, z in zip(bounds[:-1].tolist(), ends.tolist(), strict=True)]
+                    held = [ids[a:z].tobytes() for a, z in zip((bounds[:-1] if keep_ids else ends).tolist(), bounds[1:].tolist(), strict=True)]
+                    tie = np.array([zlib.crc32(np.array([n, *s], "<i8").tobytes() + h) for n, s, h in zip(tokens.tolist(), sums, held, strict=True)], np.int64)
+                    number = names.dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+                    turn = np.int64(task << 32) + row + np.arange(len(tokens))
+                    turn[np.unique(number << 32 | tie, return_index=True)[1]] = 0
+                    yield pa.RecordBatch.from_arrays(
+                        [names, pa.array(tokens, pa.int64()), pa.array(tie), pa.array(turn), pa.array(sums, pa.list_(pa.int64())), pa.array(held, pa.binary())],
+                        names=[id_col, "doc_tokens", "tie", "turn", "sums", "ids"],
+                    )
+                    first += len(tokens)
+                    row += len(tokens)
+
+    rows = docs.select(id_col, text_col).mapInArrow(tokenised, f"`{id_col}` {kind}, doc_tokens long, tie long, turn long, sums array<long>, ids binary")
+    rows = rows.withColumn("block", spread([id_col, "doc_tokens", "tie", "turn"], blocks_for(docs.count(), docs_per_block)))
 
     def packed(key, rows):
-        rows = rows.append_column("tie", pa.array([zlib.crc32(x.as_buffer()) for x in rows["ids"]], pa.int64()))
         rows = rows.sort_by([(id_col, "ascending"), ("doc_tokens", "ascending"), ("tie", "ascending")])
-        tokens, texts = rows["doc_tokens"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint8) for x in rows["ids"]]
-        full, rest = [], []
-        for doc, n in enumerate(tokens.tolist()):
-            cut = n - n % sequence_tokens
-            full += [[(doc, at, sequence_tokens)] for at in range(0, cut, sequence_tokens)]
-            if n > cut:
-                rest.append((doc, cut, n - cut))
+        tokens = rows["doc_tokens"].to_numpy()
+        held = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows["ids"]]
+        sums = rows["sums"].to_pylist()
+        cut = tokens - tokens % sequence_tokens
+        full = [[(doc, at * sequence_tokens, sequence_tokens)] for doc, known in enumerate(sums) for at in range(len(known))]
+        rest = [(doc, c, n - c) for doc, (c, n) in enumerate(zip(cut.tolist(), tokens.tolist(), strict=True)) if n > c]
         windows = [[rest[i] for i in w] for w in best_fit_decreasing([x[2] for x in rest], sequence_tokens)]
         pieces = []
         for number, window in enumerate(full + top_up(windows, sequence_tokens, least_gap)):
@@ -168,20 +181,22 @@ def pack_documents(
                 at += length
         doc, start, length, number, at = np.array(pieces, np.int64).T
         filled = np.bincount(number, weights=length).astype(np.int64)[number]
-        width = len(texts[0]) // int(tokens[0])
-        bytes_of = [texts[d][width * s : width * (s + n)].view(f"<u{width}").astype("<u4") for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+        skipped = np.zeros_like(cut) if keep_ids else cut
+        width = next((len(h) // int(n - s) for h, n, s in zip(held, tokens, skipped, strict=True) if n > s), 4)
+        body = lambda d, s, n: held[d][width * (s - skipped[d]) : width * (s - skipped[d] + n)].view(f"<u{width}").astype("<u4")
+        whole = start < cut[doc]
         out = {
             id_col: rows[id_col].take(pa.array(doc)),
             "start": start,
             "length": length,
-            "ids_crc32": pa.array([zlib.crc32(x) for x in bytes_of], pa.int64()),
+            "ids_crc32": pa.array([sums[d][s // sequence_tokens] if w else zlib.crc32(body(d, s, n)) for d, s, n, w in zip(doc.tolist(), start.tolist(), length.tolist(), whole.tolist(), strict=True)], pa.int64()),
             "doc_tokens": tokens[doc],
             "sequence_id": key[0].as_py() * SEQUENCES_PER_BLOCK + number,
             "offset": at,
             "padding": np.where(filled & (filled - 1), sequence_tokens - filled, 0),
         }
         if keep_ids:
-            out["ids"] = pa.array([x.tobytes() for x in bytes_of], pa.binary())
+            out["ids"] = pa.array([body(d, s, n).tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)], pa.binary())
         return pa.table(out)
 
     out_schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long" + ", ids binary" * keep_ids
