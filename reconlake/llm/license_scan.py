@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from reconlake.llm.shared import frugal
+
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
     "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
@@ -241,4 +243,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(scanned, f"`{id_col}` {kind}, license string, coverage double, first_char long, past_char long")
+    return docs.select(id_col, text_col).mapInArrow(frugal(scanned), f"`{id_col}` {kind}, license string, coverage double, first_char long, past_char long")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reconlake.llm.components import components
 from reconlake.llm.jaccard import similar_texts
-from reconlake.llm.shared import stored
+from reconlake.llm.shared import frugal, stored
 
 ROWS_PER_GROUP = 512
 MOST_ROWS_PER_GROUP = 4096
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             bits = [simhash(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(bits, np.uint64).view(np.int64))], names=[id_col, "bits"])
 
-    return docs.select(id_col, text_col).mapInArrow(hashed, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, bits long")
+    return docs.select(id_col, text_col).mapInArrow(frugal(hashed), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, bits long")
 
 
 def band_masks(rows: int, radius: int, rows_per_group: int = ROWS_PER_GROUP) -> list[int]:

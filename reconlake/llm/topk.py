@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reconlake.llm.shared import blocks_for, stored
+from reconlake.llm.shared import blocks_for, frugal, stored
 
 ROWS_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 512
@@ -140,11 +140,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
                 yield best(row, *reaching(*_matrices(row), least[:, None]))
 
     schema = f"dim int, block int, query_id long, `{id_col}` long, score long"
-    lists = _pairs(queries, candidates, one_each=True).mapInArrow(first_lists, schema)
+    lists = _pairs(queries, candidates, one_each=True).mapInArrow(frugal(first_lists), schema)
     by_score = Window.partitionBy("dim", "block", "query_id").orderBy(F.col("score").desc())
     cutoff = lists.withColumn("n", F.row_number().over(by_score)).where(F.col("n") == k)
     cutoffs = cutoff.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "score")).alias("cutoffs"))
     told = stored(queries.join(cutoffs, ["dim", "block"], "left"), "topk-cutoffs")
-    found = _pairs(told, candidates, ("cutoffs",)).mapInArrow(sufficient, schema).select("query_id", id_col, "score")
+    found = _pairs(told, candidates, ("cutoffs",)).mapInArrow(frugal(sufficient), schema).select("query_id", id_col, "score")
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reconlake.llm.shared import frugal
+
 #: Groups of terms that name people, by language; a term is swapped for the next of its group.
 IDENTITY_GROUPS = (
     # English
@@ -169,7 +171,7 @@ def train(
             found = [sorted(features_of(words_of(t))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["label", "features"])
 
-    counts = texts.mapInArrow(listed, "label int, features array<string>").select("label", F.explode("features").alias("feature"))
+    counts = texts.mapInArrow(frugal(listed), "label int, features array<string>").select("label", F.explode("features").alias("feature"))
     counts = counts.groupBy("feature").agg(F.sum("label").alias("ones"), F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
     totals = known.agg(F.sum("label"), F.count("*")).first()
     ones, n = float(totals[0] or 0), float(totals[1])
@@ -198,11 +200,11 @@ def train(
             lost, gained = zip(*moves, strict=True) if moves else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(map(list, lost), pa.list_(pa.int32())), pa.array(map(list, gained), pa.list_(pa.int32())), pa.array(moves.values(), pa.int64())], names=["lost", "gained", "n"])
 
-    rows = texts.mapInArrow(indexed, "label int, own array<int>").collect()
+    rows = texts.mapInArrow(frugal(indexed), "label int, own array<int>").collect()
     rows.sort(key=lambda r: (r["label"], r["own"]))
     if not rows:
         return ToxicityModel({}, float(np.log(share / (1 - share))))
-    pairs = texts.mapInArrow(changed, "lost array<int>, gained array<int>, n long").groupBy("lost", "gained").agg(F.sum("n").alias("n")).orderBy("lost", "gained").collect()
+    pairs = texts.mapInArrow(frugal(changed), "lost array<int>, gained array<int>, n long").groupBy("lost", "gained").agg(F.sum("n").alias("n")).orderBy("lost", "gained").collect()
     weight, bias = _fit([r["own"] for r in rows], [tuple(p) for p in pairs], np.array([r["label"] for r in rows], float), len(vocabulary), fairness, ridge, steps)
     return ToxicityModel({f: float(w) for f, w in zip(vocabulary, weight, strict=True) if abs(w) > 1e-6}, bias)
 
@@ -219,7 +221,7 @@ def mention_gap(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -
             chance = 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
             yield pa.RecordBatch.from_arrays([pa.array(np.abs(chance[:, 0] - chance[:, 1])), pa.array((chance[:, 0] >= 0.5).astype(float)), pa.array((chance[:, 1] >= 0.5).astype(float))], names=["change", "before", "after"])
 
-    found = docs.select(text_col).mapInArrow(measured, "change double, before double, after double")
+    found = docs.select(text_col).mapInArrow(frugal(measured), "change double, before double, after double")
     return found.agg(F.count("*").alias("pairs"), F.avg("change").alias("gap"), F.avg("before").alias("flagged_before"), F.avg("after").alias("flagged_after"))
 
 
@@ -237,7 +239,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chance, pa.float64()), pa.array((chance >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(id_col, text_col).mapInArrow(scored, f"`{id_col}` {kind}, score double, predicted int")
+    found = docs.select(id_col, text_col).mapInArrow(frugal(scored), f"`{id_col}` {kind}, score double, predicted int")
     return found.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted")
 
 
@@ -255,4 +257,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
             fine = [model.logit(words_of(t or "")) < 0 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(frugal(kept), docs.schema)
