@@ -41,10 +41,19 @@ def tax_id_in(text: Column) -> Column:
     return compact_tax_id(F.coalesce(*[F.nullif(f, F.lit("")) for f in found], F.lit("")))
 
 
+def bare_tax_id(text: Column) -> Column:
+    """The compact form without leading zeros."""
+    return F.regexp_replace(compact_tax_id(text), "^0+", "")
+
+
+def bare_ids_agree(x: Column, y: Column, least: int = 7) -> Column:
+    """Two bare tax ids are equal, or one is the start of the other with `least` digits or more."""
+    return (x != "") & (y != "") & ((x == y) | ((F.length(x) >= least) & y.startswith(x)) | ((F.length(y) >= least) & x.startswith(y)))
+
+
 def same_tax_id(a: Column, b: Column, least: int = 7) -> Column:
     """Equal but for leading zeros, or one the start of the other with `least` digits or more."""
-    x, y = (F.regexp_replace(compact_tax_id(c), "^0+", "") for c in (a, b))
-    return (x != "") & (y != "") & ((x == y) | ((F.length(x) >= least) & y.startswith(x)) | ((F.length(y) >= least) & x.startswith(y)))
+    return bare_ids_agree(bare_tax_id(a), bare_tax_id(b), least)
 
 
 def plain_upper(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reconlake.functions.names import normal_text, same_tax_id, tax_id_in
+from reconlake.functions.names import bare_ids_agree, bare_tax_id, normal_text, same_tax_id, tax_id_in
 from reconlake.operators.settings import settings
 
 STEPS = ("tax_id", "tax_id_in_name", "tax_id_in_memo", "pattern")
@@ -24,17 +24,21 @@ def detect(movements: DataFrame, known: DataFrame, by_word: bool = True, id_col:
     words of the counterparty's name, or (not `by_word`) texts of three characters or more in name or memo. The best
     evidence wins, then the least entity_id. `known` is a settings table and meets every movement.
     """
-    k = settings(known.select("entity_id", F.col("tax_id").alias("known_id"), F.col("patterns")))
     c = F.col
+    k = settings(known.select("entity_id", bare_tax_id(c("tax_id")).alias("known_id"), F.coalesce("patterns", F.array().cast("array<string>")).alias("patterns")))
     name, memo = F.coalesce("counterparty", F.lit("")), F.coalesce("memo", F.lit(""))
+    # what a movement tells is worked out once, not for each entity
+    told = movements.select(
+        id_col, bare_tax_id(c("counterparty_tax_id")).alias("own_id"), bare_tax_id(tax_id_in(c("counterparty"))).alias("name_id"), bare_tax_id(tax_id_in(c("memo"))).alias("memo_id"),
+        (name if by_word else F.lower(F.concat(name, F.lit(" "), memo))).alias("hay"),
+    )
     if by_word:
-        hit = F.exists("patterns", lambda p: (F.trim(p) != "") & whole_word(name, p))
+        hit = F.exists("patterns", lambda p: (F.trim(p) != "") & whole_word(c("hay"), p))
     else:
-        hay = F.lower(F.concat(name, F.lit(" "), memo))
-        hit = F.exists("patterns", lambda p: (F.length(F.trim(p)) >= 3) & hay.contains(F.lower(F.trim(p))))
-    tests = (same_tax_id(c("counterparty_tax_id"), c("known_id")), same_tax_id(tax_id_in(c("counterparty")), c("known_id")), same_tax_id(tax_id_in(c("memo")), c("known_id")), hit)
+        hit = F.exists("patterns", lambda p: (F.length(F.trim(p)) >= 3) & c("hay").contains(F.lower(F.trim(p))))
+    tests = (*(bare_ids_agree(c(i), c("known_id")) for i in ("own_id", "name_id", "memo_id")), hit)
     step = F.coalesce(*[F.when(t, i) for i, t in enumerate(tests)])
-    met = movements.select(id_col, "counterparty", "counterparty_tax_id", "memo").join(k, step.isNotNull()).withColumn("step", step)
+    met = told.join(k, step.isNotNull()).withColumn("step", step)
     best = met.groupBy(id_col).agg(F.min(F.struct("step", "entity_id")).alias("best"))
     via = F.element_at(F.array(*[F.lit(s) for s in STEPS]), c("best.step") + 1)
     return best.select(id_col, c("best.entity_id").alias("entity_id"), via.alias("via"))
