@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from reconlake.llm.shared import give_back, ragged_take, release, text_slices
+from reconlake.llm.shared import CACHES, give_back, ragged_take, release, text_slices
 
 #: The split pattern of the white-space-dropping tokenizer family, as in its file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -28,7 +28,7 @@ SPECIAL = r"<\|"
 
 SLICE_BYTES = 4 << 20
 #: New chunks worked out together, and jobs of a thousand pre-tokens given to the library together: what this takes for a while.
-LEARNT_AT_ONCE, JOBS = 1 << 15, 16
+LEARNT_AT_ONCE, JOBS = 1 << 18, 64
 #: Of the table of chunks in a worker: their number and their bytes, beyond which it starts anew.
 MAX_CHUNKS, MAX_CHUNK_BYTES = 300_000, 16 << 20
 
@@ -292,12 +292,13 @@ def encoder(path: str) -> WordEncoder | TextEncoder:
 
 @contextmanager
 def task_encoder(path: str):
-    """The encoder for one task: its table lasts as long as the task, and the worker's memory goes back at its end."""
+    """The encoder for one task. Its bounded table serves the worker's next tokenising task; any other task drops it (`frugal`)."""
     known = encoder(path)
+    if not CACHES:
+        CACHES.append(lambda: [e.forget() for e in _ENCODERS.values()])
     try:
         yield known
     finally:
-        known.forget()
         give_back()
 
 
