@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reconlake.llm.filter_audit import filter_audit
 from reconlake.llm.fingerprints import edited_fingerprints
 from reconlake.llm.license_scan import scan_licenses
 from reconlake.llm.mixing import mix_sources
@@ -64,10 +65,14 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_packing, op2_toxicity, op3_license_scans, op4_token_counts, op5_token_files, op6_exact_top_k, op7_document_fingerprints, op8_source_mixing, op9_simhash, op10_url_filters]
+    own = [op1_packing, op2_toxicity, op3_license_scans, op4_token_counts, op5_token_files, op6_exact_top_k, op7_document_fingerprints, op8_source_mixing, op9_simhash, op10_url_filters, op13_filter_audit]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -105,6 +110,44 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 
+#: Words by splitting; every order as a product of its steps' letters.
+FILTER_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents
+), w AS (
+  SELECT *, list_filter(string_split_regex(t, '[ \\x09-\\x0D]+'), lambda x: x <> '') AS words FROM d
+), f AS (
+  SELECT doc_id, part,
+    (len(words) < 200)::INT AS a, (100 * len(list_distinct(words)) < 50 * len(words))::INT AS b,
+    (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT AS c,
+    regexp_matches(t, '[#$%&*|]')::INT AS d, coalesce(doc_id > least, false)::INT AS e
+  FROM w
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL
+), five AS (SELECT unnest([1, 2, 3, 4, 5]) AS i), orders AS (
+  SELECT [x1.i, x2.i, x3.i, x4.i, x5.i] AS o FROM five x1, five x2, five x3, five x4, five x5
+  WHERE len(list_distinct([x1.i, x2.i, x3.i, x4.i, x5.i])) = 5
+), s AS (
+  SELECT list_aggregate(list_transform(o, lambda x: substr('ABCDE', x, 1)), 'string_agg', '') AS filter_order, five.i AS step, o[five.i] AS own, o[1 : five.i - 1] AS before FROM orders, five
+), x AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails[own] = 1 AS own_fails, len(list_filter(before, lambda y: fails[y] = 1)) > 0 AS gone, list_sum(fails) AS total FROM m, s
+), r AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (NOT own_fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (own_fails AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (own_fails AND gone), 0) AS redundant, coalesce(sum(n) FILTER (own_fails AND total = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (own_fails AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (own_fails AND NOT gone), 0) AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries need a tokenizer, a trained model or a hash that SQL lacks; brute force in the tests checks them."""
-    return {"op6_exact_top_k": TOP_K_SQL, "op10_url_filters": URL_SQL}
+    return {"op6_exact_top_k": TOP_K_SQL, "op10_url_filters": URL_SQL, "op13_filter_audit": FILTER_SQL}

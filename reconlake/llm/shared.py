@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,18 @@ def ragged_take(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
 
 
+def byte_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts, one after the other, and where each begins, with the end; a null text counts as empty."""
+    texts = texts.cast(pa.large_binary())
+    if texts.null_count:
+        texts = pc.fill_null(texts, b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(offsets):
+        offsets = np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
 def text_slices(offsets: np.ndarray, most_bytes: int):
     """Row ranges (first, past last) whose texts hold about `most_bytes` at most; a longer text stands alone."""
     first, n = 0, len(offsets) - 1
