@@ -12,6 +12,7 @@ from reconlake.llm.fingerprints import edited_fingerprints
 from reconlake.llm.license_scan import scan_licenses
 from reconlake.llm.mixing import mix_sources
 from reconlake.llm.packing import pack_documents
+from reconlake.llm.periodic_runs import find_runs, run_digests
 from reconlake.llm.shared import table
 from reconlake.llm.simhash import near_duplicates
 from reconlake.llm.token_counts import count_tokens
@@ -65,6 +66,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(find_runs(table(spark, sf_dir, "documents"), planted=True))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -72,7 +77,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_packing, op2_toxicity, op3_license_scans, op4_token_counts, op5_token_files, op6_exact_top_k, op7_document_fingerprints, op8_source_mixing, op9_simhash, op10_url_filters, op13_filter_audit]
+    own = [op1_packing, op2_toxicity, op3_license_scans, op4_token_counts, op5_token_files, op6_exact_top_k, op7_document_fingerprints, op8_source_mixing, op9_simhash, op10_url_filters, op12_periodic_runs, op13_filter_audit]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
