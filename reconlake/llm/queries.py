@@ -15,6 +15,7 @@ from reconlake.llm.packing import pack_documents
 from reconlake.llm.periodic_runs import find_runs, run_digests
 from reconlake.llm.shared import table
 from reconlake.llm.simhash import near_duplicates
+from reconlake.llm.suffix_dedup import repeated_spans
 from reconlake.llm.token_counts import count_tokens
 from reconlake.llm.token_files import token_files
 from reconlake.llm.topk import exact_top_k
@@ -66,6 +67,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["past"] - x["start"])
+    return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(find_runs(table(spark, sf_dir, "documents"), planted=True))
 
@@ -77,7 +83,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_packing, op2_toxicity, op3_license_scans, op4_token_counts, op5_token_files, op6_exact_top_k, op7_document_fingerprints, op8_source_mixing, op9_simhash, op10_url_filters, op12_periodic_runs, op13_filter_audit]
+    own = [op1_packing, op2_toxicity, op3_license_scans, op4_token_counts, op5_token_files, op6_exact_top_k, op7_document_fingerprints, op8_source_mixing, op9_simhash, op10_url_filters, op11_suffix_dedup, op12_periodic_runs, op13_filter_audit]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
