@@ -2,71 +2,104 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reconlake.functions.names import receipt_list
-from reconlake.operators.assign import greedy_assign
-from reconlake.operators.candidates import window_join
+from reconlake.operators.candidates import tolerance_join, window_join
+from reconlake.operators.replay import replay
 
 #: Tolerances in hundredths of a percent, and windows in days.
 BY_RECEIPT_BP, SEVERAL_BP, RECEIPT_DAYS, EXACT_DAYS, MIRROR_DAYS = 500, 250, 3, 1, 2
 
 
-def match_settlements(pos: DataFrame, settlements: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """Rows (pos_id, settlement_id, matched_by, difference) of five passes, each over what the ones before left.
+def _nearest(edges: list[dict]) -> list[tuple]:
+    best = min(edges, key=lambda e: (e["off"], e["s_day"], e["settlement_id"]))
+    return [(best["settlement_id"], "receipt")]
+
+
+def _one_for_each_receipt(edges: list[dict]) -> list[tuple]:
+    """All receipts that the memo names, if each has a single free settlement and they add up."""
+    picked: dict = {}
+    for receipt in edges[0]["receipts"]:
+        free = {e["settlement_id"]: e for e in edges if e["receipt"] == receipt and e["settlement_id"] not in picked}
+        if len(free) != 1:
+            return []
+        picked |= free
+    amount = edges[0]["amount"]
+    fits = len(picked) > 1 and abs(sum(e["gross"] for e in picked.values()) - amount) * 10_000 <= amount * SEVERAL_BP
+    return [(i, "several") for i in picked] if fits else []
+
+
+def _exact_or_only(edges: list[dict]) -> list[tuple]:
+    exact = [e for e in edges if e["off"] == 0]
+    if exact:
+        return [(min(exact, key=lambda e: (e["s_day"], e["settlement_id"]))["settlement_id"], "exact")]
+    return [(edges[0]["settlement_id"], "tolerant")] if len(edges) == 1 else []
+
+
+def match_settlements(pos: DataFrame, settlements: DataFrame, links: DataFrame | None = None, **limits: int) -> DataFrame:
+    """Rows (pos_id, settlement_id, matched_by, difference) of four passes, each over what the ones before left.
 
-    Manual: the (pos_id, settlement_id) of `links`, whatever the amounts; a settlement goes to the least pos_id.
-    By receipt: same receipt and branch, at most three days apart and 5 % off, nearest amount first. Several: the
-    memo of a row (a column `memo`, if there is one) names two receipts or more, each has one settlement left, of the
-    branch and within three days, and they add up to the amount but for 2.5 %; the earliest row goes first. Exact:
-    same branch and amount, a day apart at most. Tolerant: same branch, a day apart, 5 % off, and each the
-    only candidate of the other. A settlement without a branch fits any, and is joined apart from the others, so that
-    these meet by branch. `difference` is what all settlements of the row exceed its amount by.
+    In each pass the sales come by day and id, and see the settlements that are still free (`replay`, which has the `limits`).
+    Manual: the (pos_id, settlement_id) of `links`, whatever the amounts; a settlement goes to the least pos_id there is.
+    By receipt: of those with the same receipt and branch, at most three days apart and 5 % off, the nearest amount.
+    Several: the memo of a sale (a column `memo`, if there is one) names two receipts or more, each has one settlement
+    left, of the branch and within three days, and they add up to the amount but for 2.5 %. Last, same branch and at
+    most a day apart: a settlement of the same amount, else the only one that is at most 5 % off. Rows without a
+    receipt have none in common. A settlement without a branch fits any, and is joined apart from the others, so that
+    these meet by branch. `difference` is what all settlements of the sale exceed its amount by.
     """
-    bare = lambda c: F.coalesce(F.nullif(F.regexp_replace(c, "^0+", ""), F.lit("")), F.lit("0"))
+    bare = lambda c: F.when(c != "", F.coalesce(F.nullif(F.regexp_replace(c, "^0+", ""), F.lit("")), F.lit("0")))
     s = settlements.select("settlement_id", F.col("branch_id").alias("s_branch"), F.col("sale_date").alias("s_day"), "gross", bare(F.col("receipt")).alias("receipt")).where("settlement_id IS NOT NULL")
     memo = F.col("memo") if "memo" in pos.columns else F.lit(None).cast("string")
     p = pos.select("pos_id", "branch_id", F.col("sale_date").alias("p_day"), "amount", bare(F.col("receipt")).alias("receipt"), memo.alias("memo"))
-    days, off = F.abs(F.datediff("s_day", "p_day")), F.abs(F.col("gross") - F.col("amount"))
-    near = (F.col("amount") == 0) | (off * 10_000 <= F.abs("amount") * BY_RECEIPT_BP)
+    off = F.abs(F.col("gross") - F.col("amount"))
     found = []
 
-    def met(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
-        rows, sides = (df if "receipt" in keys else df.drop("receipt") for df in (rows, s))
-        named = window_join(rows, sides.where("s_branch IS NOT NULL").withColumn("branch_id", F.col("s_branch")), [*keys, "branch_id"], "p_day", "s_day", window)
-        other = window_join(rows, sides.where("s_branch IS NULL"), keys, "p_day", "s_day", window)
-        return named.unionByName(other, allowMissingColumns=True)
+    def met(rows: DataFrame, join) -> DataFrame:
+        """`join` of the rows with the settlements of their branch, and with those without one."""
+        named = join(rows, s.where("s_branch IS NOT NULL").withColumn("branch_id", F.col("s_branch")), ["branch_id"])
+        return named.unionByName(join(rows, s.where("s_branch IS NULL"), []), allowMissingColumns=True)
 
-    def settle(won: DataFrame, name: str) -> None:
-        """`won`: pos_id, settlement_id, gross, amount."""
+    def settle(won: DataFrame) -> None:
+        """`won`: pos_id, settlement_id, matched_by."""
         nonlocal p, s
-        sums = won.groupBy("pos_id").agg((F.sum("gross") - F.max("amount")).alias("difference"))
-        won = won.join(sums, "pos_id").select("pos_id", "settlement_id", F.lit(name).alias("matched_by"), "difference").checkpoint()
+        whole = won.join(p.select("pos_id", "amount"), "pos_id").join(s.select("settlement_id", "gross"), "settlement_id")
+        sums = whole.groupBy("pos_id").agg((F.sum("gross") - F.max("amount")).alias("difference"))
+        won = won.join(sums, "pos_id").select("pos_id", "settlement_id", "matched_by", "difference").checkpoint()
         found.append(won)
-        p, s = p.join(won, "pos_id", "left_anti"), s.join(won, "settlement_id", "left_anti")
+        p, s = p.join(won, "pos_id", "left_anti").checkpoint(), s.join(won, "settlement_id", "left_anti").checkpoint()
 
-    def nearest(edges: DataFrame, name: str) -> None:
-        edges = edges.select("pos_id", "settlement_id", "gross", "amount", off.alias("off"), days.alias("days"))
-        settle(greedy_assign(edges, "pos_id", "settlement_id", [F.col("off"), F.col("days"), F.col("pos_id"), F.col("settlement_id")]), name)
+    def in_order(edges: DataFrame, decide) -> None:
+        settle(replay(edges, "pos_id", "settlement_id", ["p_day"], decide, "matched_by", **limits))
 
     if links is not None:
-        forced = links.groupBy("settlement_id").agg(F.min("pos_id").alias("pos_id"))
-        settle(forced.join(p.select("pos_id", "amount"), "pos_id").join(s.select("settlement_id", "gross"), "settlement_id"), "manual")
-    nearest(met(p, ["receipt"], RECEIPT_DAYS).where(near), "receipt")
-
-    several = p.where("amount > 0").withColumn("receipts", receipt_list(F.col("memo"))).where("receipts IS NOT NULL")
-    asked = several.withColumn("receipt", F.explode("receipts")).withColumn("receipt", F.col("receipt").cast("string"))
-    one_each = met(asked, ["receipt"], RECEIPT_DAYS).groupBy("pos_id", "amount", "p_day", "receipts", "receipt").agg(F.count("*").alias("n"), F.min(F.struct("settlement_id", "gross")).alias("one")).where("n = 1")
-    groups = one_each.groupBy("pos_id", "amount", "p_day", "receipts").agg(F.collect_set("one.settlement_id").alias("ids"), F.count("*").alias("n"), F.sum("one.gross").alias("total"))
-    groups = groups.where((F.col("n") == F.size("receipts")) & (F.size("ids") == F.col("n")) & (F.abs(F.col("total") - F.col("amount")) * 10_000 <= F.col("amount") * SEVERAL_BP))
-    won = greedy_assign(groups.select("pos_id", F.sort_array("ids").alias("ids"), "amount", "p_day"), "pos_id", "ids", [F.col("p_day"), F.col("pos_id")])
-    settle(won.select("pos_id", "amount", F.explode("ids").alias("settlement_id")).join(s.select("settlement_id", "gross"), "settlement_id"), "several")
-
-    nearest(met(p.withColumn("gross", F.col("amount")), ["gross"], EXACT_DAYS), "exact")
-    edges = met(p, [], EXACT_DAYS).where(near & (F.col("amount") != 0)).select("pos_id", "settlement_id", "gross", "amount")
-    counts = [edges.groupBy(c).agg(F.count("*").alias(f"n_{c}")) for c in ("pos_id", "settlement_id")]
-    settle(edges.join(counts[0], "pos_id").join(counts[1], "settlement_id").where("n_pos_id = 1 AND n_settlement_id = 1"), "tolerant")
+        known = links.join(p.select("pos_id"), "pos_id").join(s.select("settlement_id"), "settlement_id")
+        settle(known.groupBy("settlement_id").agg(F.min("pos_id").alias("pos_id")).select("pos_id", "settlement_id", F.lit("manual").alias("matched_by")))
+
+    by_receipt = met(p, lambda rows, right, keys: window_join(rows, right, ["receipt", *keys], "p_day", "s_day", RECEIPT_DAYS))
+    near = by_receipt.where((F.col("amount") == 0) | (off * 10_000 <= F.abs("amount") * BY_RECEIPT_BP))
+    in_order(near.select("pos_id", "settlement_id", "p_day", "s_day", off.alias("off")), _nearest)
+
+    several = p.where("amount > 0").withColumn("receipts", receipt_list(F.col("memo")).cast("array<string>")).where("receipts IS NOT NULL").drop("receipt")
+    asked = several.withColumn("receipt", F.explode("receipts"))
+    one_each = met(asked, lambda rows, right, keys: window_join(rows, right, ["receipt", *keys], "p_day", "s_day", RECEIPT_DAYS))
+    in_order(one_each.select("pos_id", "settlement_id", "p_day", "receipts", "receipt", "gross", "amount"), _one_for_each_receipt)
+
+    # magnitudes of one sign meet in bands; nothing but zero is within 5 % of zero
+    def by_amount(rows: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        sized = rows.drop("receipt").withColumn("sign", F.signum("amount")).withColumn("size", F.abs("amount"))
+        other = right.drop("receipt").withColumn("sign", F.signum("gross")).withColumn("s_size", F.abs("gross"))
+        some = tolerance_join(sized, other, ["sign", *keys], "p_day", "s_day", EXACT_DAYS, "size", "s_size", 10_000 // BY_RECEIPT_BP)
+        none = window_join(sized.where("amount = 0"), other.where("gross = 0").drop("sign"), keys, "p_day", "s_day", EXACT_DAYS) if keys else None
+        return some if none is None else some.unionByName(none, allowMissingColumns=True)
+
+    rest = met(p, by_amount)
+    in_order(rest.select("pos_id", "settlement_id", "p_day", "s_day", off.alias("off")), _exact_or_only)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -77,38 +110,45 @@ def _mirror_sides(movements: DataFrame, entity_of: str, owner_of: str) -> tuple[
     size = F.abs(F.col("amount"))
     out = movements.where("direction = 'OUT'").where(F.col(entity_of).isNotNull())
     out = out.select(F.col("bank_id").alias("out_id"), size.alias("size"), F.col("post_date").alias("out_day"), F.col(entity_of).alias("owner"), F.col(owner_of).alias("out_owner"))
-    into = movements.where("direction = 'IN'").where(F.col(entity_of).isNotNull() | F.col("counterparty").isNull())
+    known = [F.trim(F.coalesce(F.col(c), F.lit(""))) != "" for c in ("counterparty", "counterparty_tax_id") if c in movements.columns]
+    outsider = F.col(entity_of).isNull() & reduce(or_, known, F.lit(False))
+    into = movements.where("direction = 'IN'").where(~outsider)
     into = into.select(F.col("bank_id").alias("in_id"), size.alias("size"), F.col("post_date").alias("in_day"), F.col(owner_of).alias("owner"), F.col(entity_of).alias("in_names"))
     return out, into
 
 
-def match_mirrors(movements: DataFrame, entity_of: str, owner_of: str) -> DataFrame:
+def _only_or_closing(edges: list[dict]) -> list[tuple]:
+    """The only candidate there ever was, else the only free one that points back."""
+    if edges[0]["n"] == 1:
+        return [(edges[0]["in_id"], "clean")]
+    back = [e for e in edges if e["back"]]
+    return [(back[0]["in_id"], "circle")] if len(back) == 1 else []
+
+
+def _closing_or_first(edges: list[dict]) -> list[tuple]:
+    best = min(edges, key=lambda e: (not e["back"], e["in_day"], e["in_id"]))
+    return [(best["in_id"], "block")]
+
+
+def match_mirrors(movements: DataFrame, entity_of: str, owner_of: str, **limits: int) -> DataFrame:
     """(out_id, in_id, found_by, intra) of the outgoing and incoming movements that mirror each other.
 
     `entity_of` names the own entity that a movement's text points to, `owner_of` the entity that holds its account.
     Candidates of an OUT are INs on accounts of the entity it points to, of the same size, within two days, whose own text
-    doesn't name an outsider. Passes, each over what the ones before left, the earliest OUT first: those with one candidate
-    (`clean`); those with one candidate that points back at the OUT's owner (`circle`); the rest, which prefer a
-    candidate that points back, then the earliest (`block`). `intra`: both accounts have the same owner.
+    doesn't name an outsider, be it by name or tax id (columns counterparty and counterparty_tax_id, if there). OUTs come
+    by day and id (`replay`, which has the `limits`). First, one with a single candidate takes it (`clean`), any other
+    takes the only free candidate that points back at its owner (`circle`); then those left over take a free candidate, one
+    that points back rather than another, the earliest (`block`). `intra`: both accounts have the same owner.
     """
     out, into = _mirror_sides(movements, entity_of, owner_of)
     edges = window_join(out, into, ["size", "owner"], "out_day", "in_day", MIRROR_DAYS)
-    edges = edges.withColumn("back", F.when(F.col("in_names") == F.col("out_owner"), 0).otherwise(1)).withColumn("intra", F.col("owner").eqNullSafe(F.col("out_owner")))
+    edges = edges.withColumn("back", F.coalesce(F.col("in_names") == F.col("out_owner"), F.lit(False))).withColumn("intra", F.col("owner").eqNullSafe(F.col("out_owner")))
     edges = edges.select("out_id", "in_id", "out_day", "in_day", "back", "intra").checkpoint()
-    counts = edges.groupBy("out_id").agg(F.count("*").alias("n"))
-    found, rank = [], [F.col("out_day"), F.col("out_id"), F.col("back"), F.col("in_day"), F.col("in_id")]
-
-    def take(some: DataFrame, name: str) -> None:
-        nonlocal edges
-        won = greedy_assign(some.select("out_id", "in_id", "out_day", "in_day", "back", "intra"), "out_id", "in_id", rank).select("out_id", "in_id", F.lit(name).alias("found_by"), "intra").checkpoint()
-        found.append(won)
-        edges = edges.join(won, "out_id", "left_anti").join(won, "in_id", "left_anti")
-
-    take(edges.join(counts.where("n = 1"), "out_id", "left_semi"), "clean")
-    closing = edges.where("back = 0")
-    take(closing.join(closing.groupBy("out_id").agg(F.count("*").alias("m")).where("m = 1"), "out_id", "left_semi"), "circle")
-    take(edges, "block")
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    counted = edges.join(edges.groupBy("out_id").agg(F.count("*").alias("n")), "out_id")
+    first = replay(counted.drop("intra"), "out_id", "in_id", ["out_day"], _only_or_closing, **limits)
+    left = edges.join(first, "out_id", "left_anti").join(first, "in_id", "left_anti")
+    won = first.unionByName(replay(left.drop("intra"), "out_id", "in_id", ["out_day"], _closing_or_first, **limits))
+    return won.join(edges.select("out_id", "in_id", "intra"), ["out_id", "in_id"])
 
 
 def mirror_orphans(movements: DataFrame, entity_of: str, owner_of: str, pairs: DataFrame) -> DataFrame:

@@ -88,6 +88,11 @@ def pos_settlement(v):
     return match_settlements(v.pos, v.settlement)
 
 
+@query("D15_card_settlements")
+def card_settlements(v):
+    return match_settlements(v.card_sales, v.card_settlements, v.card_links)
+
+
 @query("D16_expense_scores", """
     SELECT t.treasury_id, b.bank_id, CAST(30 + CASE abs(date_diff('day', t.doc_date, b.post_date)) WHEN 0 THEN 25 WHEN 1 THEN 18 WHEN 2 THEN 12 WHEN 3 THEN 8 ELSE 4 END
       + CASE WHEN t.client = b.counterparty THEN 25 ELSE 0 END + CASE WHEN t.tax_id = b.counterparty_tax_id THEN 15 ELSE 0 END AS integer) AS score

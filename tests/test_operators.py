@@ -58,8 +58,8 @@ def test_settlement_passes(spark):
     pos = spark.createDataFrame([(1, 7, d, 1000, "0012"), (2, 7, d, 500, "99"), (3, 8, d, 300, "5"), (4, 8, d, 310, "6"), (5, 7, d, 700, None)], "pos_id int, branch_id int, sale_date date, amount long, receipt string")
     sets = spark.createDataFrame([(11, 7, d + timedelta(3), 1050, "12"), (12, 9, d, 1000, "12"), (13, None, d + timedelta(1), 500, "77"), (14, 8, d, 305, "1"), (15, 7, d, 705, "x")], "settlement_id int, branch_id int, sale_date date, gross long, receipt string")
     got = sorted((r.pos_id, r.settlement_id, r.matched_by, r.difference) for r in match_settlements(pos, sets).collect())
-    # 14 fits both 3 and 4 within tolerance, so neither takes it
-    assert got == [(1, 11, "receipt", 50), (2, 13, "exact", 0), (5, 15, "tolerant", 5)]
+    # 14 is the only one that fits 3, and is gone when 4 comes
+    assert got == [(1, 11, "receipt", 50), (2, 13, "exact", 0), (3, 14, "tolerant", 5), (5, 15, "tolerant", 5)]
 
 
 def test_manual_links_and_several_receipts(spark):
@@ -75,29 +75,27 @@ def test_manual_links_and_several_receipts(spark):
 
 
 def slow_mirrors(rows):
-    """One OUT after the other, in three passes."""
+    """One OUT after the other: only or closing candidates first, the rest afterwards."""
     owners = {r[6] for r in rows}
     outs = sorted((r for r in rows if r[1] == "OUT" and r[5] is not None), key=lambda r: (r[3], r[0]))
     ins = [r for r in rows if r[1] == "IN" and (r[5] is not None or r[4] is None)]
     fits = {o[0]: [i for i in ins if i[6] == o[5] and abs(i[2]) == abs(o[2]) and abs((i[3] - o[3]).days) <= 2] for o in outs}
-    used, found, done = set(), [], set()
-    for name in ("clean", "circle", "block"):
-        free = {o[0]: [i for i in fits[o[0]] if i[0] not in used] for o in outs if o[0] not in done}
-        for o in outs:
-            if o[0] in done:
-                continue
-            pool = free[o[0]]
-            if name == "clean" and len(fits[o[0]]) != 1:
-                continue
-            if name == "circle":
-                pool = [i for i in pool if i[5] == o[6]]
-                if len(pool) != 1:
-                    continue
-            pool = sorted((i for i in pool if i[0] not in used), key=lambda i: (i[5] != o[6], i[3], i[0]))
-            if pool:
-                used.add(pool[0][0])
-                done.add(o[0])
-                found.append((o[0], pool[0][0], name, o[5] == o[6]))
+    used, found, later = set(), [], []
+    for o in outs:
+        back = [i for i in fits[o[0]] if i[0] not in used and i[5] == o[6]]
+        only = fits[o[0]] if len(fits[o[0]]) == 1 and fits[o[0]][0][0] not in used else []
+        pick, name = (only, "clean") if len(fits[o[0]]) == 1 else (back, "circle")
+        if len(pick) == 1:
+            used.add(pick[0][0])
+            found.append((o[0], pick[0][0], name, o[5] == o[6]))
+        else:
+            later.append(o)
+    for o in later:
+        pool = sorted((i for i in fits[o[0]] if i[0] not in used), key=lambda i: (i[5] != o[6], i[3], i[0]))
+        if pool:
+            used.add(pool[0][0])
+            found.append((o[0], pool[0][0], "block", o[5] == o[6]))
+    done = {f[0] for f in found}
     left = [(o[0], "OUT", "no-dest-account" if o[5] not in owners else "no-candidate" if not fits[o[0]] else "ambiguous") for o in outs if o[0] not in done]
     return sorted(found), sorted(left + [(i[0], "IN", "no-out") for i in ins if i[5] is not None and i[0] not in used])
 
