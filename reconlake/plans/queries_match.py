@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reconlake.functions.names import operation_number, tokens
-from reconlake.operators.assign import greedy_assign
+from reconlake.operators.assign import greedy_assign, shared_folder
 from reconlake.operators.candidates import allocate, mutual_unique, pair_splits, tolerance_join, triple_splits, window_join, within_days
 from reconlake.operators.clusters import duplicate_clusters
 from reconlake.operators.dedup import dedup_keys, embedded_reference, latest_by, new_rows
 from reconlake.operators.settings import for_each, settings
-from reconlake.operators.matching import assign_candidates, inverse_split_run, match_candidates, matching_run, sibling_rows
+from reconlake.operators.matching import assign_candidates, inverse_split_run, match_candidates, matching_run, reconcile, sibling_rows
+from reconlake.operators.rematch import MatchBook
 from reconlake.operators.journal import apportion, explode_lines, line, split_side
 from reconlake.operators.reports import dominant, mode_by
 from reconlake.operators.scoring import expense_score, pair_score, status_of
@@ -230,6 +231,32 @@ def outcomes(v):
     return matching_run(v.ledger, v.ledger_bank, v.account).select("treasury_id", "outcome", "match_type", "score", F.array_join("bank_ids", "|").alias("bank_ids"))
 
 
+ROUTES = [("perez1", "Banco 1", "PEREZ1"), ("perez4", "Banco 4", "PEREZ4")]
+
+
+def told(conclusions):
+    lists = {c: F.array_join(c, "|").alias(c) for c in ("linked", "proposed")}
+    return conclusions.select("treasury_id", "outcome", "match_type", "score", *lists.values(), "resolved_account", "note")
+
+
+@query("E07_whole_run")
+def whole_run(v):
+    """With aliases, memo routes, links by hand, an account in partial use, notes and proposals."""
+    return told(reconcile(v.ledger_named, v.ledger_bank.distinct(), v.ledger_account, v.ledger_alias, ROUTES, v.ledger_manual, v.ledger_linked))
+
+
+@query("M04_rematch_after_imports")
+def rematched(v):
+    """The same rows after three imports: part of both sides, treasury rows alone, bank rows alone."""
+    book = MatchBook(v.spark, shared_folder(v.spark, "matches"), v.ledger_account, v.ledger_alias, ROUTES, v.ledger_manual, v.ledger_linked)
+    early, first = F.col("doc_date") < "1998-01-01", F.col("post_date") < "1997-06-01"
+    bank = v.ledger_bank.distinct()
+    book.add(0, v.ledger_named.where(early), bank.where(first))
+    book.add(1, treasury=v.ledger_named.where(~early))
+    book.add(2, bank=bank.where(~first))
+    return told(book.conclusions())
+
+
 @query("E11_allocation", """
     WITH t AS (SELECT client_id, treasury_id, sum(abs(amount)) OVER w - abs(amount) AS f, sum(abs(amount)) OVER w AS u FROM treasury WINDOW w AS (PARTITION BY client_id ORDER BY doc_date, treasury_id ROWS UNBOUNDED PRECEDING)),
     b AS (SELECT part_id % 1500 AS client_id, bank_id, sum(abs(amount)) OVER w - abs(amount) AS f, sum(abs(amount)) OVER w AS u FROM bank WINDOW w AS (PARTITION BY part_id % 1500 ORDER BY post_date, bank_id ROWS UNBOUNDED PRECEDING))

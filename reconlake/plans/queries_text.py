@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from reconlake.functions.amounts import gross_up, parse_amount
 from reconlake.functions.dates import parse_date
 from reconlake.functions.names import account_digits, compact_tax_id, dashed_tax_id, memo_parts, normal_text, plain_upper, receipt_list, tax_id_in
+from reconlake.operators.assign import shared_folder
 from reconlake.plans.catalog import query
 from reconlake.streaming.ingest import current, file_stream, ingest_stream
 
@@ -91,8 +89,7 @@ def grossed(v):
 @query("M02_stream_latest_wins", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events WHERE user_id % 10 <> 0 GROUP BY user_id")
 def stream_latest(v):
     spark = v.spark
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reconlake-")
-    folder = os.path.join(shared, f"ingest-{uuid.uuid4().hex}")
+    folder = shared_folder(spark, "ingest")
     events = v.table("events")
     ingest_stream(file_stream(spark, v.sf_dir, events.schema, "events.parquet"), f"{folder}/log", f"{folder}/progress").awaitTermination()
     gone = events.where("user_id % 10 = 0").select("user_id")

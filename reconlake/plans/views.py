@@ -93,6 +93,14 @@ VIEWS: dict[str, str] = {
         FROM {{orders}} JOIN {{lineitem}} ON l_orderkey = o_orderkey WHERE l_linenumber <= 1 + o_orderkey % 3 GROUP BY o_orderkey""",
 }
 VIEWS["links"] = f"SELECT order_id AS treasury_id, bank_id, amount AS bank_amount, post_date FROM ({VIEWS['bank']}) AS b WHERE line_no <= 3"
+# the same ledger with bank names instead of accounts, links made by hand, and rows that had links before
+VIEWS["ledger_named"] = f"SELECT treasury_id, CASE WHEN account_id IS NULL THEN NULL ELSE 'Banco ' || CAST(account_id AS string) END AS bank_name, direction, amount, doc_date, state, is_exception, client, tax_id, memo FROM ({VIEWS['ledger']}) AS l"
+VIEWS["ledger_alias"] = "SELECT 'Banco ' || CAST(s_suppkey AS string) AS alias, s_suppkey AS account_id FROM {supplier} WHERE s_suppkey < 9"
+VIEWS["ledger_account"] = "SELECT s_suppkey AS account_id, s_suppkey % 4 AS bank_code, s_suppkey = 6 AS partial_use FROM {supplier} WHERE s_suppkey < 10"
+VIEWS["ledger_manual"] = f"""
+    SELECT l_orderkey AS treasury_id, min(CAST(l_orderkey AS string) || '-' || CAST(l_linenumber AS string) || '-' || CAST(l_partkey AS string) || '-' || CAST({_PRICE} AS string)) AS bank_id
+    FROM {{lineitem}} WHERE l_orderkey % 29 = 0 GROUP BY l_orderkey"""
+VIEWS["ledger_linked"] = "SELECT o_orderkey AS treasury_id FROM {orders} WHERE o_orderkey % 62 = 0"
 VIEWS["settlement"] = VIEWS["settlement"].replace(f"{_VALUE} * 2 // 100", f"CAST(floor({_VALUE} * 2 / 100.0) AS bigint)")
 
 _NAMES = re.compile(r"\{(\w+)\}")

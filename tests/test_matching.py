@@ -52,7 +52,8 @@ def slow_candidates(ledger, bank, codes):
         by_account[b.account_id, b.direction].append(b)
         by_amount[b.direction, b.amount].append(b)
     for t in ledger:
-        near = [b for b in by_account[t.account_id, t.direction] if abs((b.post_date - t.doc_date).days) <= 7]
+        marker = getattr(t, "marker", None)
+        near = [b for b in by_account[t.account_id, t.direction] if abs((b.post_date - t.doc_date).days) <= 7 and (marker or "") in f"{b.counterparty or ''} {b.memo or ''}".upper()]
         for b in near:
             if b.amount == t.amount:
                 s, days = score(t, b)
