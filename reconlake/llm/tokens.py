@@ -24,7 +24,7 @@ from reconlake.llm.shared import CACHES, give_back, ragged_take, release, text_s
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Chunks with any other character than these, or with the start of a special token, go the library's own way.
 PLAIN = r"[\x21-\x7E\x{A1}-\x{12F}\x{131}-\x{24F}]"
-SPECIAL = r"<\|"
+SPECIAL = "<|"
 
 SLICE_BYTES = 4 << 20
 #: New chunks worked out together, and jobs of a thousand pre-tokens given to the library together: what this takes for a while.
@@ -97,14 +97,25 @@ class WordEncoder:
         per_chunk = np.add.reduceat(lengths, np.cumsum(bounds) - bounds) if len(bounds) else lengths
         return ragged_take(flat, starts[index], lengths), per_chunk
 
+    def _letters(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks of letters alone: each is one pre-token, so none is looked for."""
+        coded = pc.utf8_lower(chunks).dictionary_encode()
+        flat, counts = self._words(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy()
+        return ragged_take(flat, (np.cumsum(counts) - counts)[index], counts[index]), counts[index]
+
     def _odd(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = chunks.to_pylist()
         return self._each([e.ids for i in range(0, len(texts), 1000) for e in self.library.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False)])
 
     def _learn(self, new: list[str]) -> None:
         chunks = pa.array(new, pa.string())
-        odd = pc.or_(pc.invert(pc.match_substring_regex(chunks, f"^{PLAIN}+$")), pc.match_substring_regex(chunks, SPECIAL)).to_numpy(zero_copy_only=False)
-        for own, work in ((~odd, self._plain), (odd, self._odd)):
+        plain = pc.ascii_is_printable(chunks).to_numpy(zero_copy_only=False)
+        if not plain.all():  # the pattern is dear, and few need it
+            plain[~plain] = pc.match_substring_regex(chunks.filter(pa.array(~plain)), f"^{PLAIN}+$").to_numpy(zero_copy_only=False)
+        plain &= ~pc.match_substring(chunks, SPECIAL).to_numpy(zero_copy_only=False)
+        letters = plain & pc.utf8_is_alpha(chunks).to_numpy(zero_copy_only=False)
+        for own, work in ((letters, self._letters), (plain & ~letters, self._plain), (~plain, self._odd)):
             if own.any():
                 part = chunks.filter(pa.array(own))
                 flat, counts = work(part)
