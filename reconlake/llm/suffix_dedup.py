@@ -18,6 +18,8 @@ from reconlake.llm.shared import blocks_for, frugal, ragged_take, stored
 LENGTH = 200
 #: Bytes of a text that are looked at together.
 PIECE = 1 << 19
+#: Bytes of a letter at most: the greatest divisor of the length up to this.
+MOST_STEP = 24
 #: Bytes of segments in a bucket of anchors (one task's group), positions merged at once, positions of a shard.
 BUCKET_BYTES, MERGE, SHARD = 4 << 20, 1 << 16, 1 << 14
 #: An anchor with more different segments is dealt to tiles; their strings meet by hashes.
@@ -91,7 +93,7 @@ def stable_order(symbols: np.ndarray) -> np.ndarray:
 
 
 class Collection:
-    """Byte strings with their letters: blocks of `step` bytes at every place, named in their order.
+    """Byte strings with their letters: blocks of `step` bytes at every place (2**32 places at most), named in their order.
 
     A suffix is read letter by letter, `step` bytes each. The last `step` places of a string, its end among them, have
     letters that no other place has, so all suffixes differ and end there.
@@ -101,13 +103,21 @@ class Collection:
         self.step, self.sizes = step, np.array([len(p) for p in parts], np.int64)
         self.base = np.concatenate([[0], np.cumsum(self.sizes + 1)])
         n = int(self.base[-1])
-        text = np.frombuffer(b"\0".join(parts) + bytes(9), np.uint8)
-        eights = np.ndarray(n, np.dtype(">u8"), buffer=text, strides=(1,)) >> np.uint64(8 * (8 - step))
+        text = np.frombuffer(b"\0".join(parts) + bytes(1 + MOST_STEP), np.uint8)
+        eights = np.ndarray(n + MOST_STEP - 7, np.dtype(">u8"), buffer=text, strides=(1,)) >> np.uint64(8 * max(0, 8 - step))
         self.part = np.repeat(np.arange(len(parts)), self.sizes + 1)
         self.offset = np.arange(n) - self.base[self.part]
         tail = self.offset > self.sizes[self.part] - step
         names = np.zeros(n, np.int64)
-        used, names[~tail] = np.unique(eights[~tail], return_inverse=True)
+        whole = np.flatnonzero(~tail)
+        if step > 8 and len(whole):
+            # three blocks of eight bytes cover the letter; their names make a number, one after the other
+            block = np.unique(eights, return_inverse=True)[1].astype(np.uint64)
+            pair = np.unique(block[whole] << np.uint64(32) | block[whole + min(8, step - 8)], return_inverse=True)[1].astype(np.uint64)
+            number = pair << np.uint64(32) | block[whole + step - 8]
+        else:
+            number = eights[whole]
+        used, names[whole] = np.unique(number, return_inverse=True)
         names[tail] = len(used) + np.arange(tail.sum())
         self.letters = len(used) + int(tail.sum())
         self.names = names.astype(np.uint16 if self.letters <= 1 << 16 else np.uint32)
@@ -121,7 +131,7 @@ class Collection:
         size, offset = self.sizes[self.part[begin:end]], self.offset[begin:end]
         at = np.arange(end - begin)
         rank, reach = self.names[begin:end].astype(np.uint64), self.step
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         while True:
             new = np.concatenate([[0], np.cumsum(rank[order[1:]] != rank[order[:-1]])])
             rank = np.empty(len(order), np.uint64)
@@ -132,7 +142,7 @@ class Collection:
             key = rank << np.uint64(32)
             key[further] |= rank[at[further] + reach]
             rank, reach = key, 2 * reach
-            order = np.argsort(rank, kind="stable")
+            order = np.argsort(rank)
         before = np.where(offset >= self.step, at - self.step, at + (size - offset) // self.step * self.step)
         return order + begin, self.names[begin:end][before[order]]
 
@@ -171,7 +181,7 @@ def repeated_strings(parts: list[bytes], runs: np.ndarray, counts: np.ndarray, l
     The first runs[i] places of part i count, counts[i] times. The parts are dealt to shards, whose transforms are merged;
     intervals of the merged order whose suffixes share `length` bytes hold equal strings.
     """
-    step = next(s for s in range(8, 0, -1) if length % s == 0)
+    step = next(s for s in range(MOST_STEP, 0, -1) if length % s == 0)
     held = Collection(parts, step)
     cuts = [0]
     while cuts[-1] < len(parts):
