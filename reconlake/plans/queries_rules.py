@@ -12,7 +12,9 @@ from reconlake.operators.dedup import reassigned
 from reconlake.operators.journal import explode_lines, line
 from reconlake.operators.reports import latest_value
 from reconlake.operators.routing import capped_status, first_rule, gap_tag, match_type, memo_route, resolved_account
+from reconlake.operators.assign import shared_folder
 from reconlake.plans.catalog import query
+from reconlake.streaming import imports
 from reconlake.plans.queries_match import PAIRS_SQL, pairs
 from reconlake.plans.queries_report import TODAY
 from reconlake.sources.sinks import insert_new, upserted
@@ -113,6 +115,42 @@ def resolved(v):
     return v.bank.select("bank_id", chain.cast("long").alias("account"))
 
 
+@query("F03_import_with_discards", """
+    WITH i AS (SELECT bank_id, account_id, CASE WHEN part_id % 101 = 0 THEN NULL ELSE bank_id END AS dedup_key, amount,
+        lower(coalesce(counterparty, '') || ' ' || coalesce(memo, '')) AS said FROM bank WHERE post_date >= DATE '1998-01-01'),
+      p AS (SELECT DISTINCT account_id, bank_id FROM bank WHERE post_date < DATE '1999-01-01'), g AS (SELECT DISTINCT account_id, bank_id FROM bank WHERE amount % 97 = 0),
+      m AS (SELECT i.*, CASE WHEN i.dedup_key IS NULL THEN 'ERROR' WHEN p.bank_id IS NOT NULL THEN 'DUPLICATE' ELSE 'NEW' END AS status, g.bank_id IS NOT NULL AS gone,
+        CASE WHEN i.account_id = 3 AND said LIKE '%customer 7%' THEN 'Customer 7' WHEN said LIKE '%mantencion%' THEN 'MANTENCION' END AS found
+        FROM i LEFT JOIN p ON p.account_id = i.account_id AND p.bank_id = i.dedup_key LEFT JOIN g ON g.account_id = i.account_id AND g.bank_id = i.dedup_key)
+    SELECT bank_id, status, CASE WHEN status = 'NEW' THEN found END AS pattern, status = 'NEW' AND (gone OR found IS NOT NULL) AS discarded FROM m""")
+def preview_with_discards(v):
+    keyed = v.bank.withColumn("dedup_key", F.when(F.col("part_id") % 101 != 0, F.col("bank_id")))
+    register = v.bank.where("amount % 97 = 0").select("account_id", F.col("bank_id").alias("dedup_key"))
+    present = v.bank.where("post_date < DATE '1999-01-01'").select("account_id", F.col("bank_id").alias("dedup_key"))
+    told = imports.import_preview(keyed.where("post_date >= DATE '1998-01-01'"), present, register, [(3, "Customer 7"), (None, "MANTENCION")])
+    return told.select("bank_id", "status", "pattern", "discarded")
+
+
+@query("M03_import_by_content", "SELECT DISTINCT bank_id, account_id, amount, post_date, counterparty, CAST(CASE WHEN post_date < DATE '1997-01-01' THEN 0 ELSE 2 END AS integer) AS first_import, amount % 97 = 0 AS discarded FROM bank", dates=("post_date",))
+def by_content(v):
+    """Files of part of the rows without counterparties, the same files under other names, and whole ones."""
+    spark, folder = v.spark, shared_folder(v.spark, "imports")
+    columns = ["bank_id", "account_id", "amount", "post_date", "counterparty"]
+    rows = v.bank.select(*columns).distinct()
+    early = rows.where("post_date < DATE '1997-01-01'").withColumn("counterparty", F.lit(None).cast("string"))
+    kinds = rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+
+    def parsed(files):
+        lines = files.select("file_hash", F.explode(F.split(F.decode("content", "utf-8"), "\n")).alias("line")).where("line <> ''")
+        return lines.select("file_hash", F.from_csv("line", kinds).alias("row")).select("file_hash", "row.*")
+
+    for name, some in (("first", early), ("renamed", early), ("whole", rows)):
+        some.repartition(8, "account_id").sortWithinPartitions(*columns).write.csv(f"{folder}/in/{name}")
+        imports.import_files(spark, f"{folder}/in", f"{folder}/log", f"{folder}/progress", parsed, "*.csv").awaitTermination()
+    register = v.bank.where("amount % 97 = 0").select("bank_id")
+    return imports.imported(spark, f"{folder}/log", "bank_id", register).select(*columns, "first_import", "discarded")
+
+
 @query("F03_import_preview", """
     WITH i AS (SELECT account_id, amount_key, memo FROM bank WHERE post_date >= DATE '2001-01-01'), p AS (SELECT DISTINCT account_id, amount_key FROM bank WHERE post_date < DATE '2001-01-01')
     SELECT i.account_id, CASE WHEN i.memo LIKE '%mantencion%' THEN 'discarded' WHEN p.account_id IS NOT NULL THEN 'present' ELSE 'new' END AS outcome, CAST(count(*) AS bigint) AS n
