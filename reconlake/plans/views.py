@@ -57,17 +57,22 @@ VIEWS: dict[str, str] = {
     "card_sales": f"""
         SELECT event_id AS pos_id, user_id % 7 AS branch_id, CAST(ts AS date) AS sale_date, {_VALUE} + 100 AS amount,
           CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN '' ELSE '0' || CAST(1000 + event_id % 700 AS string) END AS receipt,
-          CASE WHEN event_id % 6 = 0 THEN 'GIRO N OPE ' || CAST(1000 + event_id * 3 % 8000 AS string) || '/' || CAST(1001 + event_id * 3 % 8000 AS string) ELSE 'GIRO' END AS memo
+          CASE WHEN event_id % 6 = 0 THEN 'GIRO N OPE ' || CAST(1000 + event_id * 3 % 8000 AS string) || '/' || CAST(1001 + event_id * 3 % 8000 AS string) ELSE 'GIRO' END AS memo,
+          CASE WHEN event_id % 7 < 4 THEN NULL ELSE CAST(floor(({_VALUE} + 100) / 50.0) AS bigint) END AS api_fee
         FROM {{events}} WHERE event_id % 2 = 0""",
     "card_settlements": f"""
         SELECT event_id * 10 AS settlement_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id % 7 END AS branch_id, date_add(CAST(ts AS date), CAST(event_id % 3 AS int)) AS sale_date,
           CASE WHEN event_id % 7 < 4 THEN {_VALUE} + 100 ELSE {_VALUE} + 100 + CAST(floor(({_VALUE} + 100) / 50.0) AS bigint) END AS gross,
-          CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(1000 + event_id % 700 AS string) END AS receipt
+          CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(1000 + event_id % 700 AS string) END AS receipt,
+          CAST(floor(({_VALUE} + 100) / 80.0) AS bigint) AS fee, CAST(floor(({_VALUE} + 100) / 420.0) AS bigint) AS fee_tax
         FROM {{events}} WHERE event_id % 2 = 0 AND event_id % 6 <> 0
         UNION ALL
-        SELECT event_id * 10 + 1, user_id % 7, CAST(ts AS date), CAST(floor(({_VALUE} + 100) / 3.0) AS bigint), CAST(1000 + event_id * 3 % 8000 AS string) FROM {{events}} WHERE event_id % 6 = 0
+        SELECT event_id * 10 + 1, user_id % 7, CAST(ts AS date), CAST(floor(({_VALUE} + 100) / 3.0) AS bigint), CAST(1000 + event_id * 3 % 8000 AS string), event_id % 90, event_id % 17 FROM {{events}} WHERE event_id % 6 = 0
         UNION ALL
-        SELECT event_id * 10 + 2, user_id % 7, CAST(ts AS date), {_VALUE} + 100 - CAST(floor(({_VALUE} + 100) / 3.0) AS bigint), '0' || CAST(1001 + event_id * 3 % 8000 AS string) FROM {{events}} WHERE event_id % 6 = 0""",
+        SELECT event_id * 10 + 2, user_id % 7, CAST(ts AS date), {_VALUE} + 100 - CAST(floor(({_VALUE} + 100) / 3.0) AS bigint), '0' || CAST(1001 + event_id * 3 % 8000 AS string), event_id % 80, event_id % 15 FROM {{events}} WHERE event_id % 6 = 0""",
+    "card_pairs": """
+        SELECT event_id AS pos_id, event_id * 10 AS settlement_id FROM {events} WHERE event_id % 2 = 0 AND event_id % 6 <> 0
+        UNION ALL SELECT event_id, event_id * 10 + 1 FROM {events} WHERE event_id % 6 = 0 UNION ALL SELECT event_id, event_id * 10 + 2 FROM {events} WHERE event_id % 6 = 0""",
     "card_links": "SELECT event_id AS pos_id, (event_id + 2) * 10 AS settlement_id FROM {events} WHERE event_id % 94 = 0",
     # a ledger whose rows are paid by one to three bank rows: true amounts, some on another account, some voided
     "ledger_bank": f"""
@@ -101,6 +106,7 @@ VIEWS["ledger_manual"] = f"""
     SELECT l_orderkey AS treasury_id, min(CAST(l_orderkey AS string) || '-' || CAST(l_linenumber AS string) || '-' || CAST(l_partkey AS string) || '-' || CAST({_PRICE} AS string)) AS bank_id
     FROM {{lineitem}} WHERE l_orderkey % 29 = 0 GROUP BY l_orderkey"""
 VIEWS["ledger_linked"] = "SELECT o_orderkey AS treasury_id FROM {orders} WHERE o_orderkey % 62 = 0"
+VIEWS["card_consumed"] = "SELECT event_id AS pos_id, CAST(NULL AS bigint) AS settlement_id FROM {events} WHERE event_id % 16 = 0 UNION ALL SELECT NULL, event_id * 10 + 1 FROM {events} WHERE event_id % 30 = 0"
 VIEWS["settlement"] = VIEWS["settlement"].replace(f"{_VALUE} * 2 // 100", f"CAST(floor({_VALUE} * 2 / 100.0) AS bigint)")
 
 _NAMES = re.compile(r"\{(\w+)\}")
