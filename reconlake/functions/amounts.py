@@ -16,7 +16,7 @@ def parse_amount(text: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(trimmed, r"[()$\s]", ""), r"^-?\+?", "")
     both = bare.contains(".") & bare.contains(",")
     cut = F.when(both, F.regexp_replace(bare, r"[.,][^.,]*$", "")).otherwise(F.regexp_replace(bare, r"^([^.,]*)[.,]\d{1,2}$", "$1"))
-    digits = F.regexp_replace(cut, r"[.,]", "")
+    digits = F.regexp_replace(F.regexp_replace(cut, r"[.,]", ""), r"^0+(?=\d)", "")
     value = F.when(digits.rlike(r"^\d{1,18}$"), digits).cast("long")
     return F.when(trimmed.startswith("-") | trimmed.startswith("("), -value).otherwise(value)
 
