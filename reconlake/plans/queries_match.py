@@ -9,8 +9,9 @@ from reconlake.functions.names import operation_number, tokens
 from reconlake.operators.assign import greedy_assign, shared_folder
 from reconlake.operators.candidates import allocate, mutual_unique, pair_splits, tolerance_join, triple_splits, window_join, within_days
 from reconlake.operators.clusters import duplicate_clusters
+from reconlake.operators.containment import containing
 from reconlake.operators.dedup import dedup_keys, embedded_reference, latest_by, new_rows
-from reconlake.operators.settings import for_each, settings
+from reconlake.operators.settings import for_each
 from reconlake.operators.matching import assign_candidates, inverse_split_run, match_candidates, matching_run, reconcile, sibling_rows
 from reconlake.operators.rematch import MatchBook
 from reconlake.operators.journal import apportion, explode_lines, line, split_side
@@ -285,7 +286,9 @@ def internal_entity(v):
     SELECT client, CASE WHEN n = 1 THEN 'match' WHEN n = 0 THEN 'no_match' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN entity_id END AS entity_id FROM h""")
 def name_suggestion(v):
     e = v.branch.select(F.col("branch_id").alias("entity_id"), F.concat(F.lit("Customer "), F.col("branch_id").cast("string")).alias("name"))
-    hits = v.treasury.select("client").distinct().join(settings(e), F.contains("client", "name"), "left").groupBy("client").agg(F.count("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
+    clients = v.treasury.select("client").distinct()
+    found = containing(clients, "client", e, "name").groupBy("client").agg(F.count("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
+    hits = clients.join(found, "client", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return hits.select("client", F.when(F.col("n") == 1, "match").when(F.col("n") == 0, "no_match").otherwise("ambiguous").alias("outcome"), F.when(F.col("n") == 1, F.col("entity_id")).alias("entity_id"))
 
 
@@ -406,7 +409,7 @@ def balanced_entries(v):
     SELECT client, branch_id FROM h WHERE n = 1""")
 def unique_containment(v):
     needles = v.branch.select("branch_id", F.concat(F.lit("mer "), F.col("branch_id").cast("string")).alias("needle"))
-    hits = v.treasury.select("client").distinct().join(settings(needles), F.contains("client", "needle")).groupBy("client").agg(F.count("*").alias("n"), F.min("branch_id").alias("branch_id"))
+    hits = containing(v.treasury.select("client").distinct(), "client", needles, "needle").groupBy("client").agg(F.count("*").alias("n"), F.min("branch_id").alias("branch_id"))
     return hits.where("n = 1").select("client", "branch_id")
 
 

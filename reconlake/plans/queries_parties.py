@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reconlake.functions.amounts import parse_gross
 from reconlake.functions.names import client_label, memo_clues, name_after_transfer_word, name_before_tax_id, name_in_transfer, recipient_tokens, tax_ids_in
 from reconlake.operators.candidates import window_join
+from reconlake.operators.containment import containing
 from reconlake.operators.dedup import latest_by
 from reconlake.operators.entities import detect, ledger_codes
 from reconlake.operators.expenses import expense_pool, expense_run
 from reconlake.operators.journal import apportion
 from reconlake.operators.scoring import firm_identity, memo_identity
-from reconlake.operators.settings import for_each, settings
+from reconlake.operators.settings import for_each
 from reconlake.plans.catalog import query
 
 
@@ -157,9 +159,13 @@ def catalogue(v):
 
 @query("X05_branch_listing", "SELECT CAST(row_number() OVER (ORDER BY region_id, branch) AS integer) AS place, branch_id, branch, CAST(headcount AS bigint) AS headcount FROM branch")
 def branch_listing(v):
-    """Branches in their order, numbered; a settings table of a few rows."""
-    rows = settings(v.branch).orderBy("region_id", "branch").select("branch_id", "branch", F.col("headcount").cast("long").alias("headcount")).collect()
-    return v.spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], "place int, branch_id int, branch string, headcount long")
+    """Branches in their order, numbered: places within a region, and how many branches come before it."""
+    regions = v.branch.groupBy("region_id").agg(F.count("*").alias("n"))
+    so_far = Window.orderBy("region_id").rowsBetween(Window.unboundedPreceding, -1)  # a row per region
+    before = regions.select("region_id", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("region_id").orderBy("branch"))
+    rows = v.branch.withColumn("own", own).join(before, "region_id")
+    return rows.select((F.col("own") + F.col("before")).cast("int").alias("place"), F.col("branch_id").cast("int").alias("branch_id"), "branch", F.col("headcount").cast("long").alias("headcount"))
 
 
 @query("X07_journal_detail", """
@@ -183,9 +189,10 @@ def journal_detail(v):
 def holder_repair(v):
     """A holder gets the entity whose name it holds, unless several fit."""
     names = v.branch.select(F.col("branch_id").cast("long").alias("entity_id"), F.concat(F.lit("r#00000000"), F.col("branch_id").cast("string")).alias("needle"))
-    known = settings(names.unionByName(v.spark.createDataFrame([(99, "r#000000001")], "entity_id long, needle string")))
+    known = names.unionByName(v.spark.createDataFrame([(99, "r#000000001")], "entity_id long, needle string"))
     holders = v.table("customer").select(F.col("c_custkey").alias("holder_id"), F.lower("c_name").alias("name"))
-    hits = holders.join(known, F.contains("name", "needle"), "left").groupBy("holder_id").agg(F.count("entity_id").alias("n"), F.min("entity_id").alias("least"))
+    found = containing(holders, "name", known, "needle").groupBy("holder_id").agg(F.count("entity_id").alias("n"), F.min("entity_id").alias("least"))
+    hits = holders.select("holder_id").join(found, "holder_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return hits.select("holder_id", F.when(F.col("n") == 1, F.col("least")).alias("entity_id"), F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "set").otherwise("ambiguous").alias("outcome"))
 
 
