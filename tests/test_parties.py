@@ -14,9 +14,11 @@ SF = "/root/testdata/sf0.001"
 
 def test_memo_clues(spark):
     rows = [
-        ("DEP BCI ME SPA Juan Perez", "BCI", "ME SPA", None, None, "JUAN PEREZ", "EXCELLENT"), ("GIRO APP 12345, Ana", None, None, None, "12345", None, "FAIR"),
-        ("deposito en Bco. Chile 12.345.678-9", None, None, "12345678-9", None, None, "FAIR"), ("Ana Rojas MORE GIROS NRO. 778899 MG", None, "MG SPA", None, "778899", "ANA ROJAS", "EXCELLENT"),
-        ("99", None, None, None, None, None, "POOR"), (None, None, None, None, None, None, "POOR"), ("DEP MORECAPITAL 76.810.587-K Santnader", "SANTANDER", "MORECAPITAL", "76810587-K", None, None, "EXCELLENT"),
+        ("DEP BCI ME SPA Juan Perez", "BCI", None, "ME SPA", None, None, "JUAN PEREZ", "EXCELLENT"), ("GIRO APP 12345, Ana", None, None, None, None, "12345", None, "FAIR"),
+        ("deposito en Bco. Chile 12.345.678-9", None, "CHILE", None, "12345678-9", None, None, "FAIR"), ("Ana Rojas MORE GIROS NRO. 778899 MG", None, None, "MG SPA", None, "778899", "ANA ROJAS", "EXCELLENT"),
+        ("99", None, None, None, None, None, None, "POOR"), (None, None, None, None, None, None, None, "POOR"), ("DEP MORECAPITAL 76.810.587-K Santnader", "SANTANDER", None, "MORECAPITAL", "76810587-K", None, None, "EXCELLENT"),
+        ("ITAU me dijo Luis", None, "ITAU", None, None, None, "DIJO LUIS", "FAIR"), ("DEP ITAU ME Luis Soto", None, "ITAU", "ME SPA", None, None, "LUIS SOTO", "GOOD"), ("MORE CAPITAL pago", "INTERNACIONAL", None, "MORECAPITAL", None, None, "MORE CAPITAL PAGO", "EXCELLENT"),
+        ("visita Chile BCI HSBC", "BCI", None, None, None, None, "VISITA", "GOOD"), ("MORE GIRO de Ana, op 4455", None, None, None, None, "4455", "MORE GIRO DE ANA OP", "GOOD"), ("por depositar cuenta bancaria BACO SPA Ana María", None, None, "BACO SPA", None, None, "ANA MARÍA", "GOOD"),
     ]
     df = spark.createDataFrame([(r[0],) for r in rows], "memo string").select("memo", names.memo_clues(F.col("memo")).alias("c")).select("memo", "c.*")
     assert {tuple(r) for r in df.collect()} == set(rows)
