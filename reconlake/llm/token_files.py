@@ -85,7 +85,7 @@ def write_token_files(
 
     def tokenised(batches):
         turn = TaskContext.get().partitionId()
-        with task_encoder(path) as known:
+        with task_encoder(path, room=2) as known:
             for batch in batches:
                 first = 0
                 doc_ids = batch.column(0).cast(pa.int64()).fill_null(NO_ID)

@@ -13,6 +13,7 @@ import json
 import re
 from collections import Counter
 from contextlib import contextmanager
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ class WordEncoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.alphabet = _byte_characters() | {10: "\n"}
-        self.max_chunks = max_chunks
+        self.max_chunks, self.room = max_chunks, 1
         self.forget()
 
     def forget(self) -> None:
@@ -131,18 +132,20 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        if len(self.slot) > self.max_chunks or self.held > MAX_CHUNK_BYTES:
+        if len(self.slot) > self.room * self.max_chunks or self.held > self.room * MAX_CHUNK_BYTES:
             self.forget()
-        new = [c for c in chunks if c not in self.slot]
+        known = np.fromiter(map(self.slot.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(known < 0)
+        new = [chunks[i] for i in missing.tolist()]
         for i in range(0, len(new), LEARNT_AT_ONCE):
             self._learn(new[i : i + LEARNT_AT_ONCE])
-        known = np.fromiter(map(self.slot.__getitem__, chunks), np.int64, len(chunks))
+        known[missing] = np.fromiter(map(self.slot.__getitem__, new), np.int64, len(new))
         offsets = lists.offsets.to_numpy()
         return known, coded.indices.to_numpy(), offsets - offsets[0]
 
     def _slices(self, texts: pa.Array):
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        for first, past in text_slices(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), SLICE_BYTES):
+        for first, past in text_slices(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), self.room * SLICE_BYTES):
             yield self._slots(pc.fill_null(texts.slice(first, past - first), ""))
             release()
 
@@ -237,7 +240,7 @@ class TextEncoder:
             self._ids = lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
             size, self.pieces = max(library.get_vocab().values()) + 1, _JsonPieces(library)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.max_pieces = max_pieces
+        self.max_pieces, self.room = max_pieces, 1
         self.forget()
 
     def forget(self) -> None:
@@ -255,7 +258,7 @@ class TextEncoder:
         pieces = self.pieces.split(text)
         if pieces is not None:
             times = Counter(pieces)
-            if len(self.sizes) > self.max_pieces or self.held > MAX_CHUNK_BYTES:
+            if len(self.sizes) > self.room * self.max_pieces or self.held > self.room * MAX_CHUNK_BYTES:
                 self.forget()
             if new := [p for p in times if p not in self.sizes]:
                 self.sizes.update(zip(new, self.pieces.sizes(new), strict=True))
@@ -302,9 +305,13 @@ def encoder(path: str) -> WordEncoder | TextEncoder:
 
 
 @contextmanager
-def task_encoder(path: str):
-    """The encoder for one task. Its bounded table serves the worker's next tokenising task; any other task drops it (`frugal`)."""
+def task_encoder(path: str, room: int = 1):
+    """The encoder for one task. Its bounded table serves the worker's next tokenising task; any other task drops it (`frugal`).
+
+    With `room`, table and slices may be so many times larger: fewer chunks are learnt anew, for some 150 MB a worker each time.
+    """
     known = encoder(path)
+    known.room = room
     if not CACHES:
         CACHES.append(lambda: [e.forget() for e in _ENCODERS.values()])
     try:
