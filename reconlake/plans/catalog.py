@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
 
 
 def _load() -> None:
-    from reconlake.plans import queries_closing, queries_files, queries_match, queries_parties, queries_report, queries_rules, queries_text, queries_upkeep  # noqa: F401  they register themselves
+    from reconlake.plans import queries_closing, queries_files, queries_journals, queries_match, queries_parties, queries_report, queries_rules, queries_text, queries_upkeep  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
