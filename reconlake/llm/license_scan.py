@@ -80,13 +80,13 @@ TEMPLATES: dict[str, str] = {
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced.",
 }
 #: Words that tell licenses apart, as numbers do: in a short template's match they must be the template's own.
-MARKS = frozenset("mit apache bsd isc cc by nc sa nd gnu gpl lgpl agpl general lesser affero library mozilla mpl cc0 rights reserved clause".split())
+MARKS = frozenset("mit apache bsd isc cc by nc sa nd gnu gpl lgpl agpl general lesser affero library program mozilla mpl cc0 rights reserved clause".split())
 WORD = re.compile(r"[A-Za-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*")
 #: One word in five may differ. Templates of up to SHORT words are sought by all their word pairs, others by winnowed triples:
 #: a match has that many edits at most, so some run of its words is long enough to hold a fingerprint of both.
 EDITS_IN, SHORT, LONG_GRAM, WINDOW = 5, 19, 3, 2
-#: Templates of up to so many words must agree in marks.
-MARKED = 60
+#: In longer templates numbers may be put in (items of a list); no other mark may, in any template.
+NUMBERED = 60
 OTHER, NUMBER = 0, -1
 _EDIT, _MATCH, _LIMIT = 1 << 42, 1 << 21, (1 << 21) - 1
 _MARKED, _OUT = 64 * _EDIT, _EDIT << 18
@@ -114,10 +114,11 @@ def grams(words: np.ndarray, size: int) -> np.ndarray:
     return np.where(known, code >> np.uint64(1), np.uint64(2**64 - 1))
 
 
-def aligned(template: np.ndarray, words: np.ndarray, low: int, high: int, mark: np.ndarray | None = None) -> tuple[int, int, int, int]:
+def aligned(template: np.ndarray, words: np.ndarray, low: int, high: int, mark: np.ndarray | None = None, mark_in: np.ndarray | None = None) -> tuple[int, int, int, int]:
     """(edits, matched words, first and past-last word) of the template's best alignment on the diagonals low to high.
 
-    A word replaced, left out or put in is an edit; with `mark` (by word number), one of a marked word counts as many.
+    A word replaced, left out or put in is an edit; with `mark` (by word number), one of a marked word counts as many;
+    `mark_in`, if given, says so of words put in.
     The fewest edits win, then the most matches, then the shortest and the earliest span. Row by row over the
     band; a cell is one number that holds edits, matches and start.
     """
@@ -130,7 +131,7 @@ def aligned(template: np.ndarray, words: np.ndarray, low: int, high: int, mark:
         inside = (j >= 0) & (j < len(words))
         word = np.full(width, OTHER)
         word[inside] = words[j[inside]]
-        put_in = np.full(width, _EDIT) if mark is None else np.where(mark[word], _MARKED, _EDIT)
+        put_in = np.full(width, _EDIT) if mark is None else np.where((mark if mark_in is None else mark_in)[word], _MARKED, _EDIT)
         left_out = _EDIT if mark is None or not mark[wanted] else _MARKED
         row = np.where(word == wanted, best - _MATCH, best + np.maximum(put_in, left_out))
         row[~inside] = _OUT
@@ -150,7 +151,8 @@ class _Template:
     name: str
     words: np.ndarray
     edits: int
-    marks: list[int] | None
+    marks: list[int]
+    mark_in: np.ndarray
 
 
 class TemplateIndex:
@@ -161,14 +163,15 @@ class TemplateIndex:
         self.number = {w: i for i, w in enumerate(sorted({w for ws in words.values() for w in ws} | MARKS), 1)}
         self.mark = np.zeros(len(self.number) + 2, bool)
         self.mark[[i for w, i in self.number.items() if w in MARKS or w[0].isdigit()]] = True
+        word_mark = self.mark.copy()
         self.mark[NUMBER] = True
+        word_mark[[i for w, i in self.number.items() if w[0].isdigit()]] = False
         self.templates, self.postings = [], {2: defaultdict(list), LONG_GRAM: defaultdict(list)}
         for name, ws in words.items():
             if not ws:
                 continue
             numbers = np.array([self.number[w] for w in ws])
-            marks = numbers[self.mark[numbers]].tolist() if len(ws) <= MARKED else None
-            self.templates.append(_Template(name, numbers, len(ws) // EDITS_IN, marks))
+            self.templates.append(_Template(name, numbers, len(ws) // EDITS_IN, numbers[self.mark[numbers]].tolist(), self.mark if len(ws) <= NUMBERED else word_mark))
             size = 2 if len(ws) <= SHORT else LONG_GRAM
             hashes = grams(numbers, min(size, len(ws)))
             for place in range(len(hashes)) if size == 2 else winnow(hashes, WINDOW):
@@ -186,8 +189,8 @@ class TemplateIndex:
                     seeds[template].add(place - at)
         return seeds
 
-    def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first and past-last character) of every match; of overlapping ones the best."""
+    def scan(self, text: str) -> list[tuple[str, float, int, int, float]]:
+        """(template, coverage, first and past-last character, similarity) of every match; of overlapping ones the best."""
         found = list(WORD.finditer(text))
         number = self.number
         words = np.array([number.get(w, NUMBER if w[0] <= "9" else OTHER) for w in (m.group().lower() for m in found)], np.int64)
@@ -197,35 +200,35 @@ class TemplateIndex:
         there, matches = set(words.tolist()), []
         for of, shifts in seeds.items():
             t = self.templates[of]
-            if t.marks is not None and not there.issuperset(t.marks):
+            if not there.issuperset(t.marks):
                 continue
             # neighbouring diagonals share a band; it is too narrow for two matches that don't overlap
             ordered, at = sorted(shifts), 0
             while at < len(ordered):
                 low = ordered[at]
                 at = bisect_right(ordered, low + 2 * t.edits, at)
-                edits, matched, first, past = aligned(t.words, words, low - t.edits, ordered[at - 1] + t.edits, None if t.marks is None else self.mark)
+                edits, matched, first, past = aligned(t.words, words, low - t.edits, ordered[at - 1] + t.edits, self.mark, t.mark_in)
                 if edits <= t.edits:
                     matches.append((matched, edits, first, past, t))
         taken: list[tuple[int, int]] = []
         out = []
-        for matched, _, first, past, t in sorted(matches, key=lambda m: (-m[0], m[1], m[2], m[3], m[4].name)):
+        for matched, edits, first, past, t in sorted(matches, key=lambda m: (-m[0], m[1], m[2], m[3], m[4].name)):
             place = bisect_right(taken, (first, past))
             if (not place or taken[place - 1][1] <= first) and (place == len(taken) or past <= taken[place][0]):
                 taken.insert(place, (first, past))
-                out.append((t.name, matched / len(t.words), found[first].start(), found[past - 1].end()))
+                out.append((t.name, matched / len(t.words), found[first].start(), found[past - 1].end(), 1 - edits / len(t.words)))
         return sorted(out, key=lambda m: (m[2], m[0]))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per match: `id_col`, license, coverage, first_char, past_char.
+    """One row per match: `id_col`, license, coverage, first_char, past_char, similarity.
 
     Templates are a given list of bounded size; their fingerprints form an inverted index that travels with the tasks.
     A document's words are fingerprinted the same way, hits give a template and a diagonal, and a banded alignment
     around it finds the span with the fewest edits. A template matches where at most one word in five is edited;
-    in templates of up to 60 words, marks (versions, and words such as NC or Lesser) can't be edited: none is left out,
-    put in or replaced. No such span is missed. `coverage` is the share of the template's words
-    found in order. Of overlapping matches, whatever their templates, the one with the most matched words is reported,
+    marks (versions, and words such as NC, Lesser or Library) can't be edited: none is left out, put in or replaced, but that
+    numbers may be put into templates of over 60 words, as items of their lists. No such span is missed. `coverage` is the
+    share of the template's words found in order; `similarity` is 1 less the edits' share, so words put in lower it. Of overlapping matches, whatever their templates, the one with the most matched words is reported,
     then that with the fewest edits, then the earliest. The scan is a map over whole texts, without a shuffle.
 
     Null and empty texts match nothing; null ids are kept; repeated rows are reported each; extra columns are
@@ -236,11 +239,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     def scanned(batches):
         for batch in batches:
             rows = [(at, *m) for at, text in enumerate(batch.column(1).to_pylist()) if text for m in index.scan(text)]
-            at, name, coverage, first, past = zip(*rows, strict=True) if rows else ([],) * 5
+            at, name, coverage, first, past, similarity = zip(*rows, strict=True) if rows else ([],) * 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(name, pa.string()), pa.array(coverage, pa.float64()), pa.array(first, pa.int64()), pa.array(past, pa.int64())],
-                names=[id_col, "license", "coverage", "first_char", "past_char"],
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(name, pa.string()), pa.array(coverage, pa.float64()), pa.array(first, pa.int64()), pa.array(past, pa.int64()), pa.array(similarity, pa.float64())],
+                names=[id_col, "license", "coverage", "first_char", "past_char", "similarity"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(frugal(scanned), f"`{id_col}` {kind}, license string, coverage double, first_char long, past_char long")
+    return docs.select(id_col, text_col).mapInArrow(frugal(scanned), f"`{id_col}` {kind}, license string, coverage double, first_char long, past_char long, similarity double")

@@ -255,7 +255,8 @@ def _cut(docs: DataFrame, length: int, id_col: str, text_col: str, most_segments
     kind = docs.schema[id_col].dataType.simpleString()
     prints = stored(rows.mapInArrow(frugal(printed), f"id {kind}, t1 long, t2 long, n_bytes long, sha string, first array<long>, run array<int>, m array<long>, s array<long>"), "suffix-prints")
     every = prints.select("t1", "t2", F.explode(F.arrays_zip("m", "s", "first", "run")).alias("x")).select("t1", "t2", "x.*")
-    again = prints.select(F.explode("m").alias("m")).groupBy("m").agg(F.count("*").alias("times")).where("times > 1").select("m")
+    # stored, so that the join's sides are plain shuffles, whose skewed keys Spark splits
+    again = stored(prints.select(F.explode("m").alias("m")).groupBy("m").agg(F.count("*").alias("times")).where("times > 1").select("m"), "suffix-again")
     met = stored(every.join(again, "m"), "suffix-met")
 
     # equal segments are one, with a count and one of its places
@@ -263,9 +264,9 @@ def _cut(docs: DataFrame, length: int, id_col: str, text_col: str, most_segments
     texts = keyed.join(met.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
     texts = stored(texts, "suffix-texts")
     total = segments.agg(F.sum(F.col("run") + length)).first()[0] or 0
-    sizes = segments.groupBy("m").agg(F.ceil(F.count("*") / F.lit(most_segments)).cast("int").alias("tiles"))
-    hot = F.col("tiles") > 1
-    dealt = segments.join(sizes, "m").select(
+    large = stored(segments.groupBy("m").agg(F.ceil(F.count("*") / F.lit(most_segments)).cast("int").alias("tiles")).where("tiles > 1"), "suffix-hot")
+    hot = F.col("tiles").isNotNull()
+    dealt = segments.join(large, "m", "left").select(
         "m", "s", "n", "run", "t1", "t2", "first", hot.alias("hot"),
         F.when(hot, F.col("m")).otherwise(F.pmod(F.xxhash64("m"), F.lit(blocks_for(total, BUCKET_BYTES)))).alias("bucket"),
         F.when(hot, F.pmod(F.xxhash64("s"), F.col("tiles"))).otherwise(0).alias("tile"),

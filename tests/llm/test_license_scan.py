@@ -16,14 +16,15 @@ def slow_matches(index, text):
     for t in index.templates:
         for first in range(len(words)):
             # plain edit distance of the template and the words from `first` on; marks can't be edited
-            tail, hard = words[first : first + len(t.words) + t.edits].tolist(), lambda *ws, t=t: 99 if t.marks is not None and any(index.mark[w] for w in ws) else 1
+            tail = words[first : first + len(t.words) + t.edits].tolist()
+            put_in, left_out = (lambda w, of=of: 99 if of[w] else 1 for of in (t.mark_in, index.mark))
             row = [0]
             for w in tail:
-                row.append(row[-1] + hard(w))
+                row.append(row[-1] + put_in(w))
             for wanted in t.words.tolist():
-                new = [row[0] + hard(wanted)]
+                new = [row[0] + left_out(wanted)]
                 for j, w in enumerate(tail, 1):
-                    new.append(min(row[j - 1] + (0 if w == wanted else hard(w, wanted)), row[j] + hard(wanted), new[j - 1] + hard(w)))
+                    new.append(min(row[j - 1] + (0 if w == wanted else max(put_in(w), left_out(wanted))), row[j] + left_out(wanted), new[j - 1] + put_in(w)))
                 row = new
                 if min(row) > t.edits:
                     break
@@ -143,6 +144,34 @@ def test_notices_are_told_apart(notice, names):
     assert [m[0] for m in TemplateIndex(TEMPLATES).scan(f"qx qy\n{notice}\nqz")] == names
 
 
+def edited(name, old, new):
+    assert old in TEMPLATES[name], name
+    return TEMPLATES[name].replace(old, new)
+
+
+def test_versions_and_kinds_are_told_apart_in_long_templates():
+    index = TemplateIndex(TEMPLATES)
+    long = {n: t for n, t in TEMPLATES.items() if len(t.split()) > 60}
+    gpl = [n for n, t in long.items() if "General Public License" in t]
+    assert gpl
+    for name in gpl:
+        text = long[name]
+        for old, new in (("version 2", "version 1"), ("version 2", "version 4"), ("version 3", "version 4"), ("General", "Lesser General"), ("General", "Library General"), ("Lesser ", ""), ("Affero ", ""), ("program", "library"), ("library", "program")):
+            if old in text:
+                other = text.replace(old, new)
+                assert other == text or name not in {m[0] for m in index.scan(other)}, (name, old, new)
+                assert not {m[0] for m in index.scan(other)} - {n for n, t in TEMPLATES.items() if t in other}, (name, old, new)
+
+
+def test_words_put_in_lower_the_similarity():
+    index = TemplateIndex(TEMPLATES)
+    words = TEMPLATES["BSD-3-Clause"].split()
+    more = words[: len(words) // 2] + "all advertising materials mentioning features or use of this software must display the following acknowledgement".split() + words[len(words) // 2 :]
+    found = [m for m in index.scan(" ".join(more)) if m[0] == "BSD-3-Clause"]
+    assert found and found[0][1] == 1.0 and found[0][4] < 0.95
+    assert index.scan(TEMPLATES["BSD-3-Clause"])[0][4] == 1.0
+
+
 def test_a_text_that_ends_inside_a_template():
     assert aligned(np.arange(1, 21), np.arange(1, 17), -4, 4) == (4, 16, 0, 16)
     words = TEMPLATES[LONG].split()
