@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from reconlake.functions.names import operation_number, tokens
 from reconlake.operators.assign import greedy_assign, shared_folder
-from reconlake.operators.candidates import allocate, mutual_unique, pair_splits, tolerance_join, triple_splits, window_join, within_days
+from reconlake.operators.candidates import allocate, mutual_unique, pair_splits, tolerance_join, triple_splits, window_join
 from reconlake.operators.clusters import duplicate_clusters
 from reconlake.operators.containment import containing
 from reconlake.operators.dedup import dedup_keys, embedded_reference, latest_by, new_rows
