@@ -44,11 +44,21 @@ def tolerance_join(left: DataFrame, right: DataFrame, keys: list[str], left_day:
     return met.where(F.abs(F.col(right_amount) - amount) * part <= amount).drop("_band")
 
 
-def mutual_unique(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """The pairs whose both ends occur once."""
-    for end in (a, b):
-        pairs = pairs.withColumn(f"n_{end}", F.count("*").over(Window.partitionBy(end)))
-    return pairs.where((F.col(f"n_{a}") == 1) & (F.col(f"n_{b}") == 1)).drop(f"n_{a}", f"n_{b}")
+def near_counts(left: DataFrame, right: DataFrame, keys: list[str], left_day: str, right_day: str, days: int, name: str) -> DataFrame:
+    """The left rows with `near`, how many right rows `window_join` would give each, and `n`, how many it would give rows of their `name`.
+
+    Rows are counted by key and day and these counts are added up along the days, so no pair is listed. Rows without any stay away.
+    """
+    cells = left.select(*keys, F.col(left_day).alias("_day"), F.lit(0).alias("_n")).unionByName(right.select(*keys, F.col(right_day).alias("_day"), F.lit(1).alias("_n")))
+    around = Window.partitionBy(*keys).orderBy(F.datediff("_day", F.lit("1970-01-01"))).rangeBetween(-days, days)
+    counts = cells.where("_day IS NOT NULL").groupBy(*keys, "_day").agg(F.sum("_n").alias("_n")).withColumn("near", F.sum("_n").over(around)).where("near > 0").drop("_n")
+    return left.withColumn("_day", F.col(left_day)).join(counts, [*keys, "_day"]).drop("_day").withColumn("n", F.sum("near").over(Window.partitionBy(name)))
+
+
+def mutual_unique(left: DataFrame, right: DataFrame, keys: list[str], left_day: str, right_day: str, days: int, a: str, b: str) -> DataFrame:
+    """The (`a`, `b`) of `window_join` whose both ends occur once: rows with one row near them are found by counts, and these meet."""
+    lone = [near_counts(*sides, a_or_b).where("n = 1 AND near = 1").drop("n", "near") for sides, a_or_b in (((left, right, keys, left_day, right_day, days), a), ((right, left, keys, right_day, left_day, days), b))]
+    return window_join(*lone, keys, left_day, right_day, days).select(a, b)
 
 
 def pair_splits(targets: DataFrame, parts: DataFrame, keys: list[str], target: str, target_amount: str, target_day: str, part: str, part_amount: str, part_day: str, days: int) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 from datetime import date, timedelta
 from itertools import product
 
-from reconlake.operators.candidates import smallest_near, triple_splits
+from reconlake.operators.candidates import mutual_unique, near_counts, smallest_near, triple_splits
 
 DAY = date(2024, 5, 1)
 
@@ -37,3 +37,23 @@ def test_a_day_keeps_no_more_rows_than_a_rule_can_use(spark):
     p = spark.range(5000).selectExpr("id", "1 AS k", "id % 7 AS part", "date_add(DATE '2024-05-01', CAST(id % 4 AS int)) AS day")
     near = smallest_near(p, ["k"], "part", "day", 3, 21).collect()
     assert len(near) == 10 and all(len(r._near) == 21 and {x.part for x in r._near} == {0} for r in near)
+
+
+def test_mutual_and_listed_pairs_come_from_counts(spark):
+    rng = random.Random(6)
+    left = [(i % 70, rng.choice([1, 2, None]), rng.choice([None, *[DAY + timedelta(d) for d in range(60)]])) for i in range(80)]
+    right = [(i % 75, rng.choice([1, 2, None]), rng.choice([None, *[DAY + timedelta(d) for d in range(60)]])) for i in range(80)]
+    a, b = spark.createDataFrame(left, "a int, k int, day date"), spark.createDataFrame(right, "b int, k int, other date")
+    pairs = [(x[0], y[0]) for x in left for y in right if None not in x + y and x[1] == y[1] and abs((x[2] - y[2]).days) <= 2]
+    times, back = Counter(x for x, _ in pairs), Counter(y for _, y in pairs)
+    got = mutual_unique(a, b, ["k"], "day", "other", 2, "a", "b").collect()
+    assert sorted(map(tuple, got)) == sorted(p for p in pairs if times[p[0]] == back[p[1]] == 1) and got
+    assert {(r.a, r.n) for r in near_counts(a, b, ["k"], "day", "other", 2, "a").collect()} == set(times.items())
+
+
+def test_rows_of_one_day_are_counted_not_paired(spark):
+    """As pairs these would be four thousand million rows."""
+    a = spark.range(60_000).selectExpr("id AS a", "1 AS k", "DATE '2024-05-01' AS day")
+    b = spark.range(70_000).selectExpr("id AS b", "1 AS k", "DATE '2024-05-02' AS other")
+    assert near_counts(a, b, ["k"], "day", "other", 2, "a").agg({"n": "min"}).first()[0] == 70_000
+    assert mutual_unique(a, b, ["k"], "day", "other", 2, "a", "b").count() == 0
