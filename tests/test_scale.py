@@ -6,6 +6,8 @@ from datetime import date, timedelta
 from itertools import product
 
 from reconlake.operators.candidates import mutual_unique, near_counts, smallest_near, triple_splits
+from reconlake.plans import queries_rules
+from reconlake.plans.views import Views
 
 DAY = date(2024, 5, 1)
 
@@ -57,3 +59,36 @@ def test_rows_of_one_day_are_counted_not_paired(spark):
     b = spark.range(70_000).selectExpr("id AS b", "1 AS k", "DATE '2024-05-02' AS other")
     assert near_counts(a, b, ["k"], "day", "other", 2, "a").agg({"n": "min"}).first()[0] == 70_000
     assert mutual_unique(a, b, ["k"], "day", "other", 2, "a", "b").count() == 0
+
+
+def shuffled_rows(frame):
+    """Rows that the exchanges of the executed plan wrote, the largest."""
+    frame.collect()
+    plan, most = frame._jdf.queryExecution().executedPlan(), 0
+    todo = [plan.finalPhysicalPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            most = max(most, node.metrics().apply("shuffleRecordsWritten").value())
+        todo += [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+class Crowded(Views):
+    """Movements of one account, amount and day."""
+
+    def __getattr__(self, name):
+        if name == "treasury":
+            return self.spark.range(400).selectExpr("id AS treasury_id", "'IN' AS direction", "1 AS account_id", "5 AS amount_key", "DATE '2024-05-01' AS doc_date", "'c' AS client", "'t' AS tax_id", "false AS is_exception")
+        return self.spark.range(500).selectExpr("concat('b', id) AS bank_id", "'IN' AS direction", "1 AS account_id", "5 AS amount_key", "DATE '2024-05-01' AS post_date", "concat('m', id % 3) AS memo", "'c' AS counterparty", "'t' AS counterparty_tax_id")
+
+
+def test_listing_shuffles_rows_not_pairs(spark):
+    listed = queries_rules.candidate_listing(Crowded(spark, ""))
+    assert shuffled_rows(listed) <= 1500 and {(r.bank_id, r.delta) for r in listed.collect()} == {("b0", 0), ("b1", 0), ("b101", 0)}
+    assert listed.count() == 1200
+
+
+def test_types_shuffle_rows_not_pairs(spark):
+    types = queries_rules.match_types(Crowded(spark, ""))
+    assert shuffled_rows(types) <= 1500 and types.count() == 200_000
