@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from reconlake.functions.dates import aging_bucket, with_time
 from reconlake.functions.names import is_card_deposit, is_small, names_agree
-from reconlake.operators.candidates import pair_splits, window_join
+from reconlake.operators.candidates import near_counts, pair_splits, window_join
 from reconlake.operators.dedup import reassigned
 from reconlake.operators.journal import explode_lines, line
 from reconlake.operators.reports import latest_value
@@ -96,7 +96,8 @@ def branch_of_shop(v):
     SELECT treasury_id, bank_id, CASE WHEN n > 1 THEN CASE WHEN delta = 0 THEN 'SPLIT_SAME_DAY' ELSE 'SPLIT_PM3' END WHEN delta = 0 THEN 'EXACT_SAME_DAY' WHEN abs(delta) <= 3 THEN 'EXACT_PM3' ELSE 'EXACT_PM7' END AS match_type
     FROM (SELECT *, count(*) OVER (PARTITION BY treasury_id) AS n FROM ({PAIRS_SQL}))""")
 def match_types(v):
-    met = pairs(v).withColumn("n", F.count("*").over(Window.partitionBy("treasury_id")))
+    treasury, *others = sides(v)
+    met = window_join(near_counts(treasury, *others, "treasury_id"), *others)
     return met.select("treasury_id", "bank_id", match_type(F.col("delta"), F.col("n")).alias("match_type"))
 
 
