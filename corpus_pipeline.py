@@ -27,6 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (5-word shingles, Jaccard 0.8 or more) the document with the least id stays.
 
+    Near SimHashes bring texts together and their sets decide; keys of the sets find what SimHashes miss.
     Texts without words are one group; rows that repeat an id are one document; rows without an id stay.
     """
     return keep_one_each(docs, words=5, similarity=0.8)

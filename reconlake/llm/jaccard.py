@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -182,7 +183,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(frugal(compared), "a long, b long")
 
 
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL_GROUP, tile_sets: int = TILE_SETS) -> DataFrame:
+def fingerprint_pairs(nodes: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (x, y) of the nodes (node, n, bits), as structs (n, node), that connect equal fingerprints and those that `linked` finds near."""
+    least = stored(nodes.groupBy("bits").agg(F.min(F.struct("n", "node")).alias("x")), "simhash-nodes")
+    equal = nodes.join(least, "bits").where(F.col("node") != F.col("x.node")).select("x", F.struct("n", "node").alias("y"))
+    other = least.select(F.col("bits").alias("b"), F.col("x").alias("y"))
+    return equal.unionByName(linked(least.select("bits")).join(least.withColumnRenamed("bits", "a"), "a").join(other, "b").select("x", "y"))
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL_GROUP, tile_sets: int = TILE_SETS, fingerprint: Callable[[np.ndarray], int] | None = None, linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every document with the least document id of its component of texts with a Jaccard similarity of `similarity` or more.
 
     Texts with equal sets are one node. Nodes with an equal key (see `part_keys`) are candidates; at 0.8 or more a pair
@@ -193,6 +202,9 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_c
     pair by pair in groups of up to `small` nodes, in tiles in larger ones: there first as many pairs as connect each
     set to a centre are looked at, under one key in four, and then all that are left under any key.
 
+    With a `fingerprint` of a set's hashes and a function that gives the edges (a, b) of near fingerprints (`linked`), those are
+    candidates of the first round, checked like the others; the keys find the pairs whose fingerprints lie farther apart.
+
     Nulls and empty texts are alike; ids are treated as in `near_duplicates`. Returns: `id_col`, component_id.
     """
     if not 0.5 <= similarity <= 1:
@@ -201,17 +213,19 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_c
 
     def printed(batches):
         for ids, node, sets in _hashed(batches, words):
-            out = [ids, pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([part_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, names=[id_col, "node", "n", "of", "keys"])
+            out = [ids, pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([part_keys(s) for s in sets], pa.list_(pa.int64())), pa.array([fingerprint(s) if fingerprint else 0 for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, names=[id_col, "node", "n", "of", "keys", "bits"])
 
-    prints = stored(docs.select(id_col, text_col).mapInArrow(frugal(printed), f"`{id_col}` {kind}, node long, n long, of binary, keys array<long>"), "jaccard-prints")
-    nodes = stored(prints.groupBy("node", "n").agg(F.min(id_col).alias("least_id"), F.first("keys").alias("keys")), "jaccard-nodes")
+    prints = stored(docs.select(id_col, text_col).mapInArrow(frugal(printed), f"`{id_col}` {kind}, node long, n long, of binary, keys array<long>, bits long"), "jaccard-prints")
+    nodes = stored(prints.groupBy("node", "n").agg(F.min(id_col).alias("least_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "jaccard-nodes")
     rows = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node").alias("drawn"), "n", "node")).alias("first")).where("size > 1")
     met = stored(rows.join(shared, "key"), "jaccard-groups")
     fits = F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n") - 1e-9
     ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    stars = met.select(F.col("first").alias("x"), F.struct("n", "node").alias("y")).where(fits & (F.col("x.node") != F.col("y.node"))).select(*ends)
+    stars = met.select(F.struct("first.n", "first.node").alias("x"), F.struct("n", "node").alias("y"))
+    stars = stars.unionByName(fingerprint_pairs(nodes.select("node", "n", "bits"), linked)) if linked else stars
+    stars = stars.where(fits & (F.col("x.node") != F.col("y.node"))).select(*ends)
     slot = F.pmod(F.xxhash64(id_col), F.lit(SLOTS)).cast("int")
 
     def sketches_of(wanted: DataFrame) -> DataFrame:
