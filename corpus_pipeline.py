@@ -42,8 +42,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens, as a row per piece; repeated rows are documents of their own."""
-    return pack_documents(docs)
+    """Sequences of 2048 tokens, as a row per piece; repeated rows are documents of their own.
+
+    The executors' JVMs have grown by now, so the tokenizer gets little room.
+    """
+    return pack_documents(docs, room=0.25)
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash near-dedup", drop_near_copies), ("source mixing", mix), ("packing", pack)]

@@ -114,6 +114,7 @@ def pack_documents(
     least_gap: int = 48,
     docs_per_block: int = DOCS_PER_BLOCK,
     keep_ids: bool = False,
+    room: float = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -128,6 +129,8 @@ def pack_documents(
     padding. The block is a hash of id, length and checksum; rows that agree in all these within a batch are told
     apart by their place in the task, so that repeated rows spread as well.
 
+    `room` bounds what a worker holds for the tokenizer (see `task_encoder`).
+
     Null texts are empty documents (their end id alone); null ids and repeated rows are packed as documents of
     their own; extra columns are ignored; an empty table gives an empty result.
 
@@ -140,7 +143,7 @@ def pack_documents(
 
     def tokenised(batches):
         task, row = TaskContext.get().partitionId(), 0
-        with task_encoder(path) as known:
+        with task_encoder(path, room) as known:
             for batch in batches:
                 first = 0
                 for flat, bounds in known.encode(batch.column(1)):
