@@ -161,7 +161,7 @@ def keep_one_each(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text
 
     With a `similarity`, texts are linked by the exact Jaccard similarity of their shingles of `words` words (see
     `similar_texts`): SimHashes of their sets within RADIUS_TO_CHECK bits bring candidates, whose sets decide, and the radius is
-    not used. At 0.8 a third of such pairs differ in more bits than masks can cover; these are found by keys of the sets.
+    not used. Many such pairs differ in more bits than masks can cover; these are found by keys of the sets.
 
     Rows that repeat an id are one document, of which the least text stays. Rows with a null id can't be told
     apart by id: they all stay.
