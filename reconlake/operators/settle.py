@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict, deque
 from functools import reduce
 from operator import or_
 
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reconlake.functions.names import receipt_list
-from reconlake.operators.candidates import tolerance_join, window_join
-from reconlake.operators.replay import replay
+from reconlake.operators.candidates import near_counts, tolerance_join, window_join
+from reconlake.operators.replay import OFFER, replay, sweep
 
 #: Tolerances in hundredths of a percent, and windows in days.
 BY_RECEIPT_BP, SEVERAL_BP, RECEIPT_DAYS, EXACT_DAYS, MIRROR_DAYS = 500, 250, 3, 1, 2
@@ -117,17 +118,72 @@ def _mirror_sides(movements: DataFrame, entity_of: str, owner_of: str) -> tuple[
     return out, into
 
 
-def _only_or_closing(edges: list[dict]) -> list[tuple]:
-    """The only candidate there ever was, else the only free one that points back."""
-    if edges[0]["n"] == 1:
-        return [(edges[0]["in_id"], "clean")]
-    back = [e for e in edges if e["back"]]
-    return [(back[0]["in_id"], "circle")] if len(back) == 1 else []
+class _Mirrors:
+    """The two passes over the OUTs and INs of one size and owner, in order of their days (see `sweep`).
 
+    An OUT of the second pass waits until the first is past every OUT that could want one of its INs.
+    """
 
-def _closing_or_first(edges: list[dict]) -> list[tuple]:
-    best = min(edges, key=lambda e: (not e["back"], e["in_day"], e["in_id"]))
-    return [(best["in_id"], "block")]
+    def __init__(self) -> None:
+        self.left: deque = deque()
+        #: by day: how many INs there were; the free ones in order, with whom they name; those of a name
+        self.counts: dict[int, int] = {}
+        self.free: dict[int, OrderedDict] = {}
+        self.naming: dict[int, dict] = {}
+
+    def meet(self, kind: int, day: int, row: tuple) -> list[tuple]:
+        bank_id, party, intra = row
+        if kind == OFFER:
+            if day not in self.free:
+                self.counts[day], self.free[day], self.naming[day] = 0, OrderedDict(), {}
+            self.counts[day] += 1
+            self.free[day][bank_id] = party
+            if party is not None:
+                self.naming[day].setdefault(party, OrderedDict())[bank_id] = None
+            return []
+        told = self.second(day - 2 * MIRROR_DAYS)
+        won = self.first(day, party)
+        if won:
+            return [*told, (bank_id, self.take(*won[:2]), won[2], intra)]
+        self.left.append((day, bank_id, party, intra))
+        return told
+
+    def end(self) -> list[tuple]:
+        return self.second(None)
+
+    def take(self, day: int, in_id):
+        party = self.free[day].pop(in_id)
+        if party is not None:
+            del self.naming[day][party][in_id]
+        return in_id
+
+    def near(self, day: int) -> list[int]:
+        return [d for d in range(day - MIRROR_DAYS, day + MIRROR_DAYS + 1) if d in self.free]
+
+    def back(self, day: int, owner) -> list[tuple]:
+        """(day, free INs) of those days near that have one which points back."""
+        return [] if owner is None else [(d, found) for d in self.near(day) if (found := self.naming[d].get(owner))]
+
+    def first(self, day: int, owner) -> tuple | None:
+        """The only candidate there ever was, else the only free one that points back."""
+        near = self.near(day)
+        if sum(self.counts[d] for d in near) == 1:
+            return next(((d, next(iter(self.free[d])), "clean") for d in near if self.free[d]), None)
+        back = self.back(day, owner)
+        return (back[0][0], next(iter(back[0][1])), "circle") if len(back) == 1 and len(back[0][1]) == 1 else None
+
+    def second(self, before: int | None) -> list[tuple]:
+        """What the OUTs left over from before that day take: a free one that points back rather than another, the earliest."""
+        told = []
+        while self.left and (before is None or self.left[0][0] < before):
+            day, out_id, owner, intra = self.left.popleft()
+            found = self.back(day, owner) or [(d, self.free[d]) for d in self.near(day) if self.free[d]]
+            if found:
+                told.append((out_id, self.take(found[0][0], next(iter(found[0][1]))), "block", intra))
+        oldest = self.left[0][0] if self.left else before
+        for d in [d for d in self.free if oldest is not None and d < oldest - MIRROR_DAYS]:
+            del self.counts[d], self.free[d], self.naming[d]
+        return told
 
 
 def match_mirrors(movements: DataFrame, entity_of: str, owner_of: str, **limits: int) -> DataFrame:
@@ -136,19 +192,16 @@ def match_mirrors(movements: DataFrame, entity_of: str, owner_of: str, **limits:
     `entity_of` names the own entity that a movement's text points to, `owner_of` the entity that holds its account.
     Candidates of an OUT are INs on accounts of the entity it points to, of the same size, within two days, whose own text
     doesn't name an outsider, be it by name or tax id (columns counterparty and counterparty_tax_id, if there). OUTs come
-    by day and id (`replay`, which has the `limits`). First, one with a single candidate takes it (`clean`), any other
-    takes the only free candidate that points back at its owner (`circle`); then those left over take a free candidate, one
-    that points back rather than another, the earliest (`block`). `intra`: both accounts have the same owner.
+    by day and id. First, one with a single candidate takes it (`clean`), any other takes the only free candidate that points
+    back at its owner (`circle`); then those left over take a free candidate, one that points back rather than another, the
+    earliest (`block`). `intra`: both accounts have the same owner. Rows of one size and owner come in order to one `sweep`,
+    so candidates are counted and not listed; the `limits` of a `replay` change nothing here.
     """
     out, into = _mirror_sides(movements, entity_of, owner_of)
-    edges = window_join(out, into, ["size", "owner"], "out_day", "in_day", MIRROR_DAYS)
-    edges = edges.withColumn("back", F.coalesce(F.col("in_names") == F.col("out_owner"), F.lit(False))).withColumn("intra", F.col("owner").eqNullSafe(F.col("out_owner")))
-    edges = edges.select("out_id", "in_id", "out_day", "in_day", "back", "intra").checkpoint()
-    counted = edges.join(edges.groupBy("out_id").agg(F.count("*").alias("n")), "out_id")
-    first = replay(counted.drop("intra"), "out_id", "in_id", ["out_day"], _only_or_closing, **limits)
-    left = edges.join(first, "out_id", "left_anti").join(first, "in_id", "left_anti")
-    won = first.unionByName(replay(left.drop("intra"), "out_id", "in_id", ["out_day"], _closing_or_first, **limits))
-    return won.join(edges.select("out_id", "in_id", "intra"), ["out_id", "in_id"])
+    askers = out.select("size", "owner", F.col("out_day").alias("day"), F.col("out_id").alias("bank_id"), F.col("out_owner").alias("party"), F.col("owner").eqNullSafe(F.col("out_owner")).alias("intra"))
+    offers = into.select("size", "owner", F.col("in_day").alias("day"), F.col("in_id").alias("bank_id"), F.col("in_names").alias("party"), F.lit(None).cast("boolean").alias("intra"))
+    kind = movements.schema["bank_id"].dataType.simpleString()
+    return sweep(offers, askers, ["size", "owner"], "day", MIRROR_DAYS, "bank_id", _Mirrors, f"out_id {kind}, in_id {kind}, found_by string, intra boolean")
 
 
 def mirror_orphans(movements: DataFrame, entity_of: str, owner_of: str, pairs: DataFrame) -> DataFrame:
@@ -159,8 +212,9 @@ def mirror_orphans(movements: DataFrame, entity_of: str, owner_of: str, pairs: D
     """
     out, into = _mirror_sides(movements, entity_of, owner_of)
     owners = movements.select(F.col(owner_of).alias("owner")).where("owner IS NOT NULL").distinct().withColumn("held", F.lit(True))
-    fits = window_join(out, into, ["size", "owner"], "out_day", "in_day", MIRROR_DAYS).select("out_id").distinct().withColumn("fits", F.lit(True))
-    left = out.join(pairs, "out_id", "left_anti").join(owners, "owner", "left").join(fits, "out_id", "left")
+    left = out.join(pairs, "out_id", "left_anti")
+    fits = near_counts(left, into, ["size", "owner"], "out_day", "in_day", MIRROR_DAYS, "out_id").select("out_id").distinct().withColumn("fits", F.lit(True))
+    left = left.join(owners, "owner", "left").join(fits, "out_id", "left")
     reason = F.when(F.col("held").isNull(), "no-dest-account").when(F.col("fits").isNull(), "no-candidate").otherwise("ambiguous")
     unused = into.where("in_names IS NOT NULL").join(pairs, "in_id", "left_anti")
     return left.select(F.col("out_id").alias("bank_id"), F.lit("OUT").alias("direction"), reason.alias("reason")).unionByName(unused.select(F.col("in_id").alias("bank_id"), F.lit("IN").alias("direction"), F.lit("no-out").alias("reason")))

@@ -6,6 +6,8 @@ from datetime import date, timedelta
 from itertools import product
 
 from reconlake.operators.candidates import mutual_unique, near_counts, smallest_near, triple_splits
+from reconlake.operators.replay import ASK, OFFER
+from reconlake.operators.settle import _Mirrors, match_mirrors, mirror_orphans
 from reconlake.plans import queries_rules
 from reconlake.plans.views import Views
 
@@ -92,3 +94,20 @@ def test_listing_shuffles_rows_not_pairs(spark):
 def test_types_shuffle_rows_not_pairs(spark):
     types = queries_rules.match_types(Crowded(spark, ""))
     assert shuffled_rows(types) <= 1500 and types.count() == 200_000
+
+
+def test_mirrors_of_one_day_and_size_are_not_listed(spark):
+    """As candidates these would be nine hundred million rows."""
+    moves = spark.range(60_000).selectExpr("id AS bank_id", "IF(id % 2 = 0, 'OUT', 'IN') AS direction", "7 AS amount", "DATE '2024-05-01' AS post_date", "CAST(NULL AS string) AS counterparty", "IF(id % 2 = 0, 2, NULL) AS names", "IF(id % 2 = 0, 1, 2) AS owner")
+    pairs = match_mirrors(moves, "names", "owner")
+    assert pairs.where("found_by = 'block' AND in_id = out_id + 1").count() == pairs.count() == 30_000
+    assert [r.reason for r in mirror_orphans(moves, "names", "owner", pairs.where("out_id <> 6")).collect()] == ["ambiguous"]
+
+
+def test_mirrors_forget_past_days():
+    shelf, told = _Mirrors(), []
+    for day in range(300):
+        told += shelf.meet(OFFER, day + 2, (f"i{day:03}", None, None)) + shelf.meet(OFFER, day + 2, (f"j{day:03}", 1, None))
+        told += shelf.meet(ASK, day, (f"o{day:03}", 1, False))
+        assert len(shelf.free) <= 14 and len(shelf.left) <= 6
+    assert len(told + shelf.end()) == 300
