@@ -132,20 +132,20 @@ class _Mirrors:
         self.naming: dict[int, dict] = {}
 
     def meet(self, kind: int, day: int, row: tuple) -> list[tuple]:
-        bank_id, party, intra = row
+        in_id, party, out_id, intra = row
         if kind == OFFER:
             if day not in self.free:
                 self.counts[day], self.free[day], self.naming[day] = 0, OrderedDict(), {}
             self.counts[day] += 1
-            self.free[day][bank_id] = party
+            self.free[day][in_id] = party
             if party is not None:
-                self.naming[day].setdefault(party, OrderedDict())[bank_id] = None
+                self.naming[day].setdefault(party, OrderedDict())[in_id] = None
             return []
         told = self.second(day - 2 * MIRROR_DAYS)
         won = self.first(day, party)
         if won:
-            return [*told, (bank_id, self.take(*won[:2]), won[2], intra)]
-        self.left.append((day, bank_id, party, intra))
+            return [*told, (out_id, self.take(*won[:2]), won[2], intra)]
+        self.left.append((day, out_id, party, intra))
         return told
 
     def end(self) -> list[tuple]:
@@ -198,10 +198,10 @@ def match_mirrors(movements: DataFrame, entity_of: str, owner_of: str, **limits:
     so candidates are counted and not listed; the `limits` of a `replay` change nothing here.
     """
     out, into = _mirror_sides(movements, entity_of, owner_of)
-    askers = out.select("size", "owner", F.col("out_day").alias("day"), F.col("out_id").alias("bank_id"), F.col("out_owner").alias("party"), F.col("owner").eqNullSafe(F.col("out_owner")).alias("intra"))
-    offers = into.select("size", "owner", F.col("in_day").alias("day"), F.col("in_id").alias("bank_id"), F.col("in_names").alias("party"), F.lit(None).cast("boolean").alias("intra"))
+    askers = out.select("size", "owner", F.col("out_day").alias("day"), "out_id", F.col("out_owner").alias("party"), F.col("owner").eqNullSafe(F.col("out_owner")).alias("intra"))
+    offers = into.select("size", "owner", F.col("in_day").alias("day"), "in_id", F.col("in_names").alias("party"))
     kind = movements.schema["bank_id"].dataType.simpleString()
-    return sweep(offers, askers, ["size", "owner"], "day", MIRROR_DAYS, "bank_id", _Mirrors, f"out_id {kind}, in_id {kind}, found_by string, intra boolean")
+    return sweep(offers, askers, ["size", "owner"], "day", MIRROR_DAYS, "in_id", "out_id", _Mirrors, f"out_id {kind}, in_id {kind}, found_by string, intra boolean")
 
 
 def mirror_orphans(movements: DataFrame, entity_of: str, owner_of: str, pairs: DataFrame) -> DataFrame:

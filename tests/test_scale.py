@@ -6,6 +6,7 @@ from datetime import date, timedelta
 from itertools import product
 
 from reconlake.operators.candidates import mutual_unique, near_counts, smallest_near, triple_splits
+from reconlake.operators.nearest import nearest_free
 from reconlake.operators.replay import ASK, OFFER
 from reconlake.operators.settle import _Mirrors, match_mirrors, mirror_orphans
 from reconlake.plans import queries_rules
@@ -107,7 +108,30 @@ def test_mirrors_of_one_day_and_size_are_not_listed(spark):
 def test_mirrors_forget_past_days():
     shelf, told = _Mirrors(), []
     for day in range(300):
-        told += shelf.meet(OFFER, day + 2, (f"i{day:03}", None, None)) + shelf.meet(OFFER, day + 2, (f"j{day:03}", 1, None))
-        told += shelf.meet(ASK, day, (f"o{day:03}", 1, False))
+        told += shelf.meet(OFFER, day + 2, (f"i{day:03}", None, None, None)) + shelf.meet(OFFER, day + 2, (f"j{day:03}", 1, None, None))
+        told += shelf.meet(ASK, day, (None, 1, f"o{day:03}", False))
         assert len(shelf.free) <= 14 and len(shelf.left) <= 6
     assert len(told + shelf.end()) == 300
+
+
+def test_nearest_rows_like_one_row_after_the_other(spark):
+    rng = random.Random(8)
+    left = [(i, rng.choice([1, 2, None]), rng.choice([None, -5, 0, *range(180, 230), *[400] * 9]), rng.choice([None, *[DAY + timedelta(d) for d in range(20)] * 2])) for i in range(160)]
+    right = [(f"b{i:03}", rng.choice([1, 2]), rng.choice([None, -5, 0, *range(180, 230), *[400] * 9]), rng.choice([None, *[DAY + timedelta(d) for d in range(20)] * 2])) for i in range(140)]
+    free, want = [b for b in right if None not in b], []
+    for t in sorted((t for t in left if None not in t), key=lambda t: (t[3], t[0])):
+        fits = [(b[2] != t[2], abs((b[3] - t[3]).days), abs(b[2] - t[2]), b[0], b) for b in free if b[1] == t[1] and min(t[2], b[2]) > 0 and abs((b[3] - t[3]).days) <= 5 and abs(b[2] - t[2]) * 100 <= t[2]]
+        if fits:
+            _, days, off, _, b = min(fits)
+            free.remove(b)
+            want.append((t[0], b[0], days, off))
+    rows = spark.createDataFrame(left, "t int, k int, amount long, day date"), spark.createDataFrame(right, "b string, k int, part long, other date")
+    assert sorted(map(tuple, nearest_free(*rows, ["k"], "t", "amount", "day", "b", "part", "other", 5, 100).collect())) == sorted(want)
+    assert {w[3] for w in want} >= {0, 1, 2}
+
+
+def test_nearest_rows_of_one_amount_are_not_listed(spark):
+    """As candidates these would be nine hundred million rows."""
+    rows = spark.range(30_000).selectExpr("id AS t", "id AS b", "1 AS k", "500 AS amount", "500 + id % 2 AS part", "DATE '2024-05-01' AS day")
+    got = nearest_free(rows, rows, ["k"], "t", "amount", "day", "b", "part", "day", 5, 100)
+    assert got.count() == 30_000 and got.where("off = 0 AND b = 2 * t").count() == 15_000
