@@ -5,7 +5,7 @@ from collections import Counter
 from datetime import date, timedelta
 from itertools import product
 
-from reconlake.operators.candidates import mutual_unique, near_counts, smallest_near, triple_splits
+from reconlake.operators.candidates import mutual_unique, near_counts, pair_splits, smallest_near, triple_splits
 from reconlake.operators.nearest import nearest_free
 from reconlake.operators.replay import ASK, OFFER
 from reconlake.operators.settle import _Mirrors, match_mirrors, mirror_orphans
@@ -135,3 +135,20 @@ def test_nearest_rows_of_one_amount_are_not_listed(spark):
     rows = spark.range(30_000).selectExpr("id AS t", "id AS b", "1 AS k", "500 AS amount", "500 + id % 2 AS part", "DATE '2024-05-01' AS day")
     got = nearest_free(rows, rows, ["k"], "t", "amount", "day", "b", "part", "day", 5, 100)
     assert got.count() == 30_000 and got.where("off = 0 AND b = 2 * t").count() == 15_000
+
+
+def test_pairs_by_brute_force_without_listing_first_parts(spark):
+    rng = random.Random(9)
+    targets = [(rng.choice([None, *range(50)]), rng.choice([1, 2, None]), rng.choice([None, *range(-30, 31)]), rng.choice([None, *[DAY + timedelta(d) for d in range(40)]])) for i in range(130)]
+    parts = [(rng.choice([None, *[f"p{i:03}" for i in range(140)]]), rng.choice([1, 2, None]), rng.choice([None, *range(-25, 26)]), rng.choice([None, *[DAY + timedelta(d) for d in range(40)]])) for _ in range(300)]
+    want = Counter()
+    for t in targets:
+        pool = [p for p in parts if None not in p + t[1:] and p[1] == t[1] and abs((p[3] - t[3]).days) <= 3 and abs(p[2]) < abs(t[2])]
+        want.update((t[0], a[0], a[2], a[3], b[0], b[2], b[3]) for a, b in product(pool, pool) if a[0] < b[0] and a[2] + b[2] == t[2])
+    rows = spark.createDataFrame(targets, "t int, k int, amount long, day date"), spark.createDataFrame(parts, "p string, k int, part long, other date")
+    got = pair_splits(*rows, ["k"], "t", "amount", "day", "p", "part", "other", 3)
+    assert Counter(map(tuple, got.drop("amount").collect())) == want and want
+    # a target of each of 2,000 amounts and 2,000 parts: two million pairs of a target and its first part, no two of which add up
+    many = spark.range(2000).selectExpr("id AS t", "id AS p", "1 AS k", "20000 + 4 * id AS amount", "10001 + 4 * id AS part", "DATE '2024-05-01' AS day")
+    none = pair_splits(many, many, ["k"], "t", "amount", "day", "p", "part", "day", 3)
+    assert none.count() == 0 and shuffled_rows(none) <= 6000
