@@ -195,3 +195,24 @@ def test_components_of_shared_candidates(spark):
 def test_replay_without_edges(spark):
     none = spark.createDataFrame([], "r int, c int, o int")
     assert replay(none, "r", "c", ["o"], lambda edges: []).where(F.col("found_by").isNotNull()).count() == 0
+
+
+def test_cells_agree_on_what_they_share(spark, monkeypatch):
+    """Cells of one day and of amounts of 15 %: most settlements are seen by several."""
+    monkeypatch.setattr("reconlake.operators.settle.CELL_DAYS", 1)
+    for seed in (1, 2):
+        rng, d = random.Random(seed), date(2024, 5, 1)
+        pos = [(i, rng.choice([1, 2, None]), d + timedelta(rng.randint(0, 14)), rng.choice([-1, 1, 1, 1, 1]) * rng.randint(80, 300), None, None) for i in range(200)]
+        sets = [(i, rng.choice([None, 1, 2]), d + timedelta(rng.randint(0, 14)), rng.choice([-1, 1, 1, 1, 1]) * rng.randint(80, 300), None) for i in range(200)]
+        pos += [(900, 1, d, 0, None, None)]
+        sets += [(900, None, d, 0, None)]
+        got = told(match_settlements(spark.createDataFrame(pos, POS), spark.createDataFrame(sets, SETS)))
+        assert got == slow_settlements(pos, sets) and {g[2] for g in got} == {"exact", "tolerant"}
+
+
+def test_sales_of_one_receipt_are_not_paired(spark):
+    """As pairs these would be four hundred million rows."""
+    pos = spark.range(20_000).selectExpr("id AS pos_id", "1 AS branch_id", "DATE '2024-05-01' AS sale_date", "10000 + id % 3 AS amount", "'101' AS receipt")
+    sets = spark.range(20_000).selectExpr("id AS settlement_id", "1 AS branch_id", "DATE '2024-05-02' AS sale_date", "10000 + id % 3 AS gross", "'0101' AS receipt")
+    won = match_settlements(pos, sets)
+    assert won.where("matched_by = 'receipt' AND pos_id = settlement_id AND difference = 0").count() == 20_000
