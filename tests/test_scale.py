@@ -9,7 +9,7 @@ from reconlake.operators.candidates import mutual_unique, near_counts, pair_spli
 from reconlake.operators.nearest import nearest_free
 from reconlake.operators.replay import ASK, OFFER
 from reconlake.operators.settle import _Mirrors, match_mirrors, mirror_orphans
-from reconlake.plans import queries_rules
+from reconlake.plans import catalog, queries_rules
 from reconlake.plans.views import Views
 
 DAY = date(2024, 5, 1)
@@ -152,3 +152,14 @@ def test_pairs_by_brute_force_without_listing_first_parts(spark):
     many = spark.range(2000).selectExpr("id AS t", "id AS p", "1 AS k", "20000 + 4 * id AS amount", "10001 + 4 * id AS part", "DATE '2024-05-01' AS day")
     none = pair_splits(many, many, ["k"], "t", "amount", "day", "p", "part", "day", 3)
     assert none.count() == 0 and shuffled_rows(none) <= 6000
+
+
+def test_pairs_of_transfers_meet_last(spark):
+    """After the join that makes pairs none of them is joined, and so shuffled, again."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = catalog.queries()["L05_transfers_between_owners"](spark, "/root/testdata/sf0.001")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "amount_key" in next(line for line in plan.splitlines() if "Join" in line)
