@@ -138,9 +138,16 @@ def preview_with_discards(v):
     return told.select("bank_id", "status", "pattern", "discarded")
 
 
+#: The most rows of one of the files that `M03_import_by_content` takes in.
+FILE_ROWS = 20_000
+
+
 @query("M03_import_by_content", "SELECT DISTINCT bank_id, account_id, amount, post_date, counterparty, CAST(CASE WHEN post_date < DATE '1997-01-01' THEN 0 ELSE 2 END AS integer) AS first_import, amount % 97 = 0 AS discarded FROM bank", dates=("post_date",))
 def by_content(v):
-    """Files of part of the rows without counterparties, the same files under other names, and whole ones."""
+    """Files of part of the rows without counterparties, the same files under other names, and whole ones.
+
+    A file is one value while it is read, so more rows make more files and no larger ones.
+    """
     spark, folder = v.spark, shared_folder(v.spark, "imports")
     columns = ["bank_id", "account_id", "amount", "post_date", "counterparty"]
     rows = v.bank.select(*columns).distinct()
@@ -152,7 +159,7 @@ def by_content(v):
         return lines.select("file_hash", F.from_csv("line", kinds).alias("row")).select("file_hash", "row.*")
 
     for name, some in (("first", early), ("renamed", early), ("whole", rows)):
-        some.repartition(8, "account_id").sortWithinPartitions(*columns).write.csv(f"{folder}/in/{name}")
+        some.repartition(8, "account_id").sortWithinPartitions(*columns).write.option("maxRecordsPerFile", FILE_ROWS).csv(f"{folder}/in/{name}")
         imports.import_files(spark, f"{folder}/in", f"{folder}/log", f"{folder}/progress", parsed, "*.csv").awaitTermination()
     register = v.bank.where("amount % 97 = 0").select("bank_id")
     return imports.imported(spark, f"{folder}/log", "bank_id", register).select(*columns, "first_import", "discarded")

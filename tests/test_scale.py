@@ -163,3 +163,15 @@ def test_pairs_of_transfers_meet_last(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "amount_key" in next(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_imported_files_have_a_bounded_size(spark, monkeypatch, tmp_path):
+    """A file is one value while it is read: more rows make more files."""
+    monkeypatch.setattr(queries_rules, "FILE_ROWS", 100)
+    monkeypatch.setattr(queries_rules, "shared_folder", lambda *_: str(tmp_path / "imports"))
+    bank = Views(spark, "/root/testdata/sf0.001").bank
+    rows = catalog.queries()["M03_import_by_content"](spark, "/root/testdata/sf0.001").collect()
+    sizes = [len(f.read_text().splitlines()) for f in (tmp_path / "imports/in").rglob("*.csv")]
+    assert max(sizes) <= 100 and sum(sizes) > 5000
+    want = {(r.bank_id, 0 if r.post_date < date(1997, 1, 1) else 2, r.counterparty, r.amount % 97 == 0) for r in bank.collect()}
+    assert {(r.bank_id, r.first_import, r.counterparty, r.discarded) for r in rows} == want and len(rows) == len(want)
