@@ -167,3 +167,17 @@ def test_duplicate_clusters(spark):
     # 5: a row without a name links two that don't agree themselves
     assert got == {1: (1, 3, "HIGH"), 2: (1, 3, "HIGH"), 4: (1, 3, "HIGH"), 9: (9, 3, "HIGH"), 10: (9, 3, "HIGH"), 11: (9, 3, "HIGH"), 12: (12, 3, "MEDIUM"), 13: (12, 3, "MEDIUM"), 14: (12, 3, "MEDIUM")}
     assert duplicate_clusters(df.limit(0), ["k"]).count() == 0
+
+
+def test_clusters_within_rows_and_by_rounds(spark):
+    """Keys of few parties don't leave their rows, keys of many meet by joins: the same clusters."""
+    rng = random.Random(12)
+    names = [None, "Perez Ana", "Ana Perez Soto", "Soto Luz", "Luz", "Rojas", "Rojas Pia Mar", "Mar Sol", "Sol"]
+    rows = [(f"b{i:04}", rng.choice([1, 2, 3, 4, 5, None]), rng.randint(1, 3), rng.choice([1, 1, 1, 2, None]), rng.choice(names), rng.choice([None, None, "1-9", "2-7", ""])) for i in range(260)]
+    df = spark.createDataFrame(rows, "bank_id string, k int, day int, import_id int, counterparty string, counterparty_tax_id string")
+    ways = [sorted(map(tuple, duplicate_clusters(df, ["k", "day"], most_parties=n).collect())) for n in (0, 5, 64)]
+    assert ways[0] == ways[1] == ways[2] and ways[0] and {w[3] for w in ways[0]} == {"HIGH", "MEDIUM"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = duplicate_clusters(df, ["k", "day"])._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("Join" in line for line in plan.splitlines()) == 1
