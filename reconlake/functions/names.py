@@ -90,8 +90,14 @@ def operation_number(memo: Column) -> Column:
 
 def receipt_list(memo: Column) -> Column:
     """Receipts of `4047/4048` or `515-516`; a rising range of five at most is filled; else null."""
-    a, b = (F.regexp_extract(memo, TWO_RECEIPTS, i).try_cast("int") for i in (1, 2))
-    return F.when(a != b, F.when((b > a) & (b - a <= 4), F.sequence(a, b)).otherwise(F.array(a, b)))
+    # the pattern is looked for once: what it found is one element of an array, and so are its numbers
+    found = F.split(F.regexp_extract(memo, TWO_RECEIPTS, 0), "[/-]")
+
+    def listed(two: Column) -> Column:
+        a, b = F.get(two, F.lit(0)), F.get(two, F.lit(1))
+        return F.when(a != b, F.when((b > a) & (b - a <= 4), F.sequence(a, b)).otherwise(F.array(a, b)))
+
+    return F.get(F.transform(F.array(F.transform(found, lambda x: x.try_cast("int"))), listed), F.lit(0))
 
 
 def is_card_deposit(direction: Column, memo: Column) -> Column:

@@ -77,7 +77,8 @@ def receipts(v):
     """Two equal receipts are no list and give nulls; receipts have three or four digits."""
     a = 1000 + F.col("part_id") % 8000
     found = receipt_list(F.concat(F.lit("N OPE "), a.cast("string"), F.lit("/"), (a + F.col("line_no") % 5).cast("string")))
-    return v.bank.select("bank_id", F.element_at(found, 1).cast("long").alias("first_receipt"), F.when(found.isNotNull(), F.size(found)).cast("long").alias("n"))
+    told = F.transform(F.array(found), lambda x: F.struct(F.element_at(x, 1).cast("long").alias("first_receipt"), F.when(x.isNotNull(), F.size(x)).cast("long").alias("n")))
+    return v.bank.select("bank_id", F.explode(told).alias("told")).select("bank_id", "told.*")
 
 
 @query("K31_gross_up", "SELECT treasury_id, CAST((CAST(abs(amount) AS hugeint) * 10000 + 4237) // 8475 AS bigint) AS gross, CAST((CAST(abs(amount) AS hugeint) * 10000 + 4237) // 8475 - abs(amount) AS bigint) AS retention FROM treasury")

@@ -6,6 +6,9 @@ from collections import Counter
 from datetime import date, timedelta
 from itertools import product
 
+from pyspark.sql import functions as F
+
+from reconlake.functions.names import receipt_list
 from reconlake.operators.candidates import mutual_unique, near_counts, pair_splits, smallest_near, triple_splits
 from reconlake.operators.nearest import nearest_free
 from reconlake.operators.replay import ASK, OFFER
@@ -186,3 +189,17 @@ def test_each_name_is_looked_for_once(spark):
     # the first words in the plan are those of rows that are distinct already
     words = next(i for i, line in enumerate(plan) if "Generate explode" in line)
     assert any(re.search(r"Aggregate \[\w+#\d+\]", line) for line in plan[words + 1 : words + 3]), plan
+
+
+def test_receipts_are_looked_for_once(spark):
+    memos = [None, "", "4047/4048", "515-516", "N OPE 0515 -\t00517", "12/13", "1000/1000", "1000/990", "x 1234/12345", "123/000", "4000-4010 777/778", "1/2345-2346"]
+    pattern = re.compile(r"(?<!\d)(\d{3,4})\s*[/-]\s*0*(\d{3,4})(?!\d)")
+
+    def listed(memo):
+        a, b = map(int, found.groups()) if (found := pattern.search(memo or "")) else (0, 0)
+        return None if a == b else list(range(a, b + 1)) if 0 < b - a <= 4 else [a, b]
+
+    df = spark.createDataFrame([(m,) for m in memos], "memo string").select("memo", receipt_list(F.col("memo")).alias("found"))
+    assert {r.memo: r.found for r in df.collect()} == {m: listed(m) for m in memos}
+    plan = catalog.queries()["K22_receipts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1
