@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 MOST_ROWS = 1000
 
 
-def _bounded(rows: DataFrame, most_rows: int) -> list:
+def bounded(rows: DataFrame, most_rows: int) -> list:
     found = rows.limit(most_rows + 1).collect()
     if len(found) > most_rows:
         raise ValueError(f"a settings table has over {most_rows} rows; join it by a key")
@@ -17,7 +17,7 @@ def _bounded(rows: DataFrame, most_rows: int) -> list:
 
 def settings(rows: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """`rows`, marked for broadcast; more than `most_rows` are refused. For conditions that no key can express."""
-    return F.broadcast(rows.sparkSession.createDataFrame(_bounded(rows, most_rows), rows.schema))
+    return F.broadcast(rows.sparkSession.createDataFrame(bounded(rows, most_rows), rows.schema))
 
 
 def for_each(entries: DataFrame, weights: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
@@ -25,7 +25,7 @@ def for_each(entries: DataFrame, weights: DataFrame, most_rows: int = MOST_ROWS)
 
     The weights are a constant array in the plan that each entry is exploded over: no join, no shuffle.
     """
-    known = _bounded(weights, most_rows)
+    known = bounded(weights, most_rows)
     kinds = {f.name: f.dataType for f in weights.schema.fields}
     if not known:
         return entries.select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).limit(0)

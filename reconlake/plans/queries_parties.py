@@ -12,9 +12,8 @@ from reconlake.operators.containment import containing
 from reconlake.operators.dedup import latest_by
 from reconlake.operators.entities import detect, ledger_codes
 from reconlake.operators.expenses import expense_pool, expense_run
-from reconlake.operators.journal import apportion
+from reconlake.operators.journal import apportion_each
 from reconlake.operators.scoring import firm_identity, memo_identity
-from reconlake.operators.settings import for_each
 from reconlake.plans.catalog import query
 
 
@@ -178,7 +177,7 @@ def journal_detail(v):
     entries = v.treasury.where("kind = 'NORMAL'").join(v.matches.where("status = 'MANUAL'"), "treasury_id").select("treasury_id", "client", F.abs("amount").alias("gross"))
     weights = v.branch.select("branch_id", "branch", F.col("headcount").cast("long").alias("w"))
     total = weights.agg(F.sum("w")).first()[0] or 1
-    lines = apportion(for_each(entries, weights), ["treasury_id"], "gross", "w", "branch_id")
+    lines = apportion_each(entries, weights, "gross", "w", "branch_id")
     return lines.select("treasury_id", "client", "branch", "part", F.floor(F.col("w") * 10_000 / total).cast("long").alias("share_bp"))
 
 

@@ -9,9 +9,8 @@ from reconlake.functions.amounts import gross_up, parse_gross
 from reconlake.functions.dates import MONTHS, aging_bucket, parse_spanish_date, sheet_serial
 from reconlake.functions.names import account_digits, line_detail, same_tax_id, short_hash, tokens
 from reconlake.operators.dedup import latest_by
-from reconlake.operators.journal import apportion, explode_lines, line
+from reconlake.operators.journal import apportion_each, explode_lines, line
 from reconlake.operators.scoring import status_of
-from reconlake.operators.settings import for_each
 from reconlake.plans.catalog import REGISTRY, query
 from reconlake.plans.queries_match import pair_scores
 from reconlake.plans.queries_report import TODAY
@@ -148,7 +147,7 @@ def supplier_journal(v):
     whole, kept = gross_up(F.abs("amount"), 1525)
     # supplier entries: outgoing rows of the normal kind
     entries = v.treasury.where("direction = 'OUT' AND kind = 'NORMAL'").select("treasury_id", "account_id", F.abs("amount").alias("net"), whole.alias("gross"), kept.alias("retention"))
-    parts = apportion(for_each(entries, v.branch.select("branch_id", F.col("headcount").cast("long").alias("w"))), ["treasury_id"], "gross", "w", "branch_id")
+    parts = apportion_each(entries, v.branch.select("branch_id", F.col("headcount").cast("long").alias("w")), "gross", "w", "branch_id")
     none, detail = F.lit(None), F.lit("supplier")
     costs = explode_lines(parts, ["treasury_id"], [line(100 + F.col("branch_id"), F.col("part"), none, detail)])
     paid = explode_lines(entries, ["treasury_id"], [line(2108, none, F.col("retention"), detail), line(1000 + F.col("account_id"), none, F.col("net"), detail)])

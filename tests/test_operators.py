@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from reconlake.operators.assign import greedy_assign
 from reconlake.operators.candidates import allocate, as_of
-from reconlake.operators.journal import apportion
+from reconlake.operators.journal import apportion, apportion_each
 from reconlake.operators.settle import match_mirrors, match_settlements, mirror_orphans
 
 
@@ -116,3 +116,14 @@ def test_mirrors(spark):
     df = spark.createDataFrame(rows, "bank_id string, direction string, amount long, post_date date, counterparty string, names int, owner int")
     got = sorted((r.out_id, r.in_id, r.found_by) for r in match_mirrors(df, "names", "owner").collect())
     assert got == [("o1", "i1", "clean"), ("o2", "i3", "circle")]
+
+
+def test_every_entry_by_the_same_weights_without_a_shuffle(spark):
+    entries = spark.createDataFrame([(i, a) for i, a in enumerate([100, -100, 7, -1, 0, 9_007_199_254_740_993, None])], "e int, amount long")
+    for headcounts in ([3, 3, 2, 0], [0, 0, 0, 0], [1, 5, 5, 2]):
+        weights = spark.createDataFrame(list(enumerate(headcounts)), "b int, w long")
+        got = apportion_each(entries, weights, "amount", "w", "b").select("e", "b", "part")
+        want = apportion(entries.crossJoin(weights), ["e"], "amount", "w", "b").select("e", "b", "part")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 28
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Window", "Sort "))
