@@ -4,12 +4,15 @@ import random
 import re
 from collections import Counter
 from datetime import date, timedelta
-from itertools import product
+from itertools import combinations_with_replacement, product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from reconlake.functions.names import receipt_list
-from reconlake.operators.candidates import mutual_unique, near_counts, pair_splits, smallest_near, triple_splits
+from reconlake.operators import candidates
+from reconlake.operators.candidates import _Triples, mutual_unique, near_counts, pair_splits, smallest_near, triple_splits, triples_of
 from reconlake.operators.nearest import nearest_free
 from reconlake.operators.replay import ASK, OFFER
 from reconlake.operators.settle import _Mirrors, match_mirrors, mirror_orphans
@@ -42,6 +45,57 @@ def test_triples_are_found_among_the_least_rows(spark):
     assert want
 
 
+def test_triples_by_brute_force_however_many_rows_are_near(spark):
+    """Over 20 smaller rows in a window, repeated ids on both sides, both signs, nulls."""
+    rng = random.Random(15)
+    targets = [(rng.choice([None, *range(40)]), rng.choice([1, 2, None]), rng.choice([None, *range(-40, 41)]), rng.choice([None, *[DAY + timedelta(d) for d in range(12)]])) for _ in range(50)]
+    parts = [(rng.choice([None, *[f"p{i:03}" for i in range(150)]]), rng.choice([1, 1, 2, None]), rng.choice([None, *range(-30, 31)]), rng.choice([None, *[DAY + timedelta(d) for d in range(13)]])) for _ in range(230)]
+    pools = {}
+    for t in (t for t in targets if None not in t):
+        pools.setdefault(t[0], []).append((t[2], [p for p in parts if None not in p and p[1] == t[1] and abs((p[3] - t[3]).days) <= 3 and abs(p[2]) < abs(t[2])]))
+    want, sizes = Counter(), Counter()
+    for i, rows in pools.items():
+        whole = [p for _, pool in rows for p in pool]
+        sizes[len(rows) > 1, len(whole) > 20] += 1
+        by_id = {}
+        for p in whole:
+            by_id.setdefault(p[2], []).append(p)
+        for amount, pool in rows:
+            for a, b in product(pool, whole):
+                for c in by_id.get(amount - a[2] - b[2], ()) if a[0] < b[0] else ():
+                    if b[0] < c[0] and c[2] * amount > 0:
+                        want[i, amount, *(x for p in (a, b, c) for x in (p[0], p[2], p[3]))] += 1
+    assert {(False, False), (False, True), (True, True)} <= sizes.keys()
+    rows = spark.createDataFrame(targets, "t int, k int, amount long, day date"), spark.createDataFrame(parts, "p string, k int, part long, other date")
+    got = triple_splits(*rows, ["k"], "t", "amount", "day", "p", "part", "other", 3)
+    assert Counter(map(tuple, got.collect())) == want and len(want) > 1000
+
+
+def test_triples_in_small_blocks_and_of_rows_that_stand_for_several(monkeypatch):
+    rng = random.Random(3)
+    values = np.array(sorted(rng.sample(range(-30, 200), 40)))
+    schema = pa.schema([("t", pa.int64()), ("total", pa.int64()), *[f for i in (1, 2, 3) for f in ((f"part_{i}", pa.string()), (f"amount_{i}", pa.int64()), (f"day_{i}", pa.date32()))]])
+    rows = [(f"p{i // 2 if i < 4 else i:02}", rng.randint(1, 9), rng.choice([1, 1, 2, 3])) for i in range(14)]
+    for at_once in (1 << 18, 7):
+        monkeypatch.setattr(candidates, "AT_ONCE", at_once)
+        for total in (0, 90, 91, 300, -20, 599):
+            want = sorted(t for t in combinations_with_replacement(range(40), 3) if sum(values[i] for i in t) == total)
+            for half in (1, 2):
+                assert sorted(tuple(map(int, t)) for x in triples_of(values / half if half > 1 else values, total / half) for t in zip(*x)) == want
+        shelf = _Triples(3, schema)
+        for part, amount, times in rows:
+            list(shelf.meet(OFFER, 5, (part, amount, times, None)))
+        batches = [x for total in range(3, 27) for x in shelf.meet(ASK, 5, (None, total, None, total))] + list(shelf.end())
+        got = Counter((r["total"], r["part_1"], r["part_2"], r["part_3"]) for x in batches for r in x.to_pylist())
+        want = Counter()
+        for three in combinations_with_replacement(range(14), 3):
+            a, b, c = (rows[i] for i in sorted(three, key=lambda i: (rows[i], i)))
+            fits = all(rows[i][2] >= n for i, n in Counter(three).items()) and all(three.count(i) == sum(rows[j][0] == rows[i][0] for j in three) for i in three)
+            if fits and max(a[1], b[1], c[1]) < (total := a[1] + b[1] + c[1]):
+                want[total, a[0], b[0], c[0]] += 1
+        assert got == want and len(want) > 100
+
+
 def test_a_day_keeps_no_more_rows_than_a_rule_can_use(spark):
     p = spark.range(5000).selectExpr("id", "1 AS k", "id % 7 AS part", "date_add(DATE '2024-05-01', CAST(id % 4 AS int)) AS day")
     near = smallest_near(p, ["k"], "part", "day", 3, 21).collect()
